@@ -57,3 +57,11 @@ def dropped(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, besides their own path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
