@@ -36,9 +36,10 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and where each text's words begin (one more than texts)."""
-    raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    raw = [r.lower() for r in raw] if lower else raw
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     sep = _SEP[buf]
     starts = np.flatnonzero(~sep & np.concatenate([[True], sep[:-1]]))
