@@ -1,24 +1,62 @@
-"""Five stages over documents: quality rules, near-duplicates, secrets, mixing, tokens."""
+"""A corpus pipeline over documents in five stages, each on all that its predecessor kept.
+
+Quality rules reject documents; of each group of near-duplicates one stays; secrets in texts are replaced;
+sources, languages and topics are sampled to target weights; what is left is encoded to token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortmill.llm.minhash import one_of_each
+from cohortmill.llm.mixing import sampled_documents
+from cohortmill.llm.pieces import encoded, public_model
+from cohortmill.llm.quality import kept_documents
+from cohortmill.llm.secrets import labelled_findings, redacted, train
+from cohortmill.session import importable, table, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the fertility bands go."""
+    importable(spark)
+    return kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest id."""
+    importable(spark)
     return one_of_each(docs)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets that the forest confirms are replaced in its text."""
+    return redacted(docs, train(labelled_findings(docs)))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The calibrated draw decides which documents stay."""
+    return sampled_documents(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and digests of every document, besides its id, language and source."""
+    importable(spark)
+    return encoded(docs, public_model("piece_bpe_32k.model")).drop("n_chars")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("secret_scans", secret_scans),
+    ("mixing", mixing),
+    ("sentencepiece", sentencepiece),
+]
+
+#: Fertility, the forest and the piece agenda are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cohortmill.session import table, written
-
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
