@@ -65,3 +65,10 @@ def importable(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def settled(df: DataFrame, label: str = "t", few: int = 100_000) -> tuple[DataFrame, str]:
+    """written(), and one partition where the table has at most `few` rows: what follows on such a table needs
+    no exchange. Beyond that the table keeps its files' partitions and later steps shuffle as usual."""
+    out, path = written(df, label)
+    return (out.coalesce(1) if out.limit(few + 1).count() <= few else out), path
