@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortmill.session import dropped, written
+from cohortmill.session import dropped, settled
 
 
 def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
@@ -19,26 +19,26 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
     execution can split. No edges: an empty table.
     """
     spark = edges.sparkSession
-    live, live_path = written(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), "edges")
-    labels, labels_path = written(live.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    live, live_path = settled(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), "edges")
+    labels, labels_path = settled(live.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     first = True
     while True:
         if first:
             parent, parent_path, first = labels, None, False
         else:
-            parent, parent_path = written(live.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "parent")
+            parent, parent_path = settled(live.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "parent")
         for _ in range(2):
             up = parent.select(F.col("node").alias("component"), F.col("component").alias("up"))
             old = parent_path
-            parent, parent_path = written(parent.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "parent")
+            parent, parent_path = settled(parent.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "parent")
             if old:
                 dropped(spark, old)
         up = parent.select(F.col("node").alias("component"), F.col("component").alias("up"))
         old = labels_path
-        labels, labels_path = written(labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        labels, labels_path = settled(labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
         old_live = live_path
         pa, pb = parent.select(F.col("node").alias("a"), F.col("component").alias("pa")), parent.select(F.col("node").alias("b"), F.col("component").alias("pb"))
-        live, live_path = written(live.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
+        live, live_path = settled(live.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
         dropped(spark, old, old_live, parent_path)
         if live.isEmpty():
             dropped(spark, live_path)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.llm.components import connected_components
 from cohortmill.llm.shingles import in_pieces, shingle_sets
-from cohortmill.session import dropped, written
+from cohortmill.session import dropped, settled, written
 
 _M = np.uint32
 
@@ -108,6 +108,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(near).select("a", "b", "sa", "sb").mapInPandas(run, "a binary, b binary")
 
 
+_SLOTS = 1 << 18
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, cls, n, bits): per set its rarest shingles, as many as two sets of the similarity can't both
+    lack, its size, and the parity of its elements in 512 slots, which bounds how much two sets differ.
+
+    Rarity is by a histogram of shingle hashes in 2**18 slots, the one bounded thing that the driver gets;
+    any order of shingles is exact, a good one makes small buckets.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(_SLOTS, np.int64)
+        for pdf in batches:
+            for x in pdf["s"]:
+                np.add.at(total, (np.frombuffer(x, np.uint64) % np.uint64(_SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": at.astype(np.int32), "c": total[at]})
+
+    rows = sets.select("s").mapInPandas(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
+    seen = np.zeros(_SLOTS, np.int64)
+    seen[rows["slot"]] = rows["c"]
+    seen = sets.sparkSession.sparkContext.broadcast(seen)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found, who, size, bits = [], [], [], []
+            for cls, x in zip(pdf["cls"], pdf["s"], strict=True):
+                h = np.frombuffer(x, np.uint64)
+                k = len(h) + (-percent * len(h)) // 100 + 1  # len - ceil(percent / 100 * len) + 1
+                found.append(h[np.lexsort((h, seen.value[(h % np.uint64(_SLOTS)).astype(np.int64)]))[:k]].view(np.int64))
+                who += [cls] * len(found[-1])
+                odd = np.bincount((h >> np.uint64(41) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+                bits += [np.packbits(odd.astype(np.uint8)).view(np.int64)] * len(found[-1])
+                size.append(np.full(len(found[-1]), len(h), np.int64))
+            if found:
+                yield pd.DataFrame({"bucket": np.concatenate(found), "cls": who, "n": np.concatenate(size), "bits": bits})
+
+    return sets.mapInPandas(cut, "bucket long, cls binary, n long, bits array<long>")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, bands: int = 16, rows: int = 4
 ) -> DataFrame:
@@ -118,12 +159,14 @@ def near_duplicates(
     candidates; candidates are confirmed on their full sets. component_id is the smallest id that links
     reach; kept marks the row that carries it.
 
-    Within a bucket of candidates all pairs are never made. One leader is compared with every member;
-    links are joined to components; then, as long as a bucket holds members of two components that were
-    not compared, leaders come from its smaller components, eight times as many each round, against
-    members of other components. It ends when every candidate pair was compared or lies in one
-    component, so components are those of all candidate pairs, and the work is the bucket's size times
-    the members outside its largest component.
+    Within a bucket of candidates all pairs are never made. One leader is compared with every member and
+    links are joined to components. Members of buckets that still hold several components are dealt anew by
+    prefix filtering, which is exact: two sets of this similarity share one of the rarest 15 % of their
+    shingles (in any one order of all shingles), so those become the buckets, and texts that merely share
+    much part; pairs that exact bounds rule out are left there. As long as such a bucket holds members of two components that were not compared, leaders
+    come from its smaller components, thirty-two times as many each round, against members of other components.
+    It ends when every candidate pair was compared, or lies in one component, or can't reach the
+    similarity; components are those of all candidate pairs.
 
     Null ids take no part in links: component_id null, kept true. Null and empty texts: 0 shingles, the
     own component. Repeated rows (same id and text) share a component and are both marked kept; rows of
@@ -139,7 +182,7 @@ def near_duplicates(
     member = classes.select("cls", "rep", F.explode("keys").alias("bucket"))
     order = F.xxhash64("cls")
     buckets = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("h"), "cls")).alias("lead")).where("size > 1")
-    members, members_path = written(
+    members, members_path = settled(
         member.join(buckets.select("bucket", F.col("lead.cls").alias("lead")).hint("merge"), "bucket").select("bucket", "cls", "rep", (F.col("cls") == F.col("lead")).alias("led"), "lead"), "members"
     )
     ids = members.select(F.col("rep").alias("doc")).distinct()
@@ -147,34 +190,52 @@ def near_duplicates(
     # the digest is taken again, as an id may stand on rows with different texts
     sets, sets_path = written(_class_sets(texts, width).dropDuplicates(["cls"]), "sets")
     pairs = members.where("not led").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    links, link_paths = written(_verified(pairs, sets, percent), "links")
+    links, link_paths = settled(_verified(pairs, sets, percent), "links")
     link_paths = [link_paths]
-    slots = 8
+    comp, comp_path = connected_components(links)
+    named = lambda t: t.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    waiting = named(members.where("not led").select("bucket", "cls"))
+    mixed_buckets = waiting.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
+    open_, open_path = settled(waiting.join(mixed_buckets.hint("merge"), "bucket").select("cls").distinct(), "open")
+    if not open_.isEmpty():
+        prefix, prefix_path = written(_prefixes(sets.join(open_.hint("merge"), "cls", "left_semi"), percent), "prefix")
+        shared = prefix.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+        old = members_path
+        members, members_path = settled(prefix.join(shared.hint("merge"), "bucket").withColumn("led", F.lit(False)), "members")
+        dropped(spark, old, prefix_path)
+    dropped(spark, open_path)
+    slots = 32
     while True:
-        comp, comp_path = connected_components(links)
-        now = members.select("bucket", "cls", "led").join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").select("bucket", "cls", "led", F.coalesce("component", "cls").alias("component"))
-        waiting = now.where("not led")
-        counts = waiting.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        main = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("m.component").alias("main"))
-        open_, open_path = written(waiting.join(main.hint("merge"), "bucket"), "open")
+        if "n" not in members.columns:
+            break  # no bucket of bands was left with members to compare
+        waiting = named(members.where("not led").select("bucket", "cls", "n", "bits"))
+        counts = waiting.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+        main = counts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("m.component").alias("main"))
+        open_, open_path = settled(waiting.join(main.hint("merge"), "bucket"), "open")
         if open_.isEmpty():
             dropped(spark, open_path)
             break
         slot = F.pmod(F.xxhash64("cls", F.lit(slots)), F.lit(slots))
-        leaders = open_.where("component <> main").groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(order.alias("h"), "cls", "component")).alias("x")).select("bucket", F.col("x.cls").alias("lead"), F.col("x.component").alias("lead_component"))
-        pairs = open_.select("bucket", "cls", "component").join(leaders.hint("merge"), "bucket").where("component <> lead_component").select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct()
-        more, path = written(_verified(pairs, sets, percent), "links")
+        leaders = open_.where("component <> main").groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(order.alias("h"), "cls", "component", "n", "bits")).alias("x")).select("bucket", F.col("x.cls").alias("lead"), F.col("x.component").alias("lead_component"), F.col("x.n").alias("lead_n"), F.col("x.bits").alias("lead_bits"))
+        # exact bounds on what two sets can share: their sizes, and slots of odd difference, of which each takes an element
+        odd = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("lead_bits")[k])) for k in range(8)), F.lit(0))
+        near = (F.col("n") * 100 >= F.col("lead_n") * percent) & (F.col("lead_n") * 100 >= F.col("n") * percent) & (odd * (100 + percent) <= (F.col("n") + F.col("lead_n")) * (100 - percent))
+        pairs = open_.select("bucket", "cls", "n", "bits", "component").join(leaders.hint("merge"), "bucket").where((F.col("component") != F.col("lead_component")) & near).select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct()
+        more, path = settled(_verified(pairs, sets, percent), "links")
         link_paths.append(path)
         links = links.union(more)
         old = members_path
         led = leaders.select("bucket", F.col("lead").alias("cls"), F.lit(True).alias("leads"))
-        members, members_path = written(open_.select("bucket", "cls").join(led.hint("merge"), ["bucket", "cls"], "left").select("bucket", "cls", F.coalesce("leads", F.lit(False)).alias("led")), "members")
-        dropped(spark, old, open_path, comp_path)
-        slots *= 8
+        members, members_path = settled(open_.select("bucket", "cls", "n", "bits").join(led.hint("merge"), ["bucket", "cls"], "left").select("bucket", "cls", "n", "bits", F.coalesce("leads", F.lit(False)).alias("led")), "members")
+        dropped(spark, old, open_path)
+        if not more.isEmpty():
+            dropped(spark, comp_path)
+            comp, comp_path = connected_components(links)
+        slots *= 32
     roots = classes.select("cls", "rep", "copies").join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").where("copies > 1 or component is not null")
-    root, root_path = written(roots.select("cls", F.coalesce("component", "cls").alias("component"), "rep"), "roots")
+    root, root_path = settled(roots.select("cls", F.coalesce("component", "cls").alias("component"), "rep"), "roots")
     least = root.groupBy("component").agg(F.min("rep").alias("root"))
-    final, final_path = written(root.join(least.hint("merge"), "component").select("cls", "root"), "roots")
+    final, final_path = settled(root.join(least.hint("merge"), "component").select("cls", "root"), "roots")
     dropped(spark, *link_paths, comp_path, sets_path, members_path, classes_path, root_path)
     out = slim.select("doc", "n", F.when(F.col("doc").isNotNull(), F.col("cls")).alias("cls")).join(final.hint("merge"), "cls", "left")
     root_id = F.coalesce("root", "doc")
