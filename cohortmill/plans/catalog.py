@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
+
+from cohortmill.plans.base import QUERIES, SQL
+
+for _name in ("deid_queries",):
+    importlib.import_module(f"cohortmill.plans.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
