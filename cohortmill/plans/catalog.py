@@ -6,7 +6,7 @@ import importlib
 
 from cohortmill.plans.base import QUERIES, SQL
 
-for _name in ("deid_queries", "voxel_queries"):
+for _name in ("deid_queries", "voxel_queries", "mesh_queries"):
     importlib.import_module(f"cohortmill.plans.{_name}")
 
 
