@@ -76,10 +76,9 @@ class Model:
         slots, size = _slots(words)
         begin = np.cumsum(size) - size
         out = np.add.reduceat(self.weights[slots], begin) / np.maximum(size, 1)[:, None] if len(words) else np.zeros((0, len(self.labels)))
-        shares = np.array([self.lexicon.get(w, _NO) if self.lexicon else _NO for w in words], object)
-        known = np.array([s is not _NO for s in shares], bool)
-        if known.any():
-            out[known] += np.array(list(shares[known])) @ self.lexicon_weight
+        known = [k for k, w in enumerate(words) if w in self.lexicon]
+        if known:
+            out[known] += np.array([self.lexicon[words[k]] for k in known]) @ self.lexicon_weight
         out[[not w for w in words]] = 0.0
         return out
 
@@ -99,9 +98,6 @@ class Model:
         return np.array([memo[w] for t in texts for w in t], np.int64)
 
 
-_NO = object()
-
-
 def forward_backward(model: Model, scores: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of every word of all sequences (laid end to end), the summed pair marginals, and log partitions.
 

@@ -1,0 +1,328 @@
+"""Operators against brute force, exact round trips and held-out accuracy on the given small tables."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def _links(texts, percent=85):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()) for w in words]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))], [len(s) for s in sets]
+
+
+def test_near_duplicates_of_documents(docs):
+    from cohortmill.llm.minhash import near_duplicates
+
+    rows = docs.orderBy("doc_id").collect()
+    roots, sizes = _links([r.text for r in rows])
+    got = {r.doc_id: r for r in near_duplicates(docs).collect()}
+    assert all(got[r.doc_id].component_id == rows[k].doc_id and got[r.doc_id].n_shingles == n for r, k, n in zip(rows, roots, sizes, strict=True))
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """Variants of one text that link in chains, among texts that share much and don't link."""
+    from cohortmill.llm.minhash import near_duplicates
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(120):
+        t = list(base)
+        for _ in range(rng.randint(0, 9)):
+            t[rng.randrange(len(t))] = f"v{rng.randrange(40)}"
+        texts.append(" ".join(t))
+    roots, _ = _links(texts)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(roots)) > 5 and [got[i] for i in range(len(texts))] == roots
+
+
+def test_signatures_are_minima_of_shifted_permutations():
+    from cohortmill.llm.minhash import _pi, circulant_signatures
+
+    s = np.sort(np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64))
+    sig = circulant_signatures([s], 8)[0]
+    sigma = (s * np.uint64(0xA24BAED4963EE407) >> np.uint64(32)).astype(np.uint32)
+    assert [int(x) for x in sig] == [int(min(_pi(np.array([(int(v) - k) % 2**32], np.uint32))[0] for v in sigma)) for k in range(8)]
+    assert len(np.unique(_pi(np.arange(100000, dtype=np.uint32)))) == 100000
+
+
+def test_pieces_equal_the_library(docs):
+    import sentencepiece
+
+    from cohortmill.llm.pieces import encoded, public_model
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_model())
+    for r in docs.select("doc_id", "text").join(encoded(docs.select("doc_id", "text"), public_model()), "doc_id").collect():
+        ids = lib.encode(r.text)
+        assert ids == r.ids and hashlib.sha256(lib.decode(ids).encode()).hexdigest() == r.decoded_sha256
+
+
+def test_heap_and_matrix_agree():
+    from cohortmill.llm.pieces import PieceModel, public_model
+
+    with open(public_model(), "rb") as f:
+        m = PieceModel(f.read())
+    rng = random.Random(2)
+    parts = ["a", "th", "er", " ", "\n", "é", "日", "▁", "0", "!!", "😀", "ing"]
+    for _ in range(500):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        c = m.chunks(t)
+        assert m.encode_chunks(c) == [m.agenda(x) for x in c] and [i for x in m.encode_chunks(c) for i in x] == m.library.encode(t)
+
+
+def test_quality_counts(docs):
+    from cohortmill.llm.quality import quality_rules
+
+    got = {r.doc_id: r for r in quality_rules(docs, None).collect()}
+    for d in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", d.text)
+        windows = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {i + j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        lines = [x for x in d.text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = got[d.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", d.text)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
+
+
+def test_quality_keeps_the_good(spark):
+    from cohortmill.llm.quality import quality_rules
+
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    r = quality_rules(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    share = {x.quality: x.k for x in r}
+    assert share[1] > 0.99 and share[0] < 0.6
+
+
+def test_token_counts(docs):
+    import sentencepiece
+
+    from cohortmill.llm.pieces import PieceModel, public_model, token_counts
+
+    with open(public_model(), "rb") as f:
+        m = PieceModel(f.read())
+    texts = [r.text for r in docs.limit(40).collect()] + ["", "日本 ☂"]
+    total, in_bytes, entropy = token_counts(m, texts)
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_model())
+    for t, n, b, h in zip(texts, total, in_bytes, entropy, strict=True):
+        ids = lib.encode(t)
+        p = np.array(list(collections.Counter(ids).values())) / max(1, len(ids))
+        assert n == len(ids) and b == sum(lib.is_byte(i) for i in ids if lib.id_to_piece(i) != "<0x0A>") and h == pytest.approx(-(p * np.log2(p)).sum())
+
+
+def test_language_of_held_out_documents(spark):
+    from cohortmill.llm.langid import identified, learned
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    out = identified(d.where(held), learned(d.where(~held), sample=200)).join(d.select("doc_id", "lang"), "doc_id")
+    assert out.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
+
+
+def test_code_switched_spans(spark):
+    from cohortmill.llm.langid import fit, identified
+
+    en, de = "the house and the tree with that which was here " * 8, "der hund und die katze sind nicht im haus gewesen " * 8
+    m = fit([en, de], ["en", "de"])
+    mixed = spark.createDataFrame([(1, "the house and the tree with that der hund und die katze sind nicht")], "doc_id int, text string")
+    spans = identified(mixed, m).first().spans
+    assert [s.lang for s in spans] == ["en", "de"] and spans[0].end == 7
+
+
+def test_forward_backward_is_exact():
+    import itertools
+
+    from cohortmill.llm.langid import Model, forward_backward
+
+    rng = np.random.default_rng(0)
+    m = Model(["a", "b", "c"], {})
+    m.transition, m.start = rng.normal(size=(3, 3)), rng.normal(size=3)
+    length = np.array([4, 1, 3])
+    scores = rng.normal(size=(8, 3))
+    got, pair, _ = forward_backward(m, scores, length)
+    at, pairs = 0, np.zeros((3, 3))
+    for n in length:
+        s, total, want = scores[at : at + n], 0.0, np.zeros((n, 3))
+        p = np.zeros((3, 3))
+        for path in itertools.product(range(3), repeat=int(n)):
+            w = np.exp(m.start[path[0]] + sum(s[i, y] for i, y in enumerate(path)) + sum(m.transition[a, b] for a, b in zip(path, path[1:])))
+            total += w
+            for i, y in enumerate(path):
+                want[i, y] += w
+            for a, b in zip(path, path[1:]):
+                p[a, b] += w
+        assert np.allclose(got[at : at + n], want / total)
+        pairs += p / total
+        at += n
+    assert np.allclose(pair, pairs)
+
+
+def test_secret_forest_on_held_out_findings(docs):
+    from cohortmill.llm.secrets import featured, labelled_findings, train
+
+    f = labelled_findings(docs).cache()
+    part = F.pmod(F.xxhash64("value", "before"), F.lit(4))
+    out = train(f.where(part > 0)).transform(featured(f.where(part == 0)))
+    assert out.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0] > 0.95
+
+
+def test_url_trees_on_held_out_urls(spark):
+    from cohortmill.llm.urls import judged, labelled_urls, train
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    lab = labelled_urls(pages)
+    part = F.pmod(F.xxhash64("url"), F.lit(4))
+    out = judged(lab.where(part == 0).withColumn("page_id", F.lit(1)), train(lab.where(part > 0)), rules=[], url_col="url").collect()
+    bad = [r for r in out if re.search(r"(^|[.-])(pills|free-bets|bets|adult)([.-]|$)", r.host)]
+    right = sum((r.verdict == "block") == (r in bad) for r in out)
+    assert right / len(out) > 0.9
+
+
+def test_mixing_against_numpy(docs):
+    from cohortmill.llm.mixing import mixed
+
+    rows = mixed(docs, {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}}).collect()
+    cells = collections.Counter()
+    for r in rows:
+        cells[(r.source, r.lang, r.topic)] += r.n_tokens
+    keys = [k for k in cells if cells[k]]
+    w = np.array([cells[k] for k in keys], float)
+    share = w / w.sum()
+    w = share.copy()
+    names = [sorted({k[m] for k in keys}) for m in range(3)]
+    at = [np.array([names[m].index(k[m]) for k in keys]) for m in range(3)]
+    target = []
+    for m, power in ((0, 0.85), (1, None), (2, 0.9)):
+        t = np.bincount(at[m], share) ** power if power else np.array([{"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}[x] for x in names[m]])
+        target.append(t / t.sum())
+    for _ in range(300):
+        for m in range(3):
+            w *= (target[m] / np.bincount(at[m], w))[at[m]]
+    factor = dict(zip(keys, w / share, strict=True))
+    top = max(factor.values())
+    for r in rows:
+        if r.n_tokens:
+            assert r.probability == pytest.approx(factor[(r.source, r.lang, r.topic)] / top, rel=1e-6)
+
+
+def test_neighbours_recall(spark):
+    from cohortmill.llm.ann import nearest
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(5000, 32)) * rng.uniform(0.5, 2, (5000, 1))
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    q = list(range(0, 5000, 100))
+    got = collections.defaultdict(set)
+    for r in nearest(v, v.where("vec_id % 100 = 0"), least=500, shard_rows=2000).collect():
+        got[r.query_id].add(r.vec_id)
+        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]))
+    score = x[q] @ x.T
+    score[np.arange(len(q)), q] = -np.inf
+    hits = sum(len(got[i] & set(np.argsort(-score[k])[:20].tolist())) for k, i in enumerate(q))
+    assert hits / (20 * len(q)) >= 0.9
+
+
+def test_forest_candidates_share_the_longest_prefixes():
+    from cohortmill.llm.ann import Forest
+
+    rng = np.random.default_rng(4)
+    s = rng.integers(0, 2**63, (300, 3)).astype(np.uint64)
+    f, q = Forest(s), rng.integers(0, 2**63, (5, 3)).astype(np.uint64)
+    found = f.candidates(q, 20)
+    for i in range(5):
+        depth = np.array([max(64 - int(a ^ b).bit_length() for a, b in zip(row, q[i], strict=True)) for row in s])
+        least = depth[found[i]].min()
+        assert found[i].sum() >= 20 and (found[i] == (depth >= least)).all() and (depth > least).sum() < 20
+
+
+def test_warc_files_and_broken_archives(spark, tmp_path):
+    import gzip
+
+    from cohortmill.llm.warc import read_files, records, written_archives
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for k, r in enumerate(written_archives(pages, archive_bytes=50_000).collect()):
+        (tmp_path / f"{k}.warc.gz").write_bytes(r.content)
+        assert gzip.decompress(r.content).startswith(b"WARC/1.1\r\n")
+    got = {r.record_id: r for r in read_files(spark, f"file://{tmp_path}").collect()}
+    for p in pages.collect():
+        r = got[f"urn:page:{p.page_id}"]
+        assert r.record_type == "revisit" or bytes(r.payload) == (p.html or "").encode()
+        assert r.payload_digest == hashlib.sha1((p.html or "").encode()).hexdigest()
+    raw = gzip.decompress((tmp_path / "0.warc.gz").read_bytes())
+    with pytest.raises(ValueError):
+        list(records([gzip.compress(raw[:400].replace(b"a", b"b") + raw[400:])]))
+    with pytest.raises(ValueError):
+        list(records([(tmp_path / "0.warc.gz").read_bytes()[:-30]]))
+
+
+def test_components(spark):
+    from cohortmill.llm.components import connected_components
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"))[0].collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
+    assert connected_components(spark.createDataFrame([], "a long, b long"))[0].count() == 0
+
+
+def test_pipeline_against_its_parts(spark):
+    """run() equals each stage's rule applied by hand to the rows before it."""
+    import corpus_pipeline as p
+
+    from cohortmill.llm.quality import quality_rules
+    from cohortmill.session import table
+
+    docs = table(spark, SF, "documents")
+    ok = {r.doc_id for r in quality_rules(docs, table(spark, SF, "labels")).where("kept").collect()}
+    kept = sorted((r for r in docs.collect() if r.doc_id in ok), key=lambda r: r.doc_id)
+    roots, _ = _links([r.text for r in kept])
+    one = {r.doc_id: r.text for k, r in enumerate(kept) if roots[k] == k}
+    after = docs
+    for name, stage in p.STAGES[:2]:
+        after = stage(spark, after, SF)
+        assert after.columns == docs.columns, name
+    assert {r.doc_id: r.text for r in after.collect()} == one
+    secret = p.secret_scans(spark, after, SF)
+    text = {i: re.sub(r'(token = ")[0-9a-f]{40}(")', r"\1[secret]\2", t) for i, t in one.items()}
+    assert {r.doc_id: r.text for r in secret.collect()} == text
+    mixed = p.mixing(spark, secret, SF)
+    assert {r.doc_id for r in mixed.collect()} <= set(text)
+    out = p.run(spark, SF).collect()
+    assert {r.doc_id for r in out} == {r.doc_id for r in mixed.collect()} and all(r.agrees for r in out)
