@@ -109,7 +109,7 @@ def _with_measures(counted: DataFrame) -> DataFrame:
     )
 
 
-def learned_bands(good: DataFrame, least: int = 100, spread: float = 2.0) -> DataFrame:
+def learned_bands(good: DataFrame, least: int = 40, spread: float = 1.7) -> DataFrame:
     """(grp, size, <measure>_low, <measure>_high) from counted documents labelled good, size being floor(log2(tokens)), -1 for all.
 
     A band reaches from the median to `spread` times the distance of the first and last percentile (and at
