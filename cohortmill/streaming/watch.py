@@ -78,7 +78,7 @@ def timed_out(jobs: DataFrame, now: Column, started: str, limit_s: int = 300) ->
 def ingest_stream(spark: SparkSession, path: str, seed_key: Callable[[Column], Column], out: str, checkpoint: str) -> StreamingQuery:
     """Files that arrive become registry rows: a batch appends jobs(job_id, twin_id, status, size, sha256), job_id being
     the content's hash; files whose job is there already add nothing, so that a repeated batch is harmless."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path)
 
     def put(batch: DataFrame, _: int) -> None:
         sha = F.sha2("content", 256)
