@@ -11,7 +11,8 @@ from cohortmill.operators import fibers, mesh
 from cohortmill.plans.base import query
 
 _P = ", ".join(f"p{k}.{a} AS {a}{k}" for k in range(4) for a in "xyz")
-_C = f"SELECT e.*, {_P} FROM v_elem e " + " ".join(f"JOIN v_node p{k} ON p{k}.mesh_id = e.mesh_id AND p{k}.node_id = e.n{k}" for k in range(4))
+# one key for mesh and node: on two, the engine joins the corners to one another by mesh alone
+_C = f"SELECT e.*, {_P} FROM v_elem e " + " ".join(f"JOIN v_node p{k} ON p{k}.mesh_id * 1000 + p{k}.node_id = e.mesh_id * 1000 + e.n{k}" for k in range(4))
 
 
 def _d(a: int, b: int, c: str) -> str:
@@ -143,7 +144,7 @@ def a12_boundary_faces(t):
 
 @query("""WITH f AS (SELECT mesh_id, elem_id, u.v AS v, u.o AS o, list_sort(u.v) AS face FROM (SELECT mesh_id, elem_id, unnest([{'v': [n1, n2, n3], 'o': n0}, {'v': [n0, n2, n3], 'o': n1}, {'v': [n0, n1, n3], 'o': n2}, {'v': [n0, n1, n2], 'o': n3}]) AS u FROM v_cup)),
 b AS (SELECT mesh_id, any_value(v) AS v, any_value(o) AS o FROM f GROUP BY mesh_id, face HAVING count(*) = 1), m AS (SELECT mesh_id, max(z) AS top FROM v_node GROUP BY 1),
-g AS (SELECT b.mesh_id, least(p.z, q.z, r.z) > top - 1 AS base FROM b JOIN m USING (mesh_id) JOIN v_node p ON p.mesh_id = b.mesh_id AND p.node_id = v[1] JOIN v_node q ON q.mesh_id = b.mesh_id AND q.node_id = v[2] JOIN v_node r ON r.mesh_id = b.mesh_id AND r.node_id = v[3])
+g AS (SELECT b.mesh_id, least(p.z, q.z, r.z) > top - 1 AS base FROM b JOIN m USING (mesh_id) JOIN v_node p ON p.mesh_id * 1000 + p.node_id = b.mesh_id * 1000 + v[1] JOIN v_node q ON q.mesh_id * 1000 + q.node_id = b.mesh_id * 1000 + v[2] JOIN v_node r ON r.mesh_id * 1000 + r.node_id = b.mesh_id * 1000 + v[3])
 SELECT mesh_id, count(*) AS n_faces, count_if(base) AS n_base FROM g GROUP BY 1""")
 def a13_cavity_faces(t):
     g = mesh.boundary_geometry(t.v_cup, t.v_node)
