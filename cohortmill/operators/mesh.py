@@ -235,7 +235,8 @@ def radial_displacement(nodes: DataFrame, displacement: DataFrame, half_height:
     med = mid.groupBy("mesh_id").agg(F.median("r").alias("rm"))
     d = mid.join(med, "mesh_id").join(displacement.select("mesh_id", "node_id", "ux", "uy"), ["mesh_id", "node_id"]).where("r > 0.1")
     out = ((F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy")) / F.col("r")
-    got = d.groupBy("mesh_id").agg(F.avg(F.when(F.col("r") < F.col("rm"), out)).alias("endo"), F.avg(F.when(F.col("r") >= F.col("rm"), out)).alias("epi"))
+    inside = F.col("r") < F.col("rm") - 1e-9  # a node on the median stays outside, whatever the order of sums
+    got = d.groupBy("mesh_id").agg(F.avg(F.when(inside, out)).alias("endo"), F.avg(F.when(~inside, out)).alias("epi"))
     return box.select("mesh_id").join(got, "mesh_id", "left").fillna(0.0, ["endo", "epi"])
 
 
