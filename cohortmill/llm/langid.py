@@ -7,9 +7,10 @@ languages, and a text's language is the one with the largest sum over its letter
 
 from __future__ import annotations
 
-import re
+import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,13 @@ from cohortmill.llm.shingles import in_pieces
 
 UND = "und"
 SLOTS = 1 << 16
-_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_EDGE = string.punctuation + string.digits + "«»“”„‘’…–—¿¡·•"
 
 
 def core(word: str) -> str:
-    """The word as the features see it: lower case, without digits and marks at its ends."""
-    return _EDGE.sub("", word).lower()
+    """The word as the features see it: lower case, without digits and common marks at its ends; empty without a letter."""
+    c = word.strip(_EDGE).lower()
+    return c if c.isalpha() or any(map(str.isalpha, c)) else ""
 
 
 def _slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,11 +67,15 @@ class Model:
         self.labels, self.lexicon = labels, lexicon
         self.weights, self.lexicon_weight = np.zeros((SLOTS, n)), np.zeros((n, n))
         self.transition, self.start = np.zeros((n, n)), np.zeros(n)
-        self.memo: dict[str, int] = {}
-        self.table = np.zeros((0, n))
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the table of words met: their scores and letters."""
+        self.memo, self.table, self.letters = {}, np.zeros((0, len(self.labels)), np.float32), np.zeros(0, np.float32)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}, "table": np.zeros((0, len(self.labels)))}
+        n = len(self.labels)
+        return self.__dict__ | {"memo": {}, "table": np.zeros((0, n), np.float32), "letters": np.zeros(0, np.float32)}
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of the labels for many distinct words (cores); a word without letters scores nothing."""
@@ -85,17 +91,19 @@ class Model:
     def rows(self, texts: list[list[str]], most: int = 200_000) -> np.ndarray:
         """Per word of all texts its row in the table of emissions; new words are added, the table is bounded."""
         if len(self.memo) > most:
-            self.memo, self.table = {}, np.zeros((0, len(self.labels)))
+            self.forget()
         memo = self.memo
         new = [w for w in set().union(*texts) if w not in memo]
         if new:
             base = len(memo)
             cores = [core(w) for w in new]
-            kinds = {c: i for i, c in enumerate(dict.fromkeys(cores))}
-            scores = self.emissions(list(kinds))
-            self.table = np.concatenate([self.table, scores[[kinds[c] for c in cores]]])
-            memo.update((w, base + i) for i, w in enumerate(new))
-        return np.array([memo[w] for t in texts for w in t], np.int64)
+            kinds: dict[str, int] = {}
+            at = [kinds.setdefault(c, len(kinds)) for c in cores]
+            self.table = np.concatenate([self.table, self.emissions(list(kinds)).astype(np.float32)[at]])
+            count = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new]
+            self.letters = np.concatenate([self.letters, np.array(count, np.float32)])
+            memo.update(zip(new, range(base, base + len(new)), strict=True))
+        return np.fromiter(map(memo.__getitem__, chain.from_iterable(texts)), np.int64)
 
 
 def forward_backward(model: Model, scores: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,21 +116,23 @@ def forward_backward(model: Model, scores: np.ndarray, length: np.ndarray) -> tu
     at = (np.cumsum(length) - length)[order]
     size = length[order]
     alive = np.searchsorted(-size, -np.arange(size[0] if n else 0), "left")  # sequences longer than t
-    step = np.exp(model.transition - model.transition.max())
+    kind = scores.dtype
+    step = np.exp(model.transition - model.transition.max()).astype(kind)
+    begin = np.exp(model.start - model.start.max()).astype(kind)
     emit = np.exp(scores - scores.max(1, keepdims=True)) if len(scores) else scores
-    alpha, beta, norm = np.empty_like(emit), np.empty_like(emit), np.ones(len(emit))
+    alpha, beta, norm = np.empty_like(emit), np.empty_like(emit), np.ones(len(emit), kind)
     now = None
     for t, m in enumerate(alive):
         i = at[:m] + t
-        now = emit[i] * (np.exp(model.start - model.start.max()) if t == 0 else now[:m] @ step)
+        now = emit[i] * (begin if t == 0 else now[:m] @ step)
         c = now.sum(1)
         now /= c[:, None]
         alpha[i], norm[i] = now, c
-    now = np.ones((0, k))
+    now = np.ones((0, k), kind)
     for t in range(len(alive) - 1, -1, -1):
         m = alive[t]
         i = at[:m] + t
-        fresh = np.ones((m, k))
+        fresh = np.ones((m, k), kind)
         if len(now):
             j = i[: len(now)] + 1
             fresh[: len(now)] = (emit[j] * now / norm[j][:, None]) @ step.T
@@ -218,14 +228,15 @@ def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
         m: Model = field.value
         for pdf in batches:
             texts = pdf.pop("t").tolist()
-            for a, b in in_pieces(texts, 2_000_000):
+            for a, b in in_pieces(texts, 5_000_000):
                 words = [(t or "").split() for t in texts[a:b]]
                 length = np.array([len(w) for w in words], np.int64)
                 pred, score, spans = [UND] * (b - a), np.zeros(b - a), [[] for _ in words]
-                letters = np.array([sum(map(str.isalpha, w)) if not w.isalpha() else len(w) for ws in words for w in ws], np.int64)
                 some = np.flatnonzero(length)
                 if m is not None and len(some):
-                    marginal, _, _ = forward_backward(m, _scored(m, words), length[some])
+                    rows = m.rows(words)
+                    letters = m.letters[rows].astype(np.float64)
+                    marginal, _, _ = forward_backward(m, m.table[rows], length[some])
                     best = marginal.argmax(1)
                     begin = np.cumsum(length[some]) - length[some]
                     mass = np.add.reduceat(marginal * letters[:, None], begin)
@@ -247,8 +258,3 @@ def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInPandas(run, f"id {kind}, lang_pred string, score double, spans array<struct<begin:int,end:int,lang:string>>")
     return out.withColumnRenamed("id", id_col)
-
-
-def _scored(m: Model, words: list[list[str]]) -> np.ndarray:
-    rows = m.rows(words)
-    return m.table[rows]
