@@ -207,11 +207,17 @@ def learned(docs: DataFrame, sample: int = 1500, id_col: str = "doc_id", text_co
     least by hash of the id (at most 64 languages, the most frequent). Null languages or texts teach nothing; without rows, None."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
     names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    texts, langs = [], []
+    # ids alone compete for the sample; the chosen texts, at most `sample` and 64 of them, follow in one more scan
+    picks = []
     for x in names:
-        got = rows.where(F.col("lang") == x).select("text", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(max(1, sample // len(names))).collect()
-        texts += [r["text"] for r in got]
-        langs += [x] * len(got)
+        got = rows.where(F.col("lang") == x).select(F.xxhash64("id").alias("h"), "id").distinct().orderBy("h", "id").limit(max(1, sample // len(names))).collect()
+        picks += [(r["id"], x) for r in got]
+    if not picks:
+        return None
+    chosen = docs.sparkSession.createDataFrame(picks, rows.select("id", "lang").schema)
+    same = rows.join(F.broadcast(chosen), (rows["id"].eqNullSafe(chosen["id"])) & (rows["lang"] == chosen["lang"]))
+    got = same.groupBy(rows["id"], rows["lang"]).agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id", "lang").collect()
+    texts, langs = [r["text"] for r in got], [r["lang"] for r in got]
     return fit(texts, langs) if texts else None
 
 
