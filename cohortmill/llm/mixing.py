@@ -2,11 +2,14 @@
 
 Native DataFrame functions throughout. Documents are summed to cells of (source, language, topic); the
 cells are raked until their token weights meet the three target marginals; a document's probability is its
-cell's raked weight over its own, scaled so that the largest is 1, so that expected token shares are the targets.
+cell's raked weight over its own (the factor) times one scale, at most 1. The scale comes from a token budget or a
+share of the tokens to keep, so that a rare cell's large factor decides about that cell alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ MARGINS = ("source", "lang", "topic")
 OTHER, NONE = "(other)", "(none)"
 #: Default targets: each category's token share to this power, rescaled; under 1 evens the mix out.
 TEMPERED = {"source": 0.85, "lang": 0.7, "topic": 0.9}
+#: The share of tokens that the registered query and the pipeline keep in expectation.
+KEPT_SHARE = 0.5
 
 
 def tokens_of(text: Column) -> Column:
@@ -104,15 +109,38 @@ def raked(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-9
     return now.coalesce(1).select(*MARGINS, "tokens", "docs", "w", (F.col("w") / share).alias("factor"))
 
 
+def _scale(cells: DataFrame, budget: float) -> float:
+    """c with which the sum of tokens * least(1, c * factor) is `budget`; infinite if all documents of positive factor hold no more.
+
+    The sum is concave and piecewise linear in c, so Newton's steps from below reach c after finitely many,
+    each of which brings one row of sums to the driver.
+    """
+    weight = F.col("tokens") * F.col("factor")
+    tokens, weights = cells.where("factor > 0").agg(F.sum("tokens"), F.sum(weight)).first()
+    if tokens is None or tokens <= budget:
+        return math.inf
+    c = budget / weights
+    while True:
+        sure = F.col("factor") * F.lit(c) >= 1
+        full, rest = cells.agg(F.sum(F.when(sure, F.col("tokens"))), F.sum(F.when(~sure, weight))).first()
+        step = (budget - (full or 0)) / rest if rest else c
+        if step <= c * (1 + 1e-12):
+            return c
+        c = step
+
+
 def mixed(
     docs: DataFrame, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     topic: Column | None = None, seed: int = 1, budget: int | None = None, most_categories: int = 64,
+    share: float | None = None,
 ) -> DataFrame:
     """docs with n_tokens, topic, factor, probability and sampled (columns of these names are replaced).
 
-    targets: per margin a dict of shares or a power of the token share. probability is the cell's factor
-    over the largest factor, so that expected token shares are exactly the raked ones; with a budget of
-    tokens all are scaled down to meet it. The draw is a hash of seed, id and text, so that a lost task
+    targets: per margin a dict of shares or a power of the token share. With a budget of tokens, or a share of
+    all tokens, probability is least(1, c * factor) with the one c that makes the expected tokens meet it: cells
+    under 1 keep their raked proportions, cells at 1 are kept whole and fall short of theirs. With neither,
+    probability is the factor over the largest one, so that expected token shares are exactly the raked ones and
+    the rarest cell decides how much of the rest stays. The draw is a hash of seed, id and text, so that a lost task
     repeats it. Null categories are the category (none); texts without tokens (null, empty) have
     probability 0; repeated rows share one draw; an empty table gives an empty result.
     """
@@ -122,13 +150,16 @@ def mixed(
     raw, raw_path = written(cells, "cells")
     folded, known = _folded(raw, most_categories)
     factors = raked(folded, targets)
-    most = F.max("factor").over(Window.partitionBy(F.lit(1)))
-    factors = factors.withColumn("probability", F.col("factor") / most)
-    if budget is not None:
-        expected = F.sum(F.col("probability") * F.col("tokens")).over(Window.partitionBy(F.lit(1)))
-        factors = factors.withColumn("probability", F.col("probability") * F.least(F.lit(1.0), F.lit(float(budget)) / expected))
+    if budget is None and share is None:
+        most = F.max("factor").over(Window.partitionBy(F.lit(1)))
+        factors = factors.withColumn("probability", F.col("factor") / most)
+    else:
+        factors, raked_path = written(factors, "raked")
+        tokens = factors.agg(F.sum("tokens")).first()[0] or 0
+        c = _scale(factors, min(x for x in (budget, None if share is None else share * tokens) if x is not None))
+        factors = factors.withColumn("probability", F.when(F.col("factor") > 0, F.least(F.lit(1.0), F.col("factor") * F.lit(c))).otherwise(F.lit(0.0)))
     factors, _ = written(factors.select(*[F.col(m).alias(f"__c_{m}") for m in MARGINS], F.col("factor").alias("__factor"), F.col("probability").alias("__p")), "factors")
-    dropped(docs.sparkSession, raw_path)
+    dropped(docs.sparkSession, raw_path, *([raked_path] if budget is not None or share is not None else []))
     on = [_in_known(F.col(f"__{m}"), known[m]) == F.col(f"__c_{m}") for m in MARGINS]
     hit = rows.join(F.broadcast(factors), on, "left")  # at most most_categories ** 3 cells
     p = F.when(F.col("__tokens") > 0, F.coalesce("__p", F.lit(0.0))).otherwise(F.lit(0.0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortmill.llm.minhash import one_of_each
-from cohortmill.llm.mixing import sampled_documents
+from cohortmill.llm.mixing import KEPT_SHARE, sampled_documents
 from cohortmill.llm.pieces import encoded, public_model
 from cohortmill.llm.quality import kept_documents
 from cohortmill.llm.secrets import labelled_findings, redacted, train
@@ -34,8 +34,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The calibrated draw decides which documents stay."""
-    return sampled_documents(docs)
+    """The calibrated draw decides which documents stay: KEPT_SHARE of the tokens in expectation."""
+    return sampled_documents(docs, share=KEPT_SHARE)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

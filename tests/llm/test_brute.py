@@ -230,6 +230,22 @@ def test_mixing_against_numpy(docs):
             assert r.probability == pytest.approx(factor[(r.source, r.lang, r.topic)] / top, rel=1e-6)
 
 
+def test_mixing_scale_is_not_set_by_the_rarest_category(spark):
+    """The kept share is met, and one document of a new source and language leaves the others' probabilities about as they were."""
+    from cohortmill.llm.mixing import mixed
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source", "lang")
+    one = spark.createDataFrame([(-1, "one two three four five", "a new source", "xx")], "doc_id long, text string, source string, lang string")
+    before, after = ({r.doc_id: r for r in mixed(d, share=0.3).select("doc_id", "n_tokens", "factor", "probability").collect()} for d in (docs, docs.unionByName(one)))
+    for got in (before, after):
+        assert sum(r.probability * r.n_tokens for r in got.values()) == pytest.approx(0.3 * sum(r.n_tokens for r in got.values()))
+        c = max(r.probability / r.factor for r in got.values() if r.factor)
+        assert all(r.probability == pytest.approx(min(1, c * r.factor)) for r in got.values() if r.factor)
+    assert after[-1].probability == 1
+    kept = sum(r.probability for r in before.values())
+    assert sum(abs(after[k].probability - before[k].probability) for k in before) < 0.05 * kept
+
+
 def test_neighbours_recall(spark):
     from cohortmill.llm.ann import nearest
 
