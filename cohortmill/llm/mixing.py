@@ -13,10 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortmill.session import dropped, written
+from cohortmill.session import dropped, settled, written
 
 MARGINS = ("source", "lang", "topic")
-OTHER, NONE = "(other)", "(none)"
+NONE = "(none)"
 #: Default targets: each category's token share to this power, rescaled; under 1 evens the mix out.
 TEMPERED = {"source": 0.85, "lang": 0.7, "topic": 0.9}
 #: The share of tokens that the registered query and the pipeline keep in expectation.
@@ -52,61 +52,73 @@ def _described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lan
     return rows.withColumns({"__source": _category(F.col(f"`{source_col}`")), "__lang": _category(F.col(f"`{lang_col}`")), "__topic": _category(t)})
 
 
-def _folded(cells: DataFrame, most: int) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Cells of the `most` - 1 largest categories of each margin, the rest as one: at most most**3 rows; nothing is dropped."""
-    known = {}
-    for m in MARGINS:
-        top = cells.groupBy(m).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), m).limit(most - 1)
-        known[m] = [r[0] for r in top.collect()]  # at most `most` - 1 names
-    fold = cells.select(*[_in_known(F.col(m), known[m]).alias(m) for m in MARGINS], "tokens", "docs")
-    return fold.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")), known
-
-
-def _in_known(c: Column, names: list[str]) -> Column:
-    return F.when(c.isin(names), c).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
-
-
 def _target(m: str, target: dict[str, float] | float) -> Column:
-    """A cell's category's target, not yet normalised: a given share, or the token share to a power."""
+    """A category's target from its tokens, not yet normalised: a given share, or the token share to a power."""
     if isinstance(target, dict):
         pairs = [x for k, v in target.items() for x in (F.lit(k), F.lit(float(v)))]
         return F.coalesce(F.element_at(F.create_map(*pairs), F.col(m)), F.lit(0.0)) if pairs else F.lit(0.0)
-    return F.pow(F.sum("tokens").over(Window.partitionBy(m)).cast("double"), F.lit(float(target)))
+    return F.pow(F.col("tokens").cast("double"), F.lit(float(target)))
+
 
+def _fitted(cells: DataFrame, m: str) -> DataFrame:
+    """cells with w scaled to the targets of one margin."""
+    total = F.col("__total")
+    w = F.when(total > 0, F.col("w") * F.col(f"t_{m}") / total).otherwise(F.lit(0.0))
+    return cells.withColumn("w", w).drop("__total")
 
-def raked(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-9, rounds: int = 200) -> DataFrame:
-    """cells(source, lang, topic, tokens, docs) with factor: raked weight over tokens (null for cells without tokens).
+
+def raked(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-9, rounds: int = 200, few: int = 100_000) -> DataFrame:
+    """cells(source, lang, topic, tokens, docs) with factor: raked weight over tokens; cells without tokens are left out.
 
     Iterative proportional fitting: each round scales the weights to one margin after the other, until the
-    largest deviation of any category's share from its target is under `tolerance`. Targets of categories
-    that hold no tokens are left out and the others rescaled. The cells are a bounded table in one
-    partition, so rounds need no exchange; four rounds make a job, whose result is written and reread.
+    largest deviation of any category's share from its target is under `tolerance`, or the weights change no more. Targets of categories
+    that hold no tokens are left out and the others rescaled. All categories are raked. Up to `few` cells lie in one
+    partition, so that rounds need no exchange and four make a job, whose result is written and reread; more cells
+    are summed by category, joined back and written once a margin.
     """
     spark = cells.sparkSession
     targets = {**TEMPERED, **(targets or {})}
-    start = cells.coalesce(1).where("tokens > 0")
-    whole = Window.partitionBy(F.lit(1))
-    for m in MARGINS:
-        start = start.withColumn(f"t_{m}", _target(m, targets[m]))
+    start, start_path = settled(cells.where("tokens > 0"), "cells", few)
+    whole = float(start.agg(F.sum("tokens")).first()[0] or 0)
+    one = start.limit(few + 1).count() <= few
+    now = start.withColumn("w", F.col("tokens") / F.lit(whole))
     for m in MARGINS:
-        size = F.count("*").over(Window.partitionBy(m))
-        start = start.withColumn(f"t_{m}", F.col(f"t_{m}") / F.sum(F.col(f"t_{m}") / size).over(whole))
-    now, path = written(start.withColumn("w", F.col("tokens") / F.sum("tokens").over(whole)), "rake")
-    for done in range(4, rounds + 4, 4):
-        step = now.coalesce(1)
-        for _ in range(4):
+        margin = start.groupBy(m).agg(F.sum("tokens").alias("tokens")).select(m, _target(m, targets[m]).alias(f"t_{m}"))
+        norm = margin.agg(F.sum(f"t_{m}")).first()[0]
+        now = now.join(margin.withColumn(f"t_{m}", F.col(f"t_{m}") / F.lit(norm)), m)
+
+    def kept(df: DataFrame) -> tuple[DataFrame, str]:
+        out, path = written(df, "rake")
+        return (out.coalesce(1) if one else out), path
+
+    now, path = kept(now.select(*MARGINS, "tokens", "docs", *[f"t_{m}" for m in MARGINS], "w"))
+    dropped(spark, start_path)
+    done, per_check = 0, 4 if one else 1
+    while done < rounds:
+        now = now.withColumn("before", F.col("w"))
+        for _ in range(per_check):
             for m in MARGINS:
-                total = F.sum("w").over(Window.partitionBy(m))
-                step = step.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"t_{m}") / total).otherwise(F.lit(0.0)))
-        old = path
-        now, path = written(step, "rake")
-        dropped(spark, old)
-        off = F.greatest(*[F.abs(F.sum("w").over(Window.partitionBy(m)) - F.col(f"t_{m}")) for m in MARGINS])
-        worst = now.coalesce(1).select(off.alias("off")).agg(F.max("off")).first()[0]
-        if worst is None or worst < tolerance:
-            break
-    share = F.col("tokens") / F.sum("tokens").over(whole)
-    return now.coalesce(1).select(*MARGINS, "tokens", "docs", "w", (F.col("w") / share).alias("factor"))
+                if one:
+                    now = _fitted(now.withColumn("__total", F.sum("w").over(Window.partitionBy(m))), m)
+                else:
+                    old = path
+                    now, path = kept(_fitted(now.join(now.groupBy(m).agg(F.sum("w").alias("__total")), m), m))
+                    dropped(spark, old)
+        if one:
+            old = path
+            now, path = kept(now)
+            dropped(spark, old)
+        done += per_check
+        if one:
+            off = now.select(F.greatest(*[F.abs(F.sum("w").over(Window.partitionBy(m)) - F.col(f"t_{m}")) for m in MARGINS]).alias("off"))
+        else:
+            by_margin = [now.groupBy(m).agg(F.abs(F.sum("w") - F.first(f"t_{m}")).alias("off")).select("off") for m in MARGINS]
+            off = by_margin[0].union(by_margin[1]).union(by_margin[2])
+        worst = off.agg(F.max("off")).first()[0]
+        change = now.agg(F.max(F.abs(F.col("w") - F.col("before")))).first()[0]
+        if worst is None or worst < tolerance or change < tolerance / 1000:
+            break  # targets that contradict each other are never met: rounds come to repeat themselves
+    return now.select(*MARGINS, "tokens", "docs", "w", (F.col("w") / (F.col("tokens") / F.lit(whole))).alias("factor"))
 
 
 def _scale(cells: DataFrame, budget: float) -> float:
@@ -131,7 +143,7 @@ def _scale(cells: DataFrame, budget: float) -> float:
 
 def mixed(
     docs: DataFrame, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-    topic: Column | None = None, seed: int = 1, budget: int | None = None, most_categories: int = 64,
+    topic: Column | None = None, seed: int = 1, budget: int | None = None,
     share: float | None = None,
 ) -> DataFrame:
     """docs with n_tokens, topic, factor, probability and sampled (columns of these names are replaced).
@@ -147,21 +159,18 @@ def mixed(
     rows = _described(docs, id_col, text_col, source_col, lang_col, topic)
     made = ("n_tokens", "topic", "factor", "probability", "sampled")
     cells = rows.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("docs"))
-    raw, raw_path = written(cells, "cells")
-    folded, known = _folded(raw, most_categories)
-    factors = raked(folded, targets)
+    factors, raked_path = written(raked(cells, targets), "raked")
     if budget is None and share is None:
-        most = F.max("factor").over(Window.partitionBy(F.lit(1)))
-        factors = factors.withColumn("probability", F.col("factor") / most)
+        most = factors.agg(F.max("factor")).first()[0]
+        factors = factors.withColumn("probability", F.col("factor") / F.lit(most))
     else:
-        factors, raked_path = written(factors, "raked")
         tokens = factors.agg(F.sum("tokens")).first()[0] or 0
         c = _scale(factors, min(x for x in (budget, None if share is None else share * tokens) if x is not None))
         factors = factors.withColumn("probability", F.when(F.col("factor") > 0, F.least(F.lit(1.0), F.col("factor") * F.lit(c))).otherwise(F.lit(0.0)))
     factors, _ = written(factors.select(*[F.col(m).alias(f"__c_{m}") for m in MARGINS], F.col("factor").alias("__factor"), F.col("probability").alias("__p")), "factors")
-    dropped(docs.sparkSession, raw_path, *([raked_path] if budget is not None or share is not None else []))
-    on = [_in_known(F.col(f"__{m}"), known[m]) == F.col(f"__c_{m}") for m in MARGINS]
-    hit = rows.join(F.broadcast(factors), on, "left")  # at most most_categories ** 3 cells
+    dropped(docs.sparkSession, raked_path)
+    # few cells are broadcast by Spark itself; many meet the documents in a join whose large keys adaptive execution splits
+    hit = rows.join(factors, [F.col(f"__{m}") == F.col(f"__c_{m}") for m in MARGINS], "left")
     p = F.when(F.col("__tokens") > 0, F.coalesce("__p", F.lit(0.0))).otherwise(F.lit(0.0))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), 11) / F.lit(float(1 << 53))
     out = [F.col(f"`{c}`") for c in docs.columns if c not in made]

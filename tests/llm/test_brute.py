@@ -246,6 +246,22 @@ def test_mixing_scale_is_not_set_by_the_rarest_category(spark):
     assert sum(abs(after[k].probability - before[k].probability) for k in before) < 0.05 * kept
 
 
+def test_mixing_rakes_every_category(spark):
+    """A named source that is the smallest of 80 meets its target; one partition and grouped sums agree."""
+    from cohortmill.llm.mixing import mixed, raked
+
+    rows = [(i, "w " * (20 if i % 80 else 5), f"s{i % 80}", "ab"[i // 80 % 2]) for i in range(320)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    target = {"s0": 0.1} | {f"s{k}": 0.9 / 79 for k in range(1, 80)}
+    got = mixed(docs, {"source": target}, share=0.02).collect()
+    total = sum(r.probability * r.n_tokens for r in got)
+    for k in ("s0", "s1", "s79"):
+        assert sum(r.probability * r.n_tokens for r in got if r.source == k) / total == pytest.approx(target[k])
+    cells = spark.createDataFrame([(f"s{i % 7}", f"l{i % 5}", f"t{i % 3}", 10 + i * i % 97, 1) for i in range(105)], "source string, lang string, topic string, tokens long, docs long")
+    small, large = ({(r.source, r.lang, r.topic): r.factor for r in raked(cells, few=few, tolerance=1e-6).collect()} for few in (1000, 10))
+    assert len(small) == 105 and all(large[k] == pytest.approx(small[k], rel=1e-4) for k in small)
+
+
 def test_neighbours_recall(spark):
     from cohortmill.llm.ann import nearest
 
