@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortmill.llm.shingles import in_pieces
@@ -202,16 +202,21 @@ def fit(texts: list[str], langs: list[str], chunk: int = 40, rounds: int = 4, ra
     return model
 
 
-def learned(docs: DataFrame, sample: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A field from a bounded sample of labelled rows: of each language about an equal part of `sample` texts, the
-    least by hash of the id (at most 64 languages, the most frequent). Null languages or texts teach nothing; without rows, None."""
+def learned(docs: DataFrame, sample: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = 5) -> Model | None:
+    """A field from a bounded sample of labelled rows: of every language about an equal part of `sample` texts but at
+    least `least` where it has them, those least by hash of the id; at most the larger of `sample` and `least` times
+    the languages. Null languages or texts teach nothing; without rows, None."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    # ids alone compete for the sample; the chosen texts, at most `sample` and 64 of them, follow in one more scan
-    picks = []
-    for x in names:
-        got = rows.where(F.col("lang") == x).select(F.xxhash64("id").alias("h"), "id").distinct().orderBy("h", "id").limit(max(1, sample // len(names))).collect()
-        picks += [(r["id"], x) for r in got]
+    # ids alone compete for the sample; the chosen texts follow in one more scan
+    keys = rows.select("lang", F.xxhash64("id").alias("h"), "id").distinct()
+    sizes = [(r["lang"], r["count"]) for r in keys.groupBy("lang").count().collect()]
+    part = max(least, sample // max(1, len(sizes)))
+    # of a large language only hashes under a bound meet in one task: four times the part and 60 more are expected
+    # under it, so that fewer than the part are by chance only (under 1e-20)
+    bound = docs.sparkSession.createDataFrame([(x, min(1.0, (4 * part + 60) / n)) for x, n in sizes], "lang string, bound double")
+    low = keys.join(F.broadcast(bound), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("bound"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    picks = [(r["id"], r["lang"]) for r in low.withColumn("k", rank).where(F.col("k") <= part).collect()]
     if not picks:
         return None
     chosen = docs.sparkSession.createDataFrame(picks, rows.select("id", "lang").schema)

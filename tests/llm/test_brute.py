@@ -144,6 +144,19 @@ def test_language_of_held_out_documents(spark):
     assert out.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
 
 
+def test_every_language_is_learned(spark):
+    """Seventy languages: the rarest is among the labels and its documents are told from the others."""
+    from cohortmill.llm.langid import identified, learned
+
+    rng = random.Random(6)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for _ in range(70)]
+    rows = [(100 * k + i, " ".join(rng.choice(w) for _ in range(40)), f"l{k:02}") for k, w in enumerate(words) for i in range(3 if k == 69 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learned(docs, sample=140)
+    assert model.labels == [f"l{k:02}" for k in range(70)]
+    assert {r.lang_pred for r in identified(docs.where("lang = 'l69'"), model).collect()} == {"l69"}
+
+
 def test_code_switched_spans(spark):
     from cohortmill.llm.langid import fit, identified
 
