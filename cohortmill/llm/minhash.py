@@ -8,16 +8,18 @@ that is, pi circularly shifted by k. Here D = 2**32 and both are mixing bijectio
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill.llm.components import connected_components
 from cohortmill.llm.shingles import in_pieces, shingle_sets
-from cohortmill.session import dropped, settled, written
+from cohortmill.session import dropped, written
 
 _M = np.uint32
 
@@ -93,8 +95,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([p, q])
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
@@ -108,45 +109,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(near).select("a", "b", "sa", "sb").mapInPandas(run, "a binary, b binary")
 
 
-_SLOTS = 1 << 18
+def _elements(sets: DataFrame) -> DataFrame:
+    """(token, cls, component, n): every element of the sets, n being the set's size; arrays go out in slices."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("s").to_pylist()
+            size = np.array([len(x) // 8 for x in raw], np.int64)
+            for a, b in in_pieces([range(k) for k in size], 200_000):
+                who = pa.array(np.repeat(np.arange(a, b), size[a:b]))
+                token = np.frombuffer(b"".join(raw[a:b]), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(token), batch.column("cls").take(who), batch.column("component").take(who), pa.array(np.repeat(size[a:b], size[a:b]))], ["token", "cls", "component", "n"])
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(bucket, cls, n, bits): per set its rarest shingles, as many as two sets of the similarity can't both
-    lack, its size, and the parity of its elements in 512 slots, which bounds how much two sets differ.
+    return sets.select("cls", "component", "s").mapInArrow(run, "token long, cls binary, component binary, n long")
 
-    Rarity is by a histogram of shingle hashes in 2**18 slots, the one bounded thing that the driver gets;
-    any order of shingles is exact, a good one makes small buckets.
-    """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(_SLOTS, np.int64)
-        for pdf in batches:
-            for x in pdf["s"]:
-                np.add.at(total, (np.frombuffer(x, np.uint64) % np.uint64(_SLOTS)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": at.astype(np.int32), "c": total[at]})
+#: Sizes of sets fall into classes whose bounds grow by this factor.
+_STEP = 1.05
 
-    rows = sets.select("s").mapInPandas(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
-    seen = np.zeros(_SLOTS, np.int64)
-    seen[rows["slot"]] = rows["c"]
-    seen = sets.sparkSession.sparkContext.broadcast(seen)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found, who, size, bits = [], [], [], []
-            for cls, x in zip(pdf["cls"], pdf["s"], strict=True):
-                h = np.frombuffer(x, np.uint64)
-                k = len(h) + (-percent * len(h)) // 100 + 1  # len - ceil(percent / 100 * len) + 1
-                found.append(h[np.lexsort((h, seen.value[(h % np.uint64(_SLOTS)).astype(np.int64)]))[:k]].view(np.int64))
-                who += [cls] * len(found[-1])
-                odd = np.bincount((h >> np.uint64(41) & np.uint64(511)).astype(np.int64), minlength=512) & 1
-                bits += [np.packbits(odd.astype(np.uint8)).view(np.int64)] * len(found[-1])
-                size.append(np.full(len(found[-1]), len(h), np.int64))
-            if found:
-                yield pd.DataFrame({"bucket": np.concatenate(found), "cls": who, "n": np.concatenate(size), "bits": bits})
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(_STEP)).cast("int")
+
 
-    return sets.mapInPandas(cut, "bucket long, cls binary, n long, bits array<long>")
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(band, token, role, cls, component, n, at): where sets(cls, component, s) must meet if two of them are similar.
+
+    Prefix filtering with one global order of elements, rarest first. Sets x and y, y not the larger one, are
+    similar only if they share at least percent / (100 + percent) * (|x| + |y|) elements, so the first shared one
+    stands among the first |x| - that + 1 of x and |y| - that + 1 of y. y is indexed under its own class of sizes;
+    x probes each class that may hold a partner, with the prefix that the least size of the class calls for.
+    Elements that only one set has come first and meet nobody: a set of many such elements is in no bucket.
+    """
+    elements = _elements(sets)
+    seen = elements.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    common = elements.join(seen.hint("merge"), "token").groupBy("cls", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("e"))
+    n = F.col("n")
+    shared = lambda m: F.ceil((n + m) * percent / (100 + percent) - 1e-6)  # noqa: E731  least number of shared elements
+    least = F.ceil(n * percent / 100 - 1e-6)
+    floor_of = lambda k: F.greatest(least, F.floor(F.pow(F.lit(_STEP), k) * (1 - 1e-9)))  # noqa: E731  least partner of class k
+    own = n - F.size("e")  # so many elements are in no other set
+    cut = lambda length: F.slice("e", 1, F.greatest(F.lit(0), length - own).cast("int"))
+    row = lambda k, role: lambda e, i: F.struct(k.alias("band"), e["token"].alias("token"), F.lit(role).alias("role"), (own + i).alias("at"))
+    index = F.transform(cut(n - shared(n) + 1), row(_size_class(n), "y"))
+    probe = F.flatten(F.transform(F.sequence(_size_class(least), _size_class(n)), lambda k: F.transform(cut(n - shared(floor_of(k)) + 1), row(k, "x"))))
+    return common.select("cls", "component", "n", F.explode(F.concat(index, probe)).alias("r")).select("r.band", "r.token", "r.role", "cls", "component", "n", "r.at")
+
+
+def _rest(sets: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """(a, b): all pairs of sets(cls, component, s) that may be similar and lie in two components.
+
+    A bucket's members of its largest component meet the others alone, never each other.
+    """
+    rows, path = written(_prefixes(sets, percent), "prefix")
+    key = ["band", "token"]
+    parts = rows.groupBy(*key, "component").agg(F.count("*").alias("c"), F.max(F.col("role") == "y").alias("held"))
+    mixed = parts.groupBy(*key).agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.max("held").alias("held")).where("parts > 1 and held").select(*key, F.col("m.component").alias("main"))
+    met, met_path = written(rows.join(mixed.hint("merge"), key).select(*key, "role", "cls", "component", "n", "at", (F.col("component") == F.col("main")).alias("main")), "met")
+    side = lambda role: met.where(F.col("role") == role).select(*key, *[F.col(c).alias(f"{role}_{c}") for c in ("cls", "component", "n", "at", "main")])
+    x, y = side("x"), side("y")
+    shared = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent) - 1e-6)
+    fits = (F.col("x_n") >= F.col("y_n")) & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= shared) & (F.col("x_component") != F.col("y_component"))
+    pairs = x.where("not x_main").join(y.hint("merge"), key).where(fits).union(x.where("x_main").join(y.where("not y_main").hint("merge"), key).where(fits))
+    return pairs.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct(), [path, met_path]
 
 
 def near_duplicates(
@@ -160,18 +185,15 @@ def near_duplicates(
     reach; kept marks the row that carries it.
 
     Within a bucket of candidates all pairs are never made. One leader is compared with every member and
-    links are joined to components. Members of buckets that still hold several components are dealt anew by
-    prefix filtering, which is exact: two sets of this similarity share one of the rarest 15 % of their
-    shingles (in any one order of all shingles), so those become the buckets, and texts that merely share
-    much part; pairs that exact bounds rule out are left there. As long as such a bucket holds members of two components that were not compared, leaders
-    come from its smaller components, thirty-two times as many each round, against members of other components.
-    It ends when every candidate pair was compared, or lies in one component, or can't reach the
-    similarity; components are those of all candidate pairs.
+    links are joined to components. Members of buckets that still hold several components meet by prefix
+    filtering (_prefixes), which is exact: of the pairs of two components all that can reach the similarity are
+    confirmed on their full sets, and components are those of all candidate pairs.
 
     Null ids take no part in links: component_id null, kept true. Null and empty texts: 0 shingles, the
     own component. Repeated rows (same id and text) share a component and are both marked kept; rows of
     one id with different texts are documents of their own. Columns of docs other than the two are not
-    read, so clashing names do no harm. An empty table gives an empty result.
+    read, so clashing names do no harm. An empty table gives an empty result. Very long texts are read
+    whole; a batch of them is cut into pieces, and a single text takes memory in proportion to its length.
     A link of similarity 0.85 is missed with probability (1 - 0.85**4)**16 < 1e-5.
     """
     spark = docs.sparkSession
@@ -180,63 +202,28 @@ def near_duplicates(
         slim.where("cls is not null and doc is not null").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes"
     )
     member = classes.select("cls", "rep", F.explode("keys").alias("bucket"))
-    order = F.xxhash64("cls")
-    buckets = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("h"), "cls")).alias("lead")).where("size > 1")
-    members, members_path = settled(
-        member.join(buckets.select("bucket", F.col("lead.cls").alias("lead")).hint("merge"), "bucket").select("bucket", "cls", "rep", (F.col("cls") == F.col("lead")).alias("led"), "lead"), "members"
-    )
+    buckets = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("lead")).where("size > 1")
+    members, members_path = written(member.join(buckets.select("bucket", F.col("lead.cls").alias("lead")).hint("merge"), "bucket").select("bucket", "cls", "rep", "lead"), "members")
     ids = members.select(F.col("rep").alias("doc")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).join(ids.hint("shuffle_hash"), "doc")
     # the digest is taken again, as an id may stand on rows with different texts
     sets, sets_path = written(_class_sets(texts, width).dropDuplicates(["cls"]), "sets")
-    pairs = members.where("not led").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    links, link_paths = settled(_verified(pairs, sets, percent), "links")
-    link_paths = [link_paths]
+    led = members.where("cls <> lead")
+    links, links_path = written(_verified(led.select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), sets, percent), "links")
     comp, comp_path = connected_components(links)
-    named = lambda t: t.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    waiting = named(members.where("not led").select("bucket", "cls"))
-    mixed_buckets = waiting.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    open_, open_path = settled(waiting.join(mixed_buckets.hint("merge"), "bucket").select("cls").distinct(), "open")
-    if not open_.isEmpty():
-        prefix, prefix_path = written(_prefixes(sets.join(open_.hint("merge"), "cls", "left_semi"), percent), "prefix")
-        shared = prefix.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-        old = members_path
-        members, members_path = settled(prefix.join(shared.hint("merge"), "bucket").withColumn("led", F.lit(False)), "members")
-        dropped(spark, old, prefix_path)
-    dropped(spark, open_path)
-    slots = 32
-    while True:
-        if "n" not in members.columns:
-            break  # no bucket of bands was left with members to compare
-        waiting = named(members.where("not led").select("bucket", "cls", "n", "bits"))
-        counts = waiting.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-        main = counts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("m.component").alias("main"))
-        open_, open_path = settled(waiting.join(main.hint("merge"), "bucket"), "open")
-        if open_.isEmpty():
-            dropped(spark, open_path)
-            break
-        slot = F.pmod(F.xxhash64("cls", F.lit(slots)), F.lit(slots))
-        leaders = open_.where("component <> main").groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(order.alias("h"), "cls", "component", "n", "bits")).alias("x")).select("bucket", F.col("x.cls").alias("lead"), F.col("x.component").alias("lead_component"), F.col("x.n").alias("lead_n"), F.col("x.bits").alias("lead_bits"))
-        # exact bounds on what two sets can share: their sizes, and slots of odd difference, of which each takes an element
-        odd = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("lead_bits")[k])) for k in range(8)), F.lit(0))
-        near = (F.col("n") * 100 >= F.col("lead_n") * percent) & (F.col("lead_n") * 100 >= F.col("n") * percent) & (odd * (100 + percent) <= (F.col("n") + F.col("lead_n")) * (100 - percent))
-        pairs = open_.select("bucket", "cls", "n", "bits", "component").join(leaders.hint("merge"), "bucket").where((F.col("component") != F.col("lead_component")) & near).select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct()
-        more, path = settled(_verified(pairs, sets, percent), "links")
-        link_paths.append(path)
-        links = links.union(more)
-        old = members_path
-        led = leaders.select("bucket", F.col("lead").alias("cls"), F.lit(True).alias("leads"))
-        members, members_path = settled(open_.select("bucket", "cls", "n", "bits").join(led.hint("merge"), ["bucket", "cls"], "left").select("bucket", "cls", "n", "bits", F.coalesce("leads", F.lit(False)).alias("led")), "members")
-        dropped(spark, old, open_path)
-        if not more.isEmpty():
-            dropped(spark, comp_path)
-            comp, comp_path = connected_components(links)
-        slots *= 32
+    waiting = led.select("bucket", "cls").join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = waiting.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
+    open_ = waiting.join(mixed.hint("merge"), "bucket").select("cls", "component").distinct()
+    open_sets, open_path = written(sets.join(open_.hint("merge"), "cls"), "open")
+    pairs, paths = _rest(open_sets, percent)
+    more, more_path = written(_verified(pairs, sets, percent), "links")
+    dropped(spark, comp_path, open_path, *paths)
+    comp, comp_path = connected_components(links.union(more))
     roots = classes.select("cls", "rep", "copies").join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").where("copies > 1 or component is not null")
-    root, root_path = settled(roots.select("cls", F.coalesce("component", "cls").alias("component"), "rep"), "roots")
+    root, root_path = written(roots.select("cls", F.coalesce("component", "cls").alias("component"), "rep"), "roots")
     least = root.groupBy("component").agg(F.min("rep").alias("root"))
-    final, final_path = settled(root.join(least.hint("merge"), "component").select("cls", "root"), "roots")
-    dropped(spark, *link_paths, comp_path, sets_path, members_path, classes_path, root_path)
+    final, final_path = written(root.join(least.hint("merge"), "component").select("cls", "root"), "roots")
+    dropped(spark, links_path, more_path, comp_path, sets_path, members_path, classes_path, root_path)
     out = slim.select("doc", "n", F.when(F.col("doc").isNotNull(), F.col("cls")).alias("cls")).join(final.hint("merge"), "cls", "left")
     root_id = F.coalesce("root", "doc")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), root_id.alias("component_id"), F.coalesce(root_id == F.col("doc"), F.lit(True)).alias("kept"))
