@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from cohortmill.session import dropped, written
 
 
+def _renamed(rows: DataFrame, parent: DataFrame, col: str) -> DataFrame:
+    """rows with the node in `col` replaced by its parent, where it has one."""
+    up = parent.select(F.col("node").alias(col), F.col("component").alias("__up"))
+    return rows.join(up, col, "left").withColumn(col, F.coalesce("__up", col)).drop("__up")
+
+
 def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
     """edges(a, b), any comparable type, either direction, repeats and loops allowed.
 
@@ -16,30 +22,23 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
     itself and its neighbours as parent, parents are followed twice, and edges move to the parents;
     the number of nodes left with edges at least halves, so that rounds grow with the logarithm.
     Nothing is collected; a hub's edges meet only in a partial aggregate or a join that adaptive
-    execution can split. No edges: an empty table.
+    execution can split. Joins are with written tables, whose sizes Spark knows. No edges: an empty table.
     """
     spark = edges.sparkSession
-    live, live_path = written(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), "edges")
-    labels, labels_path = written(live.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
-    first = True
+    real = edges.where("a <> b")
+    live, live_path = written(real.select("a", "b").union(real.select("b", "a")).distinct(), "edges")
+    labels, labels_path = None, None
     while True:
-        if first:
-            parent, parent_path, first = labels, None, False
+        least, least_path = written(live.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "least")
+        parent, parent_path = written(_renamed(_renamed(least, least, "component"), least, "component").select("node", "component"), "parent")
+        old = [live_path, least_path]
+        live, live_path = written(_renamed(_renamed(live, parent, "a"), parent, "b").where("a <> b").distinct(), "edges")
+        if labels is None:
+            labels, labels_path = parent, parent_path
         else:
-            parent, parent_path = written(live.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "parent")
-        for _ in range(2):
-            up = parent.select(F.col("node").alias("component"), F.col("component").alias("up"))
-            old = parent_path
-            parent, parent_path = written(parent.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "parent")
-            if old:
-                dropped(spark, old)
-        up = parent.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        old = labels_path
-        labels, labels_path = written(labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
-        old_live = live_path
-        pa, pb = parent.select(F.col("node").alias("a"), F.col("component").alias("pa")), parent.select(F.col("node").alias("b"), F.col("component").alias("pb"))
-        live, live_path = written(live.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
-        dropped(spark, old, old_live, parent_path)
+            old += [labels_path, parent_path]
+            labels, labels_path = written(_renamed(labels, parent, "component").select("node", "component"), "labels")
+        dropped(spark, *old)
         if live.isEmpty():
             dropped(spark, live_path)
             return labels, labels_path

@@ -220,10 +220,10 @@ def near_duplicates(
     dropped(spark, comp_path, open_path, *paths)
     comp, comp_path = connected_components(links.union(more))
     roots = classes.select("cls", "rep", "copies").join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").where("copies > 1 or component is not null")
-    root, root_path = written(roots.select("cls", F.coalesce("component", "cls").alias("component"), "rep"), "roots")
+    root = roots.select("cls", F.coalesce("component", "cls").alias("component"), "rep")
     least = root.groupBy("component").agg(F.min("rep").alias("root"))
     final, final_path = written(root.join(least.hint("merge"), "component").select("cls", "root"), "roots")
-    dropped(spark, links_path, more_path, comp_path, sets_path, members_path, classes_path, root_path)
+    dropped(spark, links_path, more_path, comp_path, sets_path, members_path, classes_path)
     out = slim.select("doc", "n", F.when(F.col("doc").isNotNull(), F.col("cls")).alias("cls")).join(final.hint("merge"), "cls", "left")
     root_id = F.coalesce("root", "doc")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), root_id.alias("component_id"), F.coalesce(root_id == F.col("doc"), F.lit(True)).alias("kept"))
