@@ -77,15 +77,18 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
 
 
 def _class_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(cls, s) of the texts, cls recomputed as the set's digest."""
+    """(cls, s, odd) of the texts, cls recomputed as the set's digest; odd is the parity of the elements in 512
+    slots, which bounds from below how much two sets differ."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a, b in in_pieces(pdf["t"].tolist()):
-                sets = [x.tobytes() for x in shingle_sets(pdf["t"].iloc[a:b].tolist(), width)]
-                yield pd.DataFrame({"cls": [hashlib.blake2b(s, digest_size=16).digest() for s in sets], "s": sets})
+                sets = shingle_sets(pdf["t"].iloc[a:b].tolist(), width)
+                odd = [np.packbits((np.bincount((x >> np.uint64(41) & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64) for x in sets]
+                sets = [x.tobytes() for x in sets]
+                yield pd.DataFrame({"cls": [hashlib.blake2b(x, digest_size=16).digest() for x in sets], "s": sets, "odd": odd})
 
-    return texts.select("t").mapInPandas(run, "cls binary, s binary")
+    return texts.select("t").mapInPandas(run, "cls binary, s binary, odd array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -110,18 +113,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _elements(sets: DataFrame) -> DataFrame:
-    """(token, cls, component, n): every element of the sets, n being the set's size; arrays go out in slices."""
+    """(token, cls): every element of the sets; arrays go out in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("s").to_pylist()
             size = np.array([len(x) // 8 for x in raw], np.int64)
             for a, b in in_pieces([range(k) for k in size], 200_000):
-                who = pa.array(np.repeat(np.arange(a, b), size[a:b]))
                 token = np.frombuffer(b"".join(raw[a:b]), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token), batch.column("cls").take(who), batch.column("component").take(who), pa.array(np.repeat(size[a:b], size[a:b]))], ["token", "cls", "component", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), batch.column("cls").take(pa.array(np.repeat(np.arange(a, b), size[a:b])))], ["token", "cls"])
 
-    return sets.select("cls", "component", "s").mapInArrow(run, "token long, cls binary, component binary, n long")
+    return sets.select("cls", "s").mapInArrow(run, "token long, cls binary")
 
 
 #: Sizes of sets fall into classes whose bounds grow by this factor.
@@ -133,7 +135,7 @@ def _size_class(n: Column) -> Column:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(band, token, role, cls, component, n, at): where sets(cls, component, s) must meet if two of them are similar.
+    """(band, token, role, cls, component, n, odd, at): where sets(cls, component, s, odd) must meet if two of them are similar.
 
     Prefix filtering with one global order of elements, rarest first. Sets x and y, y not the larger one, are
     similar only if they share at least percent / (100 + percent) * (|x| + |y|) elements, so the first shared one
@@ -143,7 +145,8 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """
     elements = _elements(sets)
     seen = elements.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    common = elements.join(seen.hint("merge"), "token").groupBy("cls", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("e"))
+    common = elements.join(seen.hint("merge"), "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("e"))
+    common = common.join(sets.select("cls", "component", "odd", (F.length("s") / 8).cast("long").alias("n")).hint("merge"), "cls")
     n = F.col("n")
     shared = lambda m: F.ceil((n + m) * percent / (100 + percent) - 1e-6)  # noqa: E731  least number of shared elements
     least = F.ceil(n * percent / 100 - 1e-6)
@@ -153,23 +156,26 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     row = lambda k, role: lambda e, i: F.struct(k.alias("band"), e["token"].alias("token"), F.lit(role).alias("role"), (own + i).alias("at"))
     index = F.transform(cut(n - shared(n) + 1), row(_size_class(n), "y"))
     probe = F.flatten(F.transform(F.sequence(_size_class(least), _size_class(n)), lambda k: F.transform(cut(n - shared(floor_of(k)) + 1), row(k, "x"))))
-    return common.select("cls", "component", "n", F.explode(F.concat(index, probe)).alias("r")).select("r.band", "r.token", "r.role", "cls", "component", "n", "r.at")
+    return common.select("cls", "component", "n", "odd", F.explode(F.concat(index, probe)).alias("r")).select("r.band", "r.token", "r.role", "cls", "component", "n", "odd", "r.at")
 
 
 def _rest(sets: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
-    """(a, b): all pairs of sets(cls, component, s) that may be similar and lie in two components.
+    """(a, b): all pairs of sets(cls, component, s, odd) that may be similar and lie in two components.
 
-    A bucket's members of its largest component meet the others alone, never each other.
+    A bucket's members of its largest component meet the others alone, never each other; what sizes, places in
+    the order and parities rule out is left in the bucket.
     """
     rows, path = written(_prefixes(sets, percent), "prefix")
     key = ["band", "token"]
     parts = rows.groupBy(*key, "component").agg(F.count("*").alias("c"), F.max(F.col("role") == "y").alias("held"))
     mixed = parts.groupBy(*key).agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.max("held").alias("held")).where("parts > 1 and held").select(*key, F.col("m.component").alias("main"))
-    met, met_path = written(rows.join(mixed.hint("merge"), key).select(*key, "role", "cls", "component", "n", "at", (F.col("component") == F.col("main")).alias("main")), "met")
-    side = lambda role: met.where(F.col("role") == role).select(*key, *[F.col(c).alias(f"{role}_{c}") for c in ("cls", "component", "n", "at", "main")])
+    met, met_path = written(rows.join(mixed.hint("merge"), key).select(*key, "role", "cls", "component", "n", "odd", "at", (F.col("component") == F.col("main")).alias("main")), "met")
+    side = lambda role: met.where(F.col("role") == role).select(*key, *[F.col(c).alias(f"{role}_{c}") for c in ("cls", "component", "n", "odd", "at", "main")])
     x, y = side("x"), side("y")
     shared = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent) - 1e-6)
-    fits = (F.col("x_n") >= F.col("y_n")) & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= shared) & (F.col("x_component") != F.col("y_component"))
+    apart = sum((F.bit_count(F.col("x_odd")[k].bitwiseXOR(F.col("y_odd")[k])) for k in range(8)), F.lit(0))  # slots of odd difference, an element each
+    similar = apart * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent)
+    fits = (F.col("x_n") >= F.col("y_n")) & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= shared) & (F.col("x_component") != F.col("y_component")) & similar
     pairs = x.where("not x_main").join(y.hint("merge"), key).where(fits).union(x.where("x_main").join(y.where("not y_main").hint("merge"), key).where(fits))
     return pairs.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct(), [path, met_path]
 
@@ -184,8 +190,8 @@ def near_duplicates(
     candidates; candidates are confirmed on their full sets. component_id is the smallest id that links
     reach; kept marks the row that carries it.
 
-    Within a bucket of candidates all pairs are never made. One leader is compared with every member and
-    links are joined to components. Members of buckets that still hold several components meet by prefix
+    Within a bucket of candidates all pairs are never made. One leader, the member whose own buckets hold the most
+    rows (the middle of a group), is compared with every member and links are joined to components. Members of buckets that still hold several components meet by prefix
     filtering (_prefixes), which is exact: of the pairs of two components all that can reach the similarity are
     confirmed on their full sets, and components are those of all candidate pairs.
 
@@ -202,8 +208,12 @@ def near_duplicates(
         slim.where("cls is not null and doc is not null").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes"
     )
     member = classes.select("cls", "rep", F.explode("keys").alias("bucket"))
-    buckets = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("lead")).where("size > 1")
-    members, members_path = written(member.join(buckets.select("bucket", F.col("lead.cls").alias("lead")).hint("merge"), "bucket").select("bucket", "cls", "rep", "lead"), "members")
+    buckets = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    held, held_path = written(member.join(buckets.hint("merge"), "bucket"), "held")
+    weight = held.groupBy("cls").agg(F.sum("size").alias("weight"))
+    lead = held.join(weight.hint("merge"), "cls").groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("cls").alias("h"), "cls"))["cls"].alias("lead"))
+    members, members_path = written(held.join(lead.hint("merge"), "bucket").select("bucket", "cls", "rep", "lead"), "members")
+    dropped(spark, held_path)
     ids = members.select(F.col("rep").alias("doc")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).join(ids.hint("shuffle_hash"), "doc")
     # the digest is taken again, as an id may stand on rows with different texts
