@@ -1,19 +1,18 @@
 """SentencePiece encoding and decoding for merge-type vocabularies: a score-ordered agenda of adjacent pairs.
 
-A text is cut where no piece of the vocabulary can reach across: before a space mark that follows
-another character, and around characters that stand in no longer piece. Merges never cross such a cut,
-so a text's ids are those of its chunks in order, and chunks recur, so that most are encoded once. The
-agenda has two forms with one rule (highest score first, leftmost of equals): a heap for one long
-chunk, and a matrix of pair scores in which a great many short chunks take their best pair each round.
+A text is cut before each space mark that follows another character, where no piece of the vocabulary can
+reach across. Merges never cross such a cut, so a text's ids are those of its words in order, and words
+recur, so that most are encoded once; each word not met before goes through the agenda.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
-import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -38,208 +37,108 @@ class PieceModel:
         self.pieces = [lib.id_to_piece(i) for i in range(size)]
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i) for i in range(size)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
-        self.scores = {p: lib.get_score(i) for p, i in self.ids.items()}
+        self.rank = {p: -lib.get_score(i) for p, i in self.ids.items()}  # least first
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if lib.is_byte(i)}
         if len(self.byte_ids) < 256:
             raise ValueError("the vocabulary has no byte fallback")
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
-        longer = [p for p in self.ids if len(p) > 1]
-        joined = {c for p in longer for c in p} - {SPACE}
-        if any(SPACE in p.lstrip(SPACE) for p in longer):
-            self.chunk = re.compile(r"(?s).+")  # a piece holds an inner space: no cut is safe
-        else:
-            inner = "".join(map(re.escape, sorted(joined)))
-            self.chunk = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|(?s:.)")
-
-        self._tables()
-
-    def _tables(self) -> None:
-        """Arrays for the matrix agenda: symbols of characters and a hash table of mergeable pairs."""
-        self.size = len(self.pieces)
-        self.char = np.arange(0x110000, dtype=np.int64) + self.size  # characters that are no piece: beyond the ids
-        for p, i in self.ids.items():
-            if len(p) == 1:
-                self.char[ord(p)] = i
-        symbol = lambda p: self.ids[p] if p in self.ids else ord(p) + self.size if len(p) == 1 else None
-        pairs = {}
-        for p, i in self.ids.items():
-            for cut in range(1, len(p)):
-                a, b = symbol(p[:cut]), symbol(p[cut:])
-                if a is not None and b is not None:
-                    pairs[a << 32 | b] = i
-        bits = max(12, (4 * len(pairs)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.slot_key, self.slot_id = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
-        keys, ids = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
-        at = self._slot(keys)
-        while len(keys):  # linear probing: of the pairs that want a free slot one gets it
-            free = self.slot_key[at] < 0
-            _, first = np.unique(at, return_index=True)
-            won = np.zeros(len(keys), bool)
-            won[first] = True
-            won &= free
-            self.slot_key[at[won]], self.slot_id[at[won]] = keys[won], ids[won]
-            keys, ids, at = keys[~won], ids[~won], (at[~won] + 1) & (len(self.slot_key) - 1)
-        self.score = np.array([self.scores.get(p, 0.0) for p in self.pieces], np.float32)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece that each pair of symbols makes, or -1."""
-        keys = left << 32 | right
-        at = self._slot(keys)
-        out = np.full(len(keys), -1, np.int32)
-        todo = np.arange(len(keys))
-        while len(todo):
-            found = self.slot_key[at[todo]]
-            hit = found == keys[todo]
-            out[todo[hit]] = self.slot_id[at[todo[hit]]]
-            todo = todo[~hit & (found >= 0)]
-            at[todo] = (at[todo] + 1) & (len(self.slot_key) - 1)
-        return out
+        self.size = size
+        self.raw = [bytes([self.bytes_of[i]]) if i in self.bytes_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.whole = any(SPACE in p.lstrip(SPACE) for p in self.ids if len(p) > 1)  # a piece holds an inner space: no cut is safe
+
+    _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+
+    def words(self, text: str) -> list[str]:
+        """The text's words, each without one leading space mark."""
+        if not text:
+            return []
+        marked = text.replace(" ", SPACE)
+        if self.whole:
+            return [marked]
+        parts = marked.split(SPACE)
+        return [w[1:] for w in self._WORD.findall(SPACE + marked)] if "" in parts else parts
 
-    def agenda_matrix(self, chunks: list[str]) -> list[np.ndarray]:
-        """Symbols of many chunks (ids, or the vocabulary's size plus a code point where no piece was found)."""
-        out: list = [None] * len(chunks)
-        by: dict[int, list[int]] = {}
-        for k, c in enumerate(chunks):
-            by.setdefault(-(-len(c) // 6) * 6, []).append(k)
-        for width, rows in by.items():
-            text = [chunks[k] for k in rows]
-            length = np.fromiter(map(len, text), np.int64, len(text))
-            sym = self.char[np.array(text, f"<U{width}").view(np.uint32).reshape(len(text), width)]
-            col = np.arange(width)
-            real = col[None, : width - 1] < length[:, None] - 1
-            made = np.full((len(text), width), -1, np.int32)
-            made[:, :-1][real] = self._merged(sym[:, :-1][real], sym[:, 1:][real])
-            worth = np.where(made >= 0, self.score[made], np.float32(-np.inf))
-            row = np.arange(len(text))
-            done_sym, done_len = sym.copy(), length.copy()
-            while len(row):
-                best = worth.argmax(1)
-                i = np.arange(len(row))
-                go = made[i, best] >= 0
-                if not go.all():
-                    done_sym[row[~go]], done_len[row[~go]] = sym[~go], length[~go]
-                    row, sym, made, worth, length, best = row[go], sym[go], made[go], worth[go], length[go], best[go]
-                    i = np.arange(len(row))
-                    if not len(row):
-                        break
-                sym[i, best] = made[i, best]
-                take = np.minimum(col[None, :] + (col[None, :] > best[:, None]), width - 1)
-                sym, made, worth = (np.take_along_axis(x, take, 1) for x in (sym, made, worth))
-                length -= 1
-                made[:, -1], worth[:, -1] = -1, -np.inf
-                for at, ok in ((best - 1, best > 0), (best, best < length - 1)):
-                    j = np.flatnonzero(ok)
-                    m = self._merged(sym[j, at[j]], sym[j, at[j] + 1])
-                    made[j, at[j]], worth[j, at[j]] = m, np.where(m >= 0, self.score[m], np.float32(-np.inf))
-                end = np.flatnonzero((best >= length - 1) & (best < width))
-                made[end, best[end]], worth[end, best[end]] = -1, -np.inf
-            for k, r in enumerate(rows):
-                out[r] = done_sym[k, : done_len[k]]
-        return out
+    def chunks(self, text: str) -> list[str]:
+        return [SPACE + w for w in self.words(text)]
 
-    def encode_chunks(self, chunks: list[str], longest: int = 48) -> list[list[int]]:
-        """Ids of many distinct chunks: the matrix for short ones, the heap for each long one."""
-        short = [k for k, c in enumerate(chunks) if len(c) <= longest]
-        out: list = [None] * len(chunks)
-        for k, s in zip(short, self.agenda_matrix([chunks[k] for k in short]), strict=True):
-            s = s.tolist()
-            out[k] = s if max(s) < self.size else [b for x in s for b in ([x] if x < self.size else [self.byte_ids[y] for y in chr(x - self.size).encode()])]
-        return [self.agenda(c) if x is None else x for c, x in zip(chunks, out, strict=True)]
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        return [self.agenda(c) for c in chunks]
 
     def agenda(self, chunk: str) -> list[int]:
         """Ids of one chunk: the best-scored adjacent pair merges first, the leftmost of equals, until none is a piece."""
-        if chunk in self.ids and len(chunk) == 1:
-            return [self.ids[chunk]]
-        scores = self.scores
-        symbols: list[str] = list(chunk)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue: list[tuple[float, int, int, str]] = []
-
-        def offer(left: int, right: int) -> None:
-            if left >= 0 and right >= 0 and (both := symbols[left] + symbols[right]) in scores:
-                heapq.heappush(queue, (-scores[both], left, right, both))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        rank, n = self.rank, len(chunk)
+        symbols = list(chunk)
+        before, after = list(range(-1, n)), list(range(1, n + 1))
+        queue = [(rank[p], i, i + 1, p) for i, p in enumerate(map(add, symbols, symbols[1:])) if p in rank]
+        heapify(queue)
         while queue:
-            _, left, right, both = heapq.heappop(queue)
-            if not symbols[left] or not symbols[right] or after[left] != right or symbols[left] + symbols[right] != both:
+            _, left, right, both = heappop(queue)
+            if after[left] != right or symbols[left] + symbols[right] != both:
                 continue  # one of the two has merged with another meanwhile
             symbols[left], symbols[right] = both, ""
-            after[left] = after[right]
-            if after[right] >= 0:
-                before[after[right]] = left
-            offer(before[left], left)
-            offer(left, after[left])
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                out.extend([i] if i is not None else [self.byte_ids[b] for b in s.encode()])
-        return out
-
-    def chunks(self, text: str) -> list[str]:
-        return self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
+            far = after[left] = after[right]
+            after[right] = -1
+            before[far] = left
+            near = before[left]
+            if near >= 0 and (p := symbols[near] + both) in rank:
+                heappush(queue, (rank[p], near, left, p))
+            if far < n and (p := both + symbols[far]) in rank:
+                heappush(queue, (rank[p], left, far, p))
+        try:
+            return [self.ids[x] for x in symbols if x]
+        except KeyError:  # a character that is no piece
+            return [i for x in symbols if x for i in ([self.ids[x]] if x in self.ids else [self.byte_ids[b] for b in x.encode()])]
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks(text) for i in self.agenda(c)]
 
-    def surface(self, ids: list[int]) -> str:
-        """The characters of some ids, space marks as spaces; runs of byte pieces as UTF-8."""
-        raw = bytearray()
-        for i in ids:
-            raw += bytes([self.bytes_of[i]]) if i in self.bytes_of else self.pieces[i].replace(SPACE, " ").encode()
-        return raw.decode("utf-8", "replace")
-
     def decode(self, ids: list[int]) -> str:
-        text = self.surface(ids)
+        """The characters of some ids, space marks as spaces, the leading one dropped; runs of byte pieces as UTF-8."""
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
-    def library_ids(self, chunks: list[str]) -> list[list[int]]:
-        """The library's ids of chunks as they stand inside a text."""
-        inner = [c.replace(SPACE, " ") for c in chunks]
-        led = [c.startswith(SPACE) and len(c) > 1 for c in chunks]
-        got = self.library.encode([x[1:] if s else "\n" + x for x, s in zip(inner, led, strict=True)], num_threads=1)
-        return [g if s else g[2:] for g, s in zip(got, led, strict=True)]
+
+class WordMemo:
+    """Ids of recurring words; at most `most` words are remembered from one call to the next, long ones never."""
+
+    def __init__(self, model: PieceModel, most: int = 300_000, longest: int = 64):
+        self.model, self.most, self.longest = model, most, longest
+        self.known: dict[str, list[int]] = {}
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Per text its ids."""
+        words = [self.model.words(t) for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = set().union(*words).difference(self.known)
+        self.known.update((w, self.model.agenda(SPACE + w)) for w in new)
+        out = [list(chain.from_iterable(map(self.known.__getitem__, ws))) for ws in words]
+        for w in new:
+            if len(w) > self.longest:
+                del self.known[w]
+        return out
 
 
-_MODELS: dict[bytes, PieceModel] = {}
+_MEMOS: dict[bytes, WordMemo] = {}
 
 
-def model_of(proto: bytes) -> PieceModel:
-    """One model a worker, however many batches it serves."""
+def memo_of(proto: bytes) -> WordMemo:
+    """One model a worker with what it remembers, however many batches it serves."""
     key = hashlib.sha256(proto).digest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = PieceModel(proto)
-    return _MODELS[key]
+    if key not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[key] = WordMemo(PieceModel(proto))
+    return _MEMOS[key]
 
 
-def token_counts(model: PieceModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_counts(memo: WordMemo, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text: its number of tokens, how many of them are byte pieces, and the entropy of its tokens in bits."""
-    known: dict[str, int] = {}
-    at, of = [], []
-    for t in texts:
-        chunks = model.chunks(t)
-        of.append(len(chunks))
-        at.extend([known.setdefault(c, len(known)) for c in chunks])
-    n = len(texts)
-    if not at:
+    model, ids, n = memo.model, memo.encode(texts), len(texts)
+    total = np.fromiter(map(len, ids), np.int64, n)
+    if not total.sum():
         return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    ids = model.encode_chunks(list(known))
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))
-    begin = np.cumsum(size) - size
-    at = np.array(at)
-    doc = np.repeat(np.repeat(np.arange(n), of), size[at])
-    step = np.arange(len(doc)) - np.repeat(np.cumsum(size[at]) - size[at], size[at])
-    token = flat[np.repeat(begin[at], size[at]) + step]
-    total = np.bincount(doc, minlength=n)
+    token = np.fromiter(chain.from_iterable(ids), np.int64, int(total.sum()))
+    doc = np.repeat(np.arange(n), total)
     is_byte = np.zeros(model.size, bool)
     is_byte[list(model.bytes_of)] = True
     is_byte[model.byte_ids[10]] = False  # the line end has no other piece
@@ -249,64 +148,14 @@ def token_counts(model: PieceModel, texts: list[str]) -> tuple[np.ndarray, np.nd
     return total, np.bincount(doc, weights=is_byte[token], minlength=n).astype(np.int64), np.bincount(of_doc, weights=-p * np.log2(p), minlength=n)
 
 
-class ChunkMemo:
-    """Encodings of recurring chunks, of bounded size: ids as text, the surface, and the count of ids."""
-
-    def __init__(self, model: PieceModel, most: int = 300_000, longest: int = 48, check: bool = True):
-        self.model, self.most, self.longest, self.check = model, most, longest, check
-        self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
-        self.wrong: set[str] = set()
-        self.number = [str(i) for i in range(model.size)]
-        self.surface = [None if i in model.bytes_of else p.replace(SPACE, " ") for i, p in enumerate(model.pieces)]
-
-    def learn(self, chunks: list[list[str]]) -> None:
-        """Encode what is new in the chunks of some texts; forgotten is what came before, once it is too much."""
-        if len(self.ids) > self.most:
-            self.ids.clear()
-            self.text.clear()
-        new = [c for c in set().union(*chunks) if c not in self.ids]
-        own = self.model.encode_chunks(new, self.longest)
-        number, surface = self.number, self.surface
-        for c, ids in zip(new, own, strict=True):
-            self.ids[c] = ",".join([number[i] for i in ids])
-            parts = [surface[i] for i in ids]
-            self.text[c] = self.model.surface(ids) if None in parts else "".join(parts)
-        if self.check:
-            self.wrong.update(c for c, x, y in zip(new, own, self.model.library_ids(new), strict=True) if x != y)
-        self.long = [c for c in new if len(c) > self.longest]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, str, bool]]:
-        """Per text its ids joined by commas, the decoded text, and whether all its chunks agreed with the library."""
-        chunks = [self.model.chunks(t) for t in texts]
-        self.learn(chunks)
-        for c in chunks:
-            text = "".join(map(self.text.__getitem__, c))
-            yield ",".join(map(self.ids.__getitem__, c)), text[1:] if text.startswith(" ") else text, not self.wrong or self.wrong.isdisjoint(c)
-        for c in self.long:
-            del self.ids[c], self.text[c]
-
-
-_MEMOS: dict[int, ChunkMemo] = {}
-
-
-def memo_of(proto: bytes) -> ChunkMemo:
-    model = model_of(proto)
-    if id(model) not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[id(model)] = ChunkMemo(model)
-    return _MEMOS[id(model)]
-
-
-def encoded(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids: bool = True, check_one_in: int = 16) -> DataFrame:
+def encoded(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """docs' columns but the text, plus n_tokens, ids_sha256, decoded_sha256, agrees and, with keep_ids, ids (array<int>).
 
-    Whole texts, no begin or end ids, no sampling; decoding is ours too. In each Arrow batch every chunk not
-    met before is compared with the library's encoding of it, and of one text in `check_one_in` (by crc32 of
-    its bytes) also the whole encoding and the library's decode; agrees is false where any differs. Null
+    Whole texts, no begin or end ids, no sampling; decoding is ours too. In each Arrow batch every whole text is
+    encoded and decoded by the library as well; agrees is false where ids or decoded text differ. Null
     texts count as empty: no ids, both digests those of the empty string. Repeated rows give repeated rows; an
     empty table an empty one; columns of docs named like an output are replaced. The model is broadcast from
-    the driver (under 1 MB); a worker's memory of chunks is bounded, and a text only adds its own size.
+    the driver (under 1 MB); a worker's memory of words is bounded, and a text only adds its own size.
     """
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
@@ -316,17 +165,17 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = memo_of(proto.value)
+        model, library, number = memo.model, memo.model.library, [str(i) for i in range(memo.model.size)]
         for pdf in batches:
             texts = [t or "" for t in pdf.pop(text_col)]
-            rows = []
-            for a, b in in_pieces(texts, 4_000_000):
-                for t, (ids, text, right) in zip(texts[a:b], memo.encode(texts[a:b]), strict=True):
-                    if t and zlib.crc32(t.encode()) % check_one_in == 0:
-                        theirs = memo.model.library.encode(t, num_threads=1)
-                        right = right and ids == ",".join(map(str, theirs)) and text == memo.model.library.decode(theirs)
-                    row = [ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), right]
-                    rows.append(row + [[int(i) for i in ids.split(",")] if ids else []] * keep_ids)
-            yield pdf.assign(**{m: [r[k] for r in rows] for k, m in enumerate(made)})
+            for a, b in in_pieces(texts, 2_000_000):
+                rows = []
+                theirs = library.encode(texts[a:b], num_threads=1)
+                for ids, lib_ids in zip(memo.encode(texts[a:b]), theirs, strict=True):
+                    text = model.decode(ids)
+                    row = [len(ids), hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), ids == lib_ids and text == library.decode(lib_ids)]
+                    rows.append(row + [ids] * keep_ids)
+                yield pdf.iloc[a:b].assign(**{m: [r[k] for r in rows] for k, m in enumerate(made)})
 
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "agrees": "boolean", "ids": "array<int>"}
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + [f"{m} {kinds[m]}" for m in made])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortmill.llm.pieces import model_of, public_model, token_counts
+from cohortmill.llm.pieces import memo_of, public_model, token_counts
 from cohortmill.llm.shingles import in_pieces, mix64, word_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -69,12 +69,12 @@ def measured(docs: DataFrame, model_path: str | None = None, text_col: str = "te
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = model_of(proto.value)
+        memo = memo_of(proto.value)
         for pdf in batches:
             texts = [t or "" for t in pdf["__t"]]
             for a, b in in_pieces(texts, 3_000_000):
                 out = pdf.iloc[a:b].drop(columns="__t")
-                total, in_bytes, entropy = token_counts(model, texts[a:b])
+                total, in_bytes, entropy = token_counts(memo, texts[a:b])
                 yield out.assign(**base_counts(texts[a:b]), n_tokens=total, n_byte_tokens=in_bytes, token_entropy=entropy)
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{k} {v}" for k, v in made.items()])

@@ -82,7 +82,7 @@ def test_pieces_equal_the_library(docs):
         assert ids == r.ids and hashlib.sha256(lib.decode(ids).encode()).hexdigest() == r.decoded_sha256
 
 
-def test_heap_and_matrix_agree():
+def test_chunks_equal_the_library():
     from cohortmill.llm.pieces import PieceModel, public_model
 
     with open(public_model(), "rb") as f:
@@ -122,12 +122,12 @@ def test_quality_keeps_the_good(spark):
 def test_token_counts(docs):
     import sentencepiece
 
-    from cohortmill.llm.pieces import PieceModel, public_model, token_counts
+    from cohortmill.llm.pieces import PieceModel, WordMemo, public_model, token_counts
 
     with open(public_model(), "rb") as f:
         m = PieceModel(f.read())
     texts = [r.text for r in docs.limit(40).collect()] + ["", "日本 ☂"]
-    total, in_bytes, entropy = token_counts(m, texts)
+    total, in_bytes, entropy = token_counts(WordMemo(m), texts)
     lib = sentencepiece.SentencePieceProcessor(model_file=public_model())
     for t, n, b, h in zip(texts, total, in_bytes, entropy, strict=True):
         ids = lib.encode(t)
