@@ -275,34 +275,55 @@ def test_mixing_rakes_every_category(spark):
     assert len(small) == 105 and all(large[k] == pytest.approx(small[k], rel=1e-4) for k in small)
 
 
-def test_neighbours_recall(spark):
+def _recall(got, x, ids, queries, k=20):
+    score = x[queries] @ x.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    hits = sum(len(got[int(ids[i])] & set(ids[np.argsort(-score[j])[:k]].tolist())) for j, i in enumerate(queries))
+    return hits / (k * len(queries))
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.5])
+def test_neighbours_recall(spark, spread):
+    """Vectors without structure whose norms are alike, unlike, and very unlike; the defaults."""
     from cohortmill.llm.ann import nearest
 
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(5000, 32)) * rng.uniform(0.5, 2, (5000, 1))
+    x = rng.normal(size=(5000, 32)) * np.exp(spread * rng.normal(size=(5000, 1)))
     v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
-    q = list(range(0, 5000, 100))
     got = collections.defaultdict(set)
-    for r in nearest(v, v.where("vec_id % 100 = 0"), least=500, shard_rows=2000).collect():
+    for r in nearest(v, v.where("vec_id % 100 = 0"), shard_rows=2000, block_rows=30).collect():
         got[r.query_id].add(r.vec_id)
         assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]))
-    score = x[q] @ x.T
-    score[np.arange(len(q)), q] = -np.inf
-    hits = sum(len(got[i] & set(np.argsort(-score[k])[:20].tolist())) for k, i in enumerate(q))
-    assert hits / (20 * len(q)) >= 0.9
+    assert _recall(got, x, np.arange(5000), np.arange(0, 5000, 100)) >= 0.9
+
+
+@pytest.mark.parametrize("sf,most", [("sf0.001", 0.5), ("sf0.1", 0.36)])
+def test_neighbours_of_the_given_vectors(spark, sf, most):
+    """The registered query on the whole table: recall, and the share of vectors that were multiplied."""
+    from cohortmill.llm.catalog import queries
+
+    d = f"/root/testdata/{sf}"
+    rows = sorted(spark.read.parquet(f"{d}/embeddings.parquet").collect(), key=lambda r: r.vec_id)
+    x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    got, shares = collections.defaultdict(set), []
+    for r in queries()["op7_prefix_forest"](spark, d).collect():
+        got[r.query_id].add(r.vec_id)
+        shares.append(r.scored / r.held)
+    assert _recall(got, x, ids, np.flatnonzero(ids % 20 == 0)) >= 0.9 and np.mean(shares) < most
 
 
 def test_forest_candidates_share_the_longest_prefixes():
-    from cohortmill.llm.ann import Forest
+    from cohortmill.llm.ann import SYMBOL_BITS, SYMBOLS, Forest
 
     rng = np.random.default_rng(4)
-    s = rng.integers(0, 2**63, (300, 3)).astype(np.uint64)
-    f, q = Forest(s), rng.integers(0, 2**63, (5, 3)).astype(np.uint64)
-    found = f.candidates(q, 20)
-    for i in range(5):
-        depth = np.array([max(64 - int(a ^ b).bit_length() for a, b in zip(row, q[i], strict=True)) for row in s])
-        least = depth[found[i]].min()
-        assert found[i].sum() >= 20 and (found[i] == (depth >= least)).all() and (depth > least).sum() < 20
+    symbols = rng.integers(0, 6, (305, 3, SYMBOLS)).astype(np.uint64)
+    s = sum(symbols[:, :, j] << np.uint64(SYMBOL_BITS * (SYMBOLS - 1 - j)) for j in range(SYMBOLS))
+    f = Forest(s[:300])
+    for q, near in zip(symbols[300:], f.candidates(s[300:], 40), strict=True):
+        depth = (symbols[:300] == q).cumprod(2).sum(2).max(1)
+        least = depth[near].min()
+        assert len(near) >= 40 and set(np.flatnonzero(depth > least)) <= set(near) and (depth > least).sum() < 40
+    assert all(len(c) == 300 for c in f.candidates(s[300:], 300))
 
 
 def test_warc_files_and_broken_archives(spark, tmp_path):
