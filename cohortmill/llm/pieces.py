@@ -99,9 +99,9 @@ class PieceModel:
 
 
 class WordMemo:
-    """Ids of recurring words; at most `most` words are remembered from one call to the next, long ones never."""
+    """Ids of recurring words; about `most` words (some 270 MB) are remembered from one call to the next, long ones never."""
 
-    def __init__(self, model: PieceModel, most: int = 300_000, longest: int = 64):
+    def __init__(self, model: PieceModel, most: int = 1_000_000, longest: int = 64):
         self.model, self.most, self.longest = model, most, longest
         self.known: dict[str, list[int]] = {}
 
