@@ -233,9 +233,9 @@ def radial_displacement(nodes: DataFrame, displacement: DataFrame, half_height:
     centre = mid.groupBy("mesh_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n")).where("n >= 10")
     mid = mid.join(centre, "mesh_id").withColumn("r", F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)))
     med = mid.groupBy("mesh_id").agg(F.median("r").alias("rm"))
-    d = mid.join(med, "mesh_id").join(displacement.select("mesh_id", "node_id", "ux", "uy"), ["mesh_id", "node_id"]).where("r > 0.1")
+    d = mid.join(med, "mesh_id").join(displacement.select("mesh_id", "node_id", "ux", "uy"), ["mesh_id", "node_id"]).where(F.round("r", 9) > 0.1)
     out = ((F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy")) / F.col("r")
-    inside = F.col("r") < F.col("rm") - 1e-9  # a node on the median stays outside, whatever the order of sums
+    inside = F.round("r", 9) < F.round("rm", 9)  # a node on the median stays outside, whatever the order of sums
     got = d.groupBy("mesh_id").agg(F.avg(F.when(inside, out)).alias("endo"), F.avg(F.when(~inside, out)).alias("epi"))
     return box.select("mesh_id").join(got, "mesh_id", "left").fillna(0.0, ["endo", "epi"])
 

@@ -31,22 +31,29 @@ def audit_events(operations: DataFrame, actor: Column, action: Column, subject:
 
 
 def upsert_status(jobs: DataFrame, changes: DataFrame, key: str = "job_id") -> DataFrame:
-    """jobs(key, status, completed_at, ..) after changes(key, status, completed_at): known keys change these two, new ones enter."""
+    """jobs(key, status, completed_at, ..) after changes(key, status, completed_at): known keys change these two, new ones enter.
+    changes may repeat a key: the one completed last counts, then the greatest status; null keys are left out."""
     rest = [c for c in jobs.columns if c not in (key, "status", "completed_at")]
-    new = changes.select(key, F.col("status").alias("__s"), F.col("completed_at").alias("__c"), F.lit(True).alias("__new"))
+    last = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct("completed_at", "status")).alias("r"))
+    new = last.select(key, F.col("r.status").alias("__s"), F.col("r.completed_at").alias("__c"), F.lit(True).alias("__new"))
     j = jobs.join(new, key, "full_outer")
     pick = lambda a, b: F.when(F.col("__new"), F.col(a)).otherwise(F.col(b))
     return j.select(key, pick("__s", "status").alias("status"), pick("__c", "completed_at").alias("completed_at"), *rest)
 
 
 def insert_if_absent(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """rows and those of new whose key is not among them; nothing else changes."""
-    return rows.unionByName(new.dropDuplicates([key]).join(rows.select(key), key, "left_anti").select(*rows.columns))
+    """rows and those of new whose key is not among them, of repeated keys the least row; nothing else changes."""
+    rest = [c for c in rows.columns if c != key]
+    one = new.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*") if rest else new.select(key).distinct()
+    return rows.unionByName(one.join(rows.select(key), key, "left_anti").select(*rows.columns))
 
 
 def lookup(ids: DataFrame, rows: DataFrame, key: str, valid: Column | None = None) -> DataFrame:
-    """ids with the rows of that key and found: `ok`, `not_found` or, where `valid` is false, `bad_format`."""
-    j = ids.join(rows.withColumn("__hit", F.lit(True)), key, "left")
+    """ids with the row of that key and found: `ok`, `not_found` or, where `valid` is false, `bad_format`. Of repeated
+    keys in rows the greatest row counts, so that ids never multiply."""
+    rest = [c for c in rows.columns if c != key]
+    one = rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("r")).select(key, "r.*", F.lit(True).alias("__hit")) if rest else rows.select(key).distinct().withColumn("__hit", F.lit(True))
+    j = ids.join(one, key, "left")
     ok = F.when(F.col("__hit"), "ok").otherwise("not_found")
     return j.withColumn("found", ok if valid is None else F.when(~valid, "bad_format").otherwise(ok)).drop("__hit")
 

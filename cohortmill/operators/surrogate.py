@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortmill.operators.design import lhs_design
+from cohortmill.session import written
 
 Z90 = 1.6448536269514722
 
@@ -33,19 +32,18 @@ def fit_surrogates(long: DataFrame, inputs: list[str], most: int = 600, least_st
     """A Gaussian process (constant times squared exponential, a length a parameter, and noise) for each cohort and
     output of long(cohort, output, y, inputs), many side by side; constant outputs have none.
 
-    A model's support is bounded, as fitting is cubic: of larger groups the `most` rows least by hash are taken
-    before they meet in a task. Lengths and noise come from a seeded grid by marginal likelihood.
+    A group of up to `most` rows is fitted on every row. A model's support is bounded, as fitting is cubic: of larger
+    groups the `most` rows least by hash are taken, which partitions cut down before rows meet in a task. Lengths and noise come from a seeded grid by marginal likelihood.
     """
-    # rows of a group get a slot by hash and compete for it, so that no group is sorted or gathered whole
-    slot = F.pmod(F.xxhash64(F.lit(seed), *inputs, "y"), F.lit(most))
-    rows = long.groupBy("cohort", "output", slot.alias("__slot")).agg(F.min(F.struct(F.xxhash64(F.lit(seed + 1), *inputs, "y").alias("h"), *inputs, "y")).alias("r")).select("cohort", "output", "r.*").drop("h")
+    order = Window.partitionBy("cohort", "output").orderBy(F.xxhash64(F.lit(seed), *inputs, "y"), *inputs, "y")
+    rows = long.select("cohort", "output", *inputs, "y", F.row_number().over(order).alias("__rank")).where(F.col("__rank") <= most).drop("__rank")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*inputs, "y"])
         x, y = pdf[inputs].to_numpy(float), pdf["y"].to_numpy(float)
         xm, xs, ym, ys = x.mean(0), x.std(0) + 1e-8, y.mean(), y.std()
         if ys <= least_std or len(y) < 3:
-            return pd.DataFrame(columns=[c.split()[0] for c in MODEL.split(", ")])
+            return pd.DataFrame()
         z, t = (x - xm) / xs, (y - ym) / ys
         rng = np.random.default_rng(seed)
         tries = np.exp(rng.uniform(np.log(0.3), np.log(8.0), (40, z.shape[1])))
@@ -70,25 +68,33 @@ def fit_surrogates(long: DataFrame, inputs: list[str], most: int = 600, least_st
     return rows.groupBy("cohort", "output").applyInPandas(fit, MODEL)
 
 
-def predict_surrogates(params: DataFrame, models: DataFrame, inputs: list[str], keys: list[str], strict: bool = False) -> DataFrame:
-    """(keys, cohort, output, mean, std): each parameter row scored by each model; models are few and bounded, so they
-    are joined as a broadcast table and scored in Arrow batches. Missing parameters count as 0, or raise if strict."""
+def predict_surrogates(params: DataFrame, models: DataFrame, inputs: list[str], keys: list[str], strict: bool = False, block_rows: int = 20_000) -> DataFrame:
+    """(keys, cohort, output, mean, std): each parameter row scored by the models of its cohort, where params has a
+    column cohort, else by every model. Rows meet their models in blocks of about `block_rows`, however many a cohort
+    has; nothing goes through the driver. Missing parameters count as 0, or raise if strict."""
     have = [F.col(c).cast("double") if c in params.columns else F.lit(None).cast("double") for c in inputs]
     if strict and any(c not in params.columns for c in inputs):
         raise ValueError("missing parameters: " + ", ".join(c for c in inputs if c not in params.columns))
-    rows = params.select(*keys, F.array(*[F.coalesce(c, F.lit(0.0)) for c in have]).alias("__x"))
-    held = models.sparkSession.sparkContext.broadcast([r.asDict() for r in models.collect()])  # one row a model, of bounded support
+    own = "cohort" in params.columns
+    rows = params.select(*keys, F.array(*[F.coalesce(c, F.lit(0.0)) for c in have]).alias("__x"), (F.col("cohort") if own else F.lit("")).alias("__c"))
+    counts, _ = written(rows.groupBy("__c").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("__n")), "blocks")
+    rows = rows.join(counts, "__c").withColumn("__b", F.pmod(F.xxhash64(*keys), F.col("__n")).cast("int")).drop("__n")
+    held = models.withColumn("__c", F.col("cohort") if own else F.lit("")).join(counts, "__c").withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
     schema = ", ".join([f"`{k}` {params.schema[k].dataType.simpleString()}" for k in keys] + ["cohort string", "output string", "mean double", "std double"])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array(pdf["__x"].tolist()).reshape(len(pdf), len(inputs))
-            for m in held.value:
-                k = _kernel((x - np.array(m["x_mean"])) / np.array(m["x_std"]), np.array(m["support"]), np.array(m["length"]))
-                var = np.maximum(1.0 + m["noise"] - np.einsum("ij,jk,ik->i", k, np.array(m["inverse"]), k), 0.0)
-                yield pdf[keys].assign(cohort=m["cohort"], output=m["output"], mean=m["mean"] + m["std"] * (k @ np.array(m["alpha"])), std=m["std"] * np.sqrt(var))
-
-    return rows.mapInPandas(score, schema)
+    names = [*keys, "cohort", "output", "mean", "std"]
+
+    def score(pdf: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or of.empty:
+            return pd.DataFrame()
+        x, out = np.array(pdf["__x"].tolist()).reshape(len(pdf), len(inputs)), []
+        for m in of.to_dict("records"):
+            support, inverse = (np.array([*map(np.asarray, m[c])]) for c in ("support", "inverse"))
+            k = _kernel((x - np.array(m["x_mean"])) / np.array(m["x_std"]), support, np.array(m["length"]))
+            var = np.maximum(1.0 + m["noise"] - ((k @ inverse) * k).sum(1), 0.0)
+            out.append(pdf[keys].assign(cohort=m["cohort"], output=m["output"], mean=m["mean"] + m["std"] * (k @ np.array(m["alpha"])), std=m["std"] * np.sqrt(var)))
+        return pd.concat(out)[names]
+
+    return rows.groupBy("__c", "__b").cogroup(held.groupBy("__c", "__b")).applyInPandas(score, schema)
 
 
 def kernel_mean(params: DataFrame, support: DataFrame, inputs: list[str], key: str) -> DataFrame:

@@ -125,6 +125,12 @@ def zscore_positive(df: DataFrame, value: str, by: str, eps: float = 1e-8) -> Da
     return df.join(stat, by).withColumn("z", (F.col(value) - F.col("__m")) / (F.col("__s") + eps)).drop("__m", "__s")
 
 
+def zscore_plain(df: DataFrame, value: str, by: str, eps: float = 1e-8) -> DataFrame:
+    """df with z by mean and deviation of all values of the group, eps added to the deviation."""
+    stat = df.groupBy(by).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    return df.join(stat, by).withColumn("z", (F.col(value) - F.col("__m")) / (F.col("__s") + eps)).drop("__m", "__s")
+
+
 def threshold_label(df: DataFrame, value: str, by: str, strict: bool = False) -> DataFrame:
     """df with a label by the group's mean: over 1.5 times 3, over 0.8 times 2, else 0. strict tests 0.8 last, as
     a known script does, so that 3 is never reached."""

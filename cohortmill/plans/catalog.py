@@ -6,7 +6,7 @@ import importlib
 
 from cohortmill.plans.base import QUERIES, SQL
 
-for _name in ("deid_queries", "voxel_queries", "mesh_queries", "trace_queries", "design_queries"):
+for _name in ("deid_queries", "voxel_queries", "mesh_queries", "trace_queries", "design_queries", "file_queries"):
     importlib.import_module(f"cohortmill.plans.{_name}")
 
 

@@ -97,19 +97,21 @@ def g03_standardize(t):
 
 
 def _long(t):
-    return t.v_doe.select(F.lit("all").alias("cohort"), F.lit("out1").alias("output"), F.col("out1").alias("y"), *_B)
+    """A cohort a type of part, so that models grow in number with the tables."""
+    d = t.v_doe.join(t.part.select(F.col("p_partkey").alias("idx"), F.col("p_type").alias("cohort")), "idx")
+    return d.select("cohort", F.lit("out1").alias("output"), F.col("out1").alias("y"), *_B)
 
 
 @query()
 def g04_fit_surrogates(t):
-    m = surrogate.fit_surrogates(_long(t), list(_B), most=120)
+    m = surrogate.fit_surrogates(_long(t), list(_B))
     return m.select("cohort", "output", F.size("support").alias("n_support"), F.size("alpha").alias("n_alpha"))
 
 
 @query()
 def g05_predict_surrogates(t):
-    m = surrogate.fit_surrogates(_long(t), list(_B), most=120)
-    return surrogate.predict_surrogates(t.v_doe, m, list(_B), ["idx"])
+    m = surrogate.fit_surrogates(_long(t), list(_B))
+    return surrogate.predict_surrogates(t.v_doe.join(t.part.select(F.col("p_partkey").alias("idx"), F.col("p_type").alias("cohort")), "idx"), m, list(_B), ["idx"])
 
 
 _SUPPORT = "(SELECT p1 / 25 AS a, p2 * 20 AS b, CASE WHEN idx % 2 = 0 THEN 0.5 ELSE -0.25 END AS alpha FROM v_doe WHERE idx <= 20)"

@@ -27,12 +27,12 @@ def w06_apd(t):
 
 def _points(t):
     act = traces.activation_time(t.v_trace, _UP, 1.0)
-    p = t.v_node.where("mesh_id < 50").select("mesh_id", "node_id", *[(F.col(c) * 1000).alias(c) for c in "xyz"])
+    p = t.v_node.select("mesh_id", "node_id", *[(F.col(c) * 1000).alias(c) for c in "xyz"])
     return p.join(act.select((F.col("node_id") % 81).alias("node_id"), "t_act").groupBy("node_id").agg(F.min("t_act").alias("t_act")), "node_id")
 
 
 _POINTS = f"""a AS (SELECT node_id % 81 AS node_id, min(t) AS t_act FROM (SELECT node_id, min(frame) FILTER (vm > {_UP}) * 1.0 AS t FROM v_trace GROUP BY 1) GROUP BY 1),
-p AS (SELECT mesh_id, n.node_id, x * 1000 AS x, y * 1000 AS y, z * 1000 AS z, t_act FROM v_node n JOIN a ON a.node_id = n.node_id WHERE mesh_id < 50)"""
+p AS (SELECT mesh_id, n.node_id, x * 1000 AS x, y * 1000 AS y, z * 1000 AS z, t_act FROM v_node n JOIN a ON a.node_id = n.node_id)"""
 
 
 @query(f"""WITH {_POINTS}, l AS (SELECT mesh_id, quantile_cont(t_act, 0.05) AS lo, quantile_cont(t_act, 0.95) AS hi, count(*) AS n FROM p WHERE t_act IS NOT NULL GROUP BY 1),

@@ -140,16 +140,22 @@ def g01_tile_starts(t):
     return t.customer.select("c_custkey", F.lit(100).alias("size"), F.explode(voxels.tile_starts(100, 48)).alias("start"))
 
 
-@query("""WITH p AS (SELECT case_id, z, y, x, c.i AS cls, avg(((x * 7 + y * 3 + z * 5 + c.i * 11 + k.i * 13 + case_id) % 17) / 16.0) AS p FROM v_vox CROSS JOIN range(4) AS c(i) CROSS JOIN range(2) AS k(i) WHERE z < 3 GROUP BY 1, 2, 3, 4, 5),
+@query("""WITH p AS (SELECT case_id, z, y, x, c.i AS cls, avg(((x * 7 + y * 3 + z * 5 + c.i * 11 + k.i * 13 + case_id) % 17) / 16.0) AS p FROM v_vox CROSS JOIN range(4) AS c(i) CROSS JOIN range(2) AS k(i) GROUP BY 1, 2, 3, 4, 5),
 r AS (SELECT *, row_number() OVER (PARTITION BY case_id, z, y, x ORDER BY p DESC, cls) AS r FROM p)
 SELECT case_id, CAST(cls AS BIGINT) AS label, count(*) AS n, round(sum(p), 4) AS total FROM r WHERE r = 1 GROUP BY 1, 2""")
 def g02_merge_tiles(t):
-    v = t.v_vox.where("z < 3").select("case_id", "z", "y", "x")
+    v = t.v_vox.select("case_id", "z", "y", "x")
     p = v.withColumn("cls", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(1))))
     p = p.withColumn("p", F.expr("((x * 7 + y * 3 + z * 5 + cls * 11 + k * 13 + case_id) % 17) / 16.0D"))
     return voxels.merge_tiles(p, ["case_id", "z", "y", "x"]).groupBy("case_id", F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.round(F.sum("p"), 4).alias("total"))
 
 
+@query("WITH s AS (SELECT case_id, avg(intensity) AS m, stddev_pop(intensity) AS d FROM v_vox GROUP BY 1) SELECT case_id, z, count(*) AS n, round(sum(abs((intensity - m) / (d + 1e-8))), 3) AS spread FROM v_vox JOIN s USING (case_id) GROUP BY 1, 2")
+def w02_zscore_plain(t):
+    v = voxels.zscore_plain(t.v_vox.withColumnRenamed("z", "plane"), "intensity", "case_id")
+    return v.groupBy("case_id", F.col("plane").alias("z")).agg(F.count("*").alias("n"), F.round(F.sum(F.abs("z")), 3).alias("spread"))
+
+
 _OUT = {c: f"NOT ({c} BETWEEN {lo} AND {hi})" for c, (lo, hi) in BOUNDS.items()}
 
 

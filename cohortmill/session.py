@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="cohortmill-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
@@ -60,11 +63,18 @@ def dropped(spark: SparkSession, *paths: str) -> None:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did, besides their own path."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    """Give Python workers on any machine this package: it is shipped once an application as a zip file."""
+    if getattr(spark.sparkContext, "_cohortmill_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(prefix="cohortmill-"), "cohortmill.zip")
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(root)))
+    spark.sparkContext.addPyFile(at)
+    spark.sparkContext._cohortmill_shipped = True
 
 
 def settled(df: DataFrame, label: str = "t", few: int = 100_000) -> tuple[DataFrame, str]:

@@ -60,7 +60,12 @@ def read_activation(spark: SparkSession, path: str, nodes: DataFrame) -> DataFra
 
 
 def read_vm_frames(spark: SparkSession, path: str, tend: float = 1.0) -> DataFrame:
-    """(job_id, frame, node_id, vm, dt) of IGB files: `x:` nodes and `t:` frames in a 1,024-byte text header, the data
+    """vm_frames() of the IGB files of a folder, job_id being the file's name."""
+    return vm_frames(spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", _NAME, 1).alias("job_id"), "content"), tend)
+
+
+def vm_frames(rows: DataFrame, tend: float = 1.0) -> DataFrame:
+    """(job_id, frame, node_id, vm, dt) of IGB contents (job_id, content): `x:` nodes and `t:` frames in a 1,024-byte text header, the data
     being the last frames * nodes float32. A header without them, or too little data, raises."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,8 +84,7 @@ def read_vm_frames(spark: SparkSession, path: str, tend: float = 1.0) -> DataFra
                     part = data[a : a + max(1, 500_000 // max(n, 1))]
                     yield pd.DataFrame({"job_id": job, "frame": np.repeat(np.arange(a, a + len(part), dtype=np.int32), n), "node_id": np.tile(np.arange(n, dtype=np.int64), len(part)), "vm": part.ravel(), "dt": dt})
 
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", _NAME, 1).alias("job_id"), "content")
-    return files.mapInPandas(parse, "job_id string, frame int, node_id long, vm float, dt double")
+    return rows.select("job_id", "content").mapInPandas(parse, "job_id string, frame int, node_id long, vm float, dt double")
 
 
 PARAMS = ("sigma_l", "sigma_t", "sigma_n", "T_max_kPa", "heart_rate_bpm", "a_kPa", "b", "R_p", "C_a", "duration_ms")

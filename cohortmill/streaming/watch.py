@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cohortmill.operators import registry
 from cohortmill.operators.logs import DICE_NAMES, NUMBERS, line_fields
+from cohortmill.session import dropped, written
 
 FIELDS = [*NUMBERS, *DICE_NAMES]
 EPOCHS = "run_id string, epoch long, " + ", ".join(f"{f} double" for f in FIELDS)
@@ -56,11 +57,23 @@ def tail_epochs(lines: DataFrame) -> DataFrame:
 
 
 def slo_watch(epochs: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
-    """The first epoch of each run that meets all limits, once a run."""
+    """The first epoch of each run that meets all limits, once a run. Of a stream the state of a run is one flag, and
+    epochs of a run come in order from tail_epochs(); of a table it is a plain minimum."""
     ok = F.lit(True)
     for c, least in (limits or {"dice_myo": 0.90, "dice_lv": 0.90, "dice_rv": 0.85}).items():
         ok = ok & (F.col(c) >= least)
-    return epochs.where(ok).dropDuplicates(["run_id"])
+    met = epochs.where(ok)
+    if not epochs.isStreaming:
+        rest = [c for c in met.columns if c not in ("run_id", "epoch")]
+        return met.groupBy("run_id").agg(F.min(F.struct("epoch", *rest)).alias("r")).select("run_id", "r.*").select(*met.columns)
+    columns, kind = met.columns, ", ".join(f"`{c}` {k}" for c, k in met.dtypes)
+
+    def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if not state.exists:
+            state.update((True,))
+            yield pd.concat(list(frames)).nsmallest(1, "epoch")[columns]
+
+    return met.groupBy("run_id").applyInPandasWithState(first, kind, "told boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def job_progress(events: DataFrame, key: str, state: Column, order: list[str], ended: Column | None = None) -> DataFrame:
@@ -77,20 +90,26 @@ def timed_out(jobs: DataFrame, now: Column, started: str, limit_s: int = 300) ->
 
 def ingest_stream(spark: SparkSession, path: str, seed_key: Callable[[Column], Column], out: str, checkpoint: str) -> StreamingQuery:
     """Files that arrive become registry rows: a batch appends jobs(job_id, twin_id, status, size, sha256), job_id being
-    the content's hash; files whose job is there already add nothing, so that a repeated batch is harmless."""
+    the content's hash; files whose job is there already add nothing, so that a repeated batch is harmless. The table
+    is partitioned by the first two hex digits of the hash, and a batch reads those partitions alone that it touches."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path)
+    kind = "job_id string, twin_id string, status string, size int, sha256 string, prefix string"
 
     def put(batch: DataFrame, _: int) -> None:
         sha = F.sha2("content", 256)
-        rows = batch.select(sha.alias("job_id"), seed_key(sha).alias("twin_id"), F.length("content").alias("size"), sha.alias("sha256")).dropDuplicates(["job_id"])
-        empty = batch.sparkSession.createDataFrame([], "job_id string, twin_id string, status string, size int, sha256 string")
+        rows, rows_path = written(batch.select(sha.alias("job_id"), seed_key(sha).alias("twin_id"), F.length("content").alias("size"), sha.alias("sha256")).dropDuplicates(["job_id"]), "arrived")
+        touched = [r[0] for r in rows.select(F.substring("job_id", 1, 2)).distinct().collect()]  # 256 at most
+        session = batch.sparkSession
+        empty = session.createDataFrame([], kind)
         try:
-            old = batch.sparkSession.read.schema(empty.schema).parquet(out)
+            old = session.read.schema(kind).parquet(out).where(F.col("prefix").isin(touched))
         except Exception as e:  # noqa: BLE001  the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             old = empty
         fresh = rows.join(old.select("job_id"), "job_id", "left_anti")
-        registry.register_jobs(empty, fresh).write.mode("append").parquet(out)
+        jobs = registry.register_jobs(empty.drop("prefix"), fresh).withColumn("prefix", F.substring("job_id", 1, 2))
+        jobs.write.mode("append").partitionBy("prefix").parquet(out)
+        dropped(session, rows_path)
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
