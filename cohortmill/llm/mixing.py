@@ -9,6 +9,7 @@ share of the tokens to keep, so that a rare cell's large factor decides about th
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,10 +69,12 @@ def _fitted(cells: DataFrame, m: str) -> DataFrame:
 
 
 def raked(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-9, rounds: int = 200, few: int = 100_000) -> DataFrame:
-    """cells(source, lang, topic, tokens, docs) with factor: raked weight over tokens; cells without tokens are left out.
+    """cells(source, lang, topic, tokens, docs) with factor, raked weight over tokens, and deviation, the largest difference
+    of a category's share from its target that is left, the same on each row; cells without tokens are left out.
 
     Iterative proportional fitting: each round scales the weights to one margin after the other, until the
-    largest deviation of any category's share from its target is under `tolerance`, or the weights change no more. Targets of categories
+    largest deviation of any category's share from its target is under `tolerance`, or the weights change no more, or after
+    `rounds`, of which a warning tells. Targets of categories
     that hold no tokens are left out and the others rescaled. All categories are raked. Up to `few` cells lie in one
     partition, so that rounds need no exchange and four make a job, whose result is written and reread; more cells
     are summed by category, joined back and written once a margin.
@@ -93,7 +96,7 @@ def raked(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-9
 
     now, path = kept(now.select(*MARGINS, "tokens", "docs", *[f"t_{m}" for m in MARGINS], "w"))
     dropped(spark, start_path)
-    done, per_check = 0, 4 if one else 1
+    done, per_check, worst = 0, 4 if one else 1, None
     while done < rounds:
         now = now.withColumn("before", F.col("w"))
         for _ in range(per_check):
@@ -118,7 +121,9 @@ def raked(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-9
         change = now.agg(F.max(F.abs(F.col("w") - F.col("before")))).first()[0]
         if worst is None or worst < tolerance or change < tolerance / 1000:
             break  # targets that contradict each other are never met: rounds come to repeat themselves
-    return now.select(*MARGINS, "tokens", "docs", "w", (F.col("w") / (F.col("tokens") / F.lit(whole))).alias("factor"))
+    else:
+        warnings.warn(f"after {done} rounds a category's share is still {worst:.3g} from its target", stacklevel=2)
+    return now.select(*MARGINS, "tokens", "docs", "w", F.lit(worst).cast("double").alias("deviation"), (F.col("w") / (F.col("tokens") / F.lit(whole))).alias("factor"))
 
 
 def _scale(cells: DataFrame, budget: float) -> float:
@@ -153,7 +158,8 @@ def mixed(
     under 1 keep their raked proportions, cells at 1 are kept whole and fall short of theirs. With neither,
     probability is the factor over the largest one, so that expected token shares are exactly the raked ones and
     the rarest cell decides how much of the rest stays. The draw is a hash of seed, id and text, so that a lost task
-    repeats it. Null categories are the category (none); texts without tokens (null, empty) have
+    repeats it. Texts are read whole, however long; columns of docs that begin with two underscores and bear a name used
+    here (__tokens, __source, __lang, __topic) must not occur: sampled_documents() renames all. Null categories are the category (none); texts without tokens (null, empty) have
     probability 0; repeated rows share one draw; an empty table gives an empty result.
     """
     rows = _described(docs, id_col, text_col, source_col, lang_col, topic)

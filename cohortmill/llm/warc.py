@@ -162,7 +162,7 @@ def _read(contents: DataFrame, payloads: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in READ.split(", ")]
         for pdf in batches:
-            for content in pdf["content"]:
+            for content in pdf["content"].dropna():
                 rows, held = [], 0
                 for r in records([content]):
                     rows.append(r if payloads else (*r[:6], None))
@@ -180,11 +180,13 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of archives(content): id, type, URI, what it refers to, payload digest (hex), size, payload.
 
     Each content holds whole members, as the writer cuts only between records. A broken member, a length or
-    a digest that doesn't hold raises ValueError. payload_bytes is that of the full payload for revisits too.
+    a digest that doesn't hold raises ValueError. payload_bytes is that of the full payload for revisits too. Null and
+    empty contents hold no records, an empty table gives an empty one, repeated contents give their records again;
+    other columns are not read. A content is inflated in steps; a record of any length takes memory for itself.
     """
     return _read(archives, payloads)
 
 
 def read_files(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of .warc.gz files under path, a file a row of Spark's binaryFile source."""
+    """The records of .warc.gz files under path, a file a row of Spark's binaryFile source; as read_archives()."""
     return _read(spark.read.format("binaryFile").load(path), payloads)

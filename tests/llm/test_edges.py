@@ -159,3 +159,31 @@ def test_chat_attachments(spark):
     r = out.withColumn("turns", parsed(out)).first()
     assert r.turns[0].text == "see <|image|><|image|><|audio|>x" and r.formatted.count("<|image|>") == 1
     assert [(a.turn, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "s3-1", 512), (0, "audio", "a", 25)] and r.expanded_tokens == 537
+
+
+def test_archives_without_content(spark):
+    from cohortmill.llm.warc import read_archives, written_archives
+
+    pages = spark.createDataFrame([(1, "http://a.b/c", "x" * 2000)], "page_id long, url string, html string")
+    whole = written_archives(pages).select("archive", "part", "content")
+    gaps = whole.unionByName(spark.createDataFrame([("none", 0, None), ("empty", 0, b"")], whole.schema))
+    assert [r.payload_bytes for r in read_archives(gaps).collect()] == [2000] and read_archives(whole.where("false")).count() == 0
+
+
+def test_pipeline_stages(spark, none, tmp_path):
+    """Each stage on nulls, empty and long texts, repeated rows, tables without rows; columns of documents stay."""
+    import corpus_pipeline as p
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    good = " ".join(f"word{i} and{i % 7}" for i in range(120))
+    rows = [(1, good, "en", "a", 1), (1, good, "en", "a", 1), (2, None, None, None, None), (3, "", "en", "b", 0), (None, good + " more", "de", None, 3), (4, LONG, "de", "b", 4), (5, good + " token = \"8f14e45fceea167a5a36dedd4bea2543aa11bb22\"", "fr", "c", 4)]
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (5, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
+        docs.write.mode("overwrite").parquet(f"{d}/documents.parquet")
+        for name, stage in p.STAGES:
+            out = stage(spark, spark.read.parquet(f"{d}/documents.parquet"), f"file://{d}")
+            assert out.count() <= docs.count(), name
+            if name != "sentencepiece":
+                assert out.columns == docs.columns, name
+        assert p.run(spark, f"file://{d}").where("not agrees").count() == 0
