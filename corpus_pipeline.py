@@ -17,29 +17,33 @@ from cohortmill.session import importable, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the fertility bands go."""
+    """Documents that fail the base rules or the fertility bands go. Null and empty texts fail; repeated rows are judged
+    alike; null ids are judged but teach the bands nothing; an empty table stays empty."""
     importable(spark)
     return kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id: five-word shingles, similarity from 0.8 on."""
+    """One document of each group of near-duplicates stays, that of the smallest id: five-word shingles,
+    similarity from 0.8 on. Rows with a null id stay, as do texts without words; of repeated rows one stays."""
     importable(spark)
     return one_of_each(docs, percent=80, bands=24)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets that the forest confirms are replaced in its text."""
+    """Every document stays; secrets that the forest confirms are replaced in its text. Null and empty texts stay as
+    they are; without documents to learn from nothing is replaced."""
     return redacted(docs, train(labelled_findings(docs)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The calibrated draw decides which documents stay: KEPT_SHARE of the tokens in expectation."""
+    """The calibrated draw decides which documents stay: KEPT_SHARE of the tokens in expectation. Texts without tokens
+    go; repeated rows share one draw; null categories are a category of their own."""
     return sampled_documents(docs, share=KEPT_SHARE)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and digests of every document, besides its id, language and source."""
+    """Token ids and digests of every document, besides its id, language and source. A null text has no tokens."""
     importable(spark)
     return encoded(docs, public_model("piece_bpe_32k.model")).drop("n_chars")
 
