@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 from operator import add
 
 import numpy as np
@@ -99,20 +99,21 @@ class PieceModel:
 
 
 class WordMemo:
-    """Ids of recurring words; about `most` words (some 270 MB) are remembered from one call to the next, long ones never."""
+    """Ids of recurring words, as bytes of uint32; about `most` words (some 100 MB) are remembered from one call to the next,
+    long ones never."""
 
-    def __init__(self, model: PieceModel, most: int = 1_000_000, longest: int = 64):
+    def __init__(self, model: PieceModel, most: int = 500_000, longest: int = 64):
         self.model, self.most, self.longest = model, most, longest
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text its ids."""
         words = [self.model.words(t) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
         new = set().union(*words).difference(self.known)
-        self.known.update((w, self.model.agenda(SPACE + w)) for w in new)
-        out = [list(chain.from_iterable(map(self.known.__getitem__, ws))) for ws in words]
+        self.known.update((w, array("I", self.model.agenda(SPACE + w)).tobytes()) for w in new)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.uint32) for ws in words]
         for w in new:
             if len(w) > self.longest:
                 del self.known[w]
@@ -137,7 +138,7 @@ def token_counts(memo: WordMemo, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     total = np.fromiter(map(len, ids), np.int64, n)
     if not total.sum():
         return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    token = np.fromiter(chain.from_iterable(ids), np.int64, int(total.sum()))
+    token = np.concatenate(ids).astype(np.int64)
     doc = np.repeat(np.arange(n), total)
     is_byte = np.zeros(model.size, bool)
     is_byte[list(model.bytes_of)] = True
@@ -171,7 +172,8 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids:
             for a, b in in_pieces(texts, 2_000_000):
                 rows = []
                 theirs = library.encode(texts[a:b], num_threads=1)
-                for ids, lib_ids in zip(memo.encode(texts[a:b]), theirs, strict=True):
+                for found, lib_ids in zip(memo.encode(texts[a:b]), theirs, strict=True):
+                    ids = found.tolist()
                     text = model.decode(ids)
                     row = [len(ids), hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), ids == lib_ids and text == library.decode(lib_ids)]
                     rows.append(row + [ids] * keep_ids)
