@@ -99,10 +99,10 @@ class PieceModel:
 
 
 class WordMemo:
-    """Ids of recurring words, as bytes of uint32; about `most` words (some 100 MB) are remembered from one call to the next,
+    """Ids of recurring words, as bytes of uint32; about `most` words (some 90 MB) are remembered from one call to the next,
     long ones never."""
 
-    def __init__(self, model: PieceModel, most: int = 500_000, longest: int = 64):
+    def __init__(self, model: PieceModel, most: int = 400_000, longest: int = 64):
         self.model, self.most, self.longest = model, most, longest
         self.known: dict[str, bytes] = {}
 
@@ -169,7 +169,7 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids:
         model, library, number = memo.model, memo.model.library, [str(i) for i in range(memo.model.size)]
         for pdf in batches:
             texts = [t or "" for t in pdf.pop(text_col)]
-            for a, b in in_pieces(texts, 2_000_000):
+            for a, b in in_pieces(texts, 1_000_000):
                 rows = []
                 theirs = library.encode(texts[a:b], num_threads=1)
                 for found, lib_ids in zip(memo.encode(texts[a:b]), theirs, strict=True):

@@ -72,7 +72,7 @@ def measured(docs: DataFrame, model_path: str | None = None, text_col: str = "te
         memo = memo_of(proto.value)
         for pdf in batches:
             texts = [t or "" for t in pdf["__t"]]
-            for a, b in in_pieces(texts, 3_000_000):
+            for a, b in in_pieces(texts, 1_000_000):
                 out = pdf.iloc[a:b].drop(columns="__t")
                 total, in_bytes, entropy = token_counts(memo, texts[a:b])
                 yield out.assign(**base_counts(texts[a:b]), n_tokens=total, n_byte_tokens=in_bytes, token_entropy=entropy)

@@ -77,7 +77,7 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def in_pieces(texts: list, most: int = 1_500_000) -> Iterator[tuple[int, int]]:
+def in_pieces(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` characters each, so that the arrays of a piece stay small."""
     begin, total = 0, 0
     for i, t in enumerate(texts):
