@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding for merge-type vocabularies: a score-ordered agenda of adjacent pairs.
 
 A text is cut before each space mark that follows another character, where no piece of the vocabulary can
-reach across. Merges never cross such a cut, so a text's ids are those of its words in order, and words
-recur, so that most are encoded once; each word not met before goes through the agenda.
+reach across, and each word between two characters that no piece holds side by side (a word and the comma after it).
+Merges never cross such a cut, so a text's ids are those of its parts in order, and parts recur, so that
+most are encoded once; each part not met before goes through the agenda.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ class PieceModel:
         if len(self.byte_ids) < 256:
             raise ValueError("the vocabulary has no byte fallback")
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.size = size
         self.raw = [bytes([self.bytes_of[i]]) if i in self.bytes_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.whole = any(SPACE in p.lstrip(SPACE) for p in self.ids if len(p) > 1)  # a piece holds an inner space: no cut is safe
@@ -61,6 +63,21 @@ class PieceModel:
     def chunks(self, text: str) -> list[str]:
         return [SPACE + w for w in self.words(text)]
 
+    _RUN = re.compile(r"[^\W_]+|[\W_]+")
+
+    def parts(self, word: str) -> list[str]:
+        """The word cut where letters and other characters meet that no piece holds side by side: no merge can cross there."""
+        if word.isalnum():
+            return [word]
+        runs, out, start, at = self._RUN.findall(word), [], 0, 0
+        for left, right in zip(runs, runs[1:]):
+            at += len(left)
+            if left[-1] + right[0] not in self.pairs:
+                out.append(word[start:at])
+                start = at
+        out.append(word[start:])
+        return out
+
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         return [self.agenda(c) for c in chunks]
 
@@ -99,24 +116,51 @@ class PieceModel:
 
 
 class WordMemo:
-    """Ids of recurring words, as bytes of uint32; about `most` words (some 90 MB) are remembered from one call to the next,
-    long ones never."""
-
-    def __init__(self, model: PieceModel, most: int = 400_000, longest: int = 64):
-        self.model, self.most, self.longest = model, most, longest
-        self.known: dict[str, bytes] = {}
+    """Ids of recurring words and parts of words, as bytes of uint32, remembered from one call to the next: about `most`
+    that went through the agenda (some 70 MB) and `composed` words that are made of such parts; long ones never."""
+
+    def __init__(self, model: PieceModel, most: int = 300_000, composed: int = 100_000, longest: int = 64):
+        self.model, self.most, self.composed, self.longest = model, most, composed, longest
+        self.known: dict[str, bytes] = {}  # by word, without its leading space mark
+        self.inner: dict[str, bytes] = {}  # by part of a word that is not its first
+        self.made: list[str] = []  # the known words that are composed
+
+    def _learn(self, word: str) -> None:
+        parts = self.model.parts(word)
+        first = parts[0]
+        if first not in self.known:
+            self.known[first] = array("I", self.model.agenda(SPACE + first)).tobytes()
+        if len(parts) > 1:
+            for p in parts[1:]:
+                if p not in self.inner:
+                    self.inner[p] = array("I", self.model.agenda(p)).tobytes()
+            self.known[word] = self.known[first] + b"".join(map(self.inner.__getitem__, parts[1:]))
+            self.made.append(word)
+
+    def _long(self, word: str) -> bool:
+        return len(word) > self.longest
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text its ids."""
         words = [self.model.words(t) for t in texts]
-        if len(self.known) > self.most:
+        if len(self.known) + len(self.inner) - len(self.made) > self.most:
             self.known.clear()
+            self.inner.clear()
+            self.made.clear()
         new = set().union(*words).difference(self.known)
-        self.known.update((w, array("I", self.model.agenda(SPACE + w)).tobytes()) for w in new)
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.uint32) for ws in words]
         for w in new:
-            if len(w) > self.longest:
-                del self.known[w]
+            self._learn(w)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.uint32) for ws in words]
+        for w in filter(self._long, new):
+            for p in self.model.parts(w):
+                if len(p) > self.longest:
+                    self.known.pop(p, None)
+                    self.inner.pop(p, None)
+            self.known.pop(w, None)
+        if len(self.made) > self.composed:
+            for w in self.made:
+                self.known.pop(w, None)
+            self.made.clear()
         return out
 
 

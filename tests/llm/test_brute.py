@@ -409,3 +409,18 @@ def test_pipeline_against_its_parts(spark):
     assert {r.doc_id for r in mixed.collect()} <= set(text)
     out = p.run(spark, SF).collect()
     assert {r.doc_id for r in out} == {r.doc_id for r in mixed.collect()} and all(r.agrees for r in out)
+
+
+def test_words_made_of_parts_are_encoded_like_the_library():
+    import random
+
+    from cohortmill.llm.pieces import PieceModel, WordMemo, public_model
+
+    with open(public_model("piece_bpe_32k.model"), "rb") as f:
+        memo = WordMemo(PieceModel(f.read()), most=50, composed=20)  # small, so that it forgets again and again
+    r, signs = random.Random(5), "ab,.;:-_'\"()#\n\t012éñ中文😀▁² ́​"
+    texts = ["".join(r.choices(signs, k=r.randrange(60))) for _ in range(2000)] + ["a," * 5000, "x" * 200 + "," + "y-" * 99, "", " "]
+    for k in range(0, len(texts), 100):
+        for ids, theirs in zip(memo.encode(texts[k : k + 100]), memo.model.library.encode(texts[k : k + 100]), strict=True):
+            assert ids.tolist() == theirs
+    assert all(len(w) <= memo.longest for w in [*memo.known, *memo.inner])
