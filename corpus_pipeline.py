@@ -16,17 +16,29 @@ from cohortmill.llm.secrets import labelled_findings, redacted, train
 from cohortmill.session import importable, table, written
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker: texts are long, and both sides hold whole batches.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def _ready(spark: SparkSession) -> None:
+    """The package on the workers, and Arrow batches of BATCH_BYTES where the session sets no size of its own."""
+    importable(spark)
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if size not in spark.conf.getAll:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the fertility bands go. Null and empty texts fail; repeated rows are judged
     alike; null ids are judged but teach the bands nothing; an empty table stays empty."""
-    importable(spark)
+    _ready(spark)
     return kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id: five-word shingles,
     similarity from 0.8 on. Rows with a null id stay, as do texts without words; of repeated rows one stays."""
-    importable(spark)
+    _ready(spark)
     return one_of_each(docs, percent=80, bands=24)
 
 
@@ -44,7 +56,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and digests of every document, besides its id, language and source. A null text has no tokens."""
-    importable(spark)
+    _ready(spark)
     return encoded(docs, public_model("piece_bpe_32k.model")).drop("n_chars")
 
 
