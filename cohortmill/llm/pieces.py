@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from cohortmill.llm.shingles import in_pieces
 
 SPACE = "▁"
+#: Up to this many characters the agenda is a plain list, which is quicker for a few pairs; beyond that a heap.
+SHORT = 32
+NEVER = float("inf")
 
 
 class PieceModel:
@@ -83,6 +86,28 @@ class PieceModel:
 
     def agenda(self, chunk: str) -> list[int]:
         """Ids of one chunk: the best-scored adjacent pair merges first, the leftmost of equals, until none is a piece."""
+        symbols = self._merged_short(chunk) if len(chunk) <= SHORT else self._merged(chunk)
+        try:
+            return [self.ids[x] for x in symbols]
+        except KeyError:  # a character that is no piece
+            return [i for x in symbols for i in ([self.ids[x]] if x in self.ids else [self.byte_ids[b] for b in x.encode()])]
+
+    def _merged_short(self, chunk: str) -> list[str]:
+        """The agenda holds the score of each pair of neighbours, in their order."""
+        score, symbols = self.rank.get, list(chunk)
+        agenda = [score(p, NEVER) for p in map(add, symbols, symbols[1:])]
+        while agenda and (best := min(agenda)) != NEVER:
+            i = agenda.index(best)
+            symbols[i] = both = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + both, NEVER)
+            if i < len(agenda):
+                agenda[i] = score(both + symbols[i + 1], NEVER)
+        return symbols
+
+    def _merged(self, chunk: str) -> list[str]:
+        """The agenda is a heap of pairs; those whose symbols have changed meanwhile are passed over."""
         rank, n = self.rank, len(chunk)
         symbols = list(chunk)
         before, after = list(range(-1, n)), list(range(1, n + 1))
@@ -101,10 +126,7 @@ class PieceModel:
                 heappush(queue, (rank[p], near, left, p))
             if far < n and (p := both + symbols[far]) in rank:
                 heappush(queue, (rank[p], left, far, p))
-        try:
-            return [self.ids[x] for x in symbols if x]
-        except KeyError:  # a character that is no piece
-            return [i for x in symbols if x for i in ([self.ids[x]] if x in self.ids else [self.byte_ids[b] for b in x.encode()])]
+        return [x for x in symbols if x]
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks(text) for i in self.agenda(c)]
@@ -117,9 +139,9 @@ class PieceModel:
 
 class WordMemo:
     """Ids of recurring words and parts of words, as bytes of uint32, remembered from one call to the next: about `most`
-    that went through the agenda (some 70 MB) and `composed` words that are made of such parts; long ones never."""
+    that went through the agenda (some 100 MB) and `composed` words that are made of such parts; long ones never."""
 
-    def __init__(self, model: PieceModel, most: int = 300_000, composed: int = 100_000, longest: int = 64):
+    def __init__(self, model: PieceModel, most: int = 500_000, composed: int = 100_000, longest: int = 64):
         self.model, self.most, self.composed, self.longest = model, most, composed, longest
         self.known: dict[str, bytes] = {}  # by word, without its leading space mark
         self.inner: dict[str, bytes] = {}  # by part of a word that is not its first

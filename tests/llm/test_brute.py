@@ -424,3 +424,16 @@ def test_words_made_of_parts_are_encoded_like_the_library():
         for ids, theirs in zip(memo.encode(texts[k : k + 100]), memo.model.library.encode(texts[k : k + 100]), strict=True):
             assert ids.tolist() == theirs
     assert all(len(w) <= memo.longest for w in [*memo.known, *memo.inner])
+
+
+def test_both_forms_of_the_agenda_merge_alike():
+    import random
+
+    from cohortmill.llm.pieces import PieceModel, public_model
+
+    with open(public_model("piece_bpe_32k.model"), "rb") as f:
+        m = PieceModel(f.read())
+    r = random.Random(7)
+    for k in range(3000):
+        chunk = "▁" + "".join(r.choices("aaeinrstßé,.x中", k=r.randrange(40)))
+        assert m._merged_short(chunk) == m._merged(chunk)
