@@ -134,6 +134,51 @@ def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens", F.sha2(notes, 256).alias("attachments_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@_query
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.setjoin import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cohortmill.llm.spelling import variant_groups
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate(F.col("text"), _UPPER, _LOWER).alias("t"))
+    run = docs.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z\u00C0-\u00FF]+"), F.lit(0))).alias("run")).where(F.length("run") >= 5)
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    at = F.pmod(h, F.length("run")).cast("int")
+    less = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.length("run")))
+    words = run.select(F.when(h % 97 == 0, less).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 5).groupBy("word").agg(F.count("*").alias("n")).where("n >= 3")
+    return variant_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cohortmill.llm.runs import periodic_runs
+
+    # a null id has no checksum: its text stays as it is
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (h % 10 == 0).alias("altered"), F.floor(h / 10).alias("g"))
+    docs = docs.withColumn("w", F.when(F.col("altered"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    docs = docs.withColumn("a", F.col("g") % F.size("w")).withColumn("p", 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.transform(F.sequence(F.lit(0), (F.size("w") - F.col("a") - 1).cast("int")), lambda k: F.get("w", (F.col("a") + k % F.col("p")).cast("int")))
+    text = F.when(F.size("w") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ")).otherwise(F.col("text"))
+    out = periodic_runs(docs.select("doc_id", text.alias("text")))
+    # the greatest length / period, told by cross-multiplication; runs are in order of start and period
+    greater = F.aggregate("runs", F.get("runs", F.lit(0)), lambda m, r: F.when(r["length"] * m["period"] > m["length"] * r["period"], r).otherwise(m))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), greater.alias("m"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select(
+        "doc_id", "n_runs", "m.start", "m.length", "m.period", F.expr("m.length * 1000 div m.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _SQL["op6_minhash_near_dedup"] = rf"""
@@ -154,6 +199,53 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.do
 """
 
 
+_SQL["op11_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(sh) AS sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))
+                               WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT a AS node, a AS root FROM (SELECT DISTINCT a FROM e) UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node
+), m AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id
+"""
+
+
+#: crc32 of a Latin-1 text's UTF-8 bytes, byte by byte from the table of the 256 remainders.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(b.s, ''), lambda c:
+  CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END))),
+  lambda c, x: xor(c >> 8, t.crc[CAST(xor(c & 255, x) + 1 AS INT)])), CAST(4294967295 AS BIGINT))"""
+
+_SQL["op12_spelling_variants"] = rf"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(CAST(x AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS crc
+), r AS (
+  SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2
+), b AS (SELECT run, k, doc_id || ':' || run AS s FROM r WHERE length(run) >= 5
+), h AS (SELECT run, k, {_CRC} AS h FROM b, t
+), w AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h)
+  WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3
+), p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w
+), k AS (SELECT word, n, i, word[:i-1] AS head, word[i+1:] AS tail FROM p
+), near AS (
+  SELECT x.word AS a, x.n AS na, y.word AS b, y.n AS nb FROM k x JOIN k y ON x.head = y.head AND x.tail = y.tail AND x.i = y.i AND x.word <> y.word
+  UNION SELECT k.word, k.n, w.word, w.n FROM k JOIN w ON w.word = k.head || k.tail
+  UNION SELECT w.word, w.n, k.word, k.n FROM k JOIN w ON w.word = k.head || k.tail
+), best AS (SELECT a, na, count(*) AS n_near, max(nb) AS top FROM near GROUP BY 1, 2
+), form AS (SELECT a AS word, n_near, CASE WHEN top >= 2 * na THEN top END AS form_n, CASE WHEN top >= 2 * na THEN (SELECT min(b) FROM near WHERE near.a = best.a AND nb = top) END AS form FROM best
+), up AS (SELECT word, form AS root FROM form WHERE form IS NOT NULL UNION SELECT up.word, f.form FROM up JOIN form f ON f.word = up.root WHERE f.form IS NOT NULL
+), root AS (SELECT word, root FROM up WHERE root NOT IN (SELECT word FROM form WHERE form IS NOT NULL))
+SELECT w.word, form.form, coalesce(root.root, w.word) AS root, w.n, coalesce(form.n_near, 0) AS n_near, form.form_n
+FROM w LEFT JOIN form ON form.word = w.word LEFT JOIN root ON root.word = w.word
+"""
+
 _SQL["op3_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages
 ), f AS (SELECT d, n, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY 1, 2)
