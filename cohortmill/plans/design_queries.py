@@ -96,22 +96,26 @@ def g03_standardize(t):
     return _r(surrogate.standardize(t.v_doe, ["p1", "p2"]).select("idx", "p1", "p2"), 5)
 
 
+def _parts(t):
+    """A cohort a brand of part, so that models and their rows grow in number with the tables."""
+    return t.v_doe.join(t.part.select(F.col("p_partkey").alias("idx"), F.col("p_brand").alias("cohort")), "idx")
+
+
 def _long(t):
-    """A cohort a type of part, so that models grow in number with the tables."""
-    d = t.v_doe.join(t.part.select(F.col("p_partkey").alias("idx"), F.col("p_type").alias("cohort")), "idx")
-    return d.select("cohort", F.lit("out1").alias("output"), F.col("out1").alias("y"), *_B)
+    return _parts(t).select("cohort", F.lit("out1").alias("output"), F.col("out1").alias("y"), *_B)
 
 
-@query()
+@query("SELECT p_brand AS cohort, 'out1' AS output, count(*) AS n, least(count(*), 200) AS n_support, least(count(*), 200) AS n_alpha, round(avg(out1), 3) AS mean, round(stddev_pop(out1), 3) AS std FROM v_doe JOIN part ON p_partkey = idx GROUP BY 1 HAVING stddev_pop(out1) > 0.01 AND count(*) >= 3")
 def g04_fit_surrogates(t):
+    """n is how many rows taught a model: all of its cohort."""
     m = surrogate.fit_surrogates(_long(t), list(_B))
-    return m.select("cohort", "output", F.size("support").alias("n_support"), F.size("alpha").alias("n_alpha"))
+    return m.select("cohort", "output", "n", F.size("support").alias("n_support"), F.size("alpha").alias("n_alpha"), F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
 
 
 @query()
 def g05_predict_surrogates(t):
     m = surrogate.fit_surrogates(_long(t), list(_B))
-    return surrogate.predict_surrogates(t.v_doe.join(t.part.select(F.col("p_partkey").alias("idx"), F.col("p_type").alias("cohort")), "idx"), m, list(_B), ["idx"])
+    return surrogate.predict_surrogates(_parts(t), m, list(_B), ["idx"])
 
 
 _SUPPORT = "(SELECT p1 / 25 AS a, p2 * 20 AS b, CASE WHEN idx % 2 = 0 THEN 0.5 ELSE -0.25 END AS alpha FROM v_doe WHERE idx <= 20)"
