@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortmill.session import dropped, settled
+from cohortmill.operators.quantiles import exact_quantiles
+from cohortmill.session import dropped, settled, written
 
 
 def _feistel(index: Column, bits: int, keys: list[int]) -> Column:
@@ -94,7 +95,10 @@ def output_variance_audit(results: DataFrame, outputs: list[str], least: float =
 def run_cost_profile(runs: DataFrame, param: str, low: float, high: float, bands: int, cost: str) -> DataFrame:
     """(band, n, mean, p50, p90, total) of a cost by equal bands of a parameter; 0 and bands + 1 are outside."""
     band = F.width_bucket(F.col(param), F.lit(low), F.lit(high), F.lit(bands))
-    return runs.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.avg(cost).alias("mean"), F.percentile(cost, F.lit(0.5)).alias("p50"), F.percentile(cost, F.lit(0.9)).alias("p90"), F.sum(cost).alias("total"))
+    rows, _ = written(runs.select(band.alias("band"), F.col(cost).alias("c")), "costs")
+    q = exact_quantiles(rows, ["band"], "c", [0.5, 0.9]).select(F.col("band").alias("__band"), F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"))
+    out = rows.groupBy("band").agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.sum("c").alias("total"))
+    return out.join(q, F.col("band").eqNullSafe(F.col("__band")), "left").select("band", "n", "mean", "p50", "p90", "total")
 
 
 def first_frame(rows: DataFrame, by: str, order: str, n: int | None = None) -> DataFrame:

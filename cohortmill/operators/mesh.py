@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortmill.functions.vectors import Vec, add, clip, cross, dot, norm, scale, sub, tet_determinant, unit
+from cohortmill.operators.quantiles import exact_quantiles
+from cohortmill.session import written
 
 CORNERS = ("n0", "n1", "n2", "n3")
 EDGES = list(combinations(range(4), 2))
@@ -117,8 +119,9 @@ def mesh_qc_signed(meshes: DataFrame, coords: DataFrame) -> DataFrame:
 
 def mesh_quality_report(nodes: DataFrame, coords: DataFrame, short: float = 0.1) -> DataFrame:
     """Per mesh: nodes, elements, least, largest and median edge over elements' edges, and short ones with share."""
-    e = coords.select("mesh_id", F.explode(F.array(*edge_lengths())).alias("e"))
-    out = e.groupBy("mesh_id").agg((F.count("*") / 6).cast("long").alias("n_elements"), F.min("e").alias("h_min"), F.max("e").alias("h_max"), F.median("e").alias("h_median"), F.count_if(F.col("e") < short).alias("n_short"))
+    e, _ = written(coords.select("mesh_id", F.explode(F.array(*edge_lengths())).alias("e")), "edges")
+    out = e.groupBy("mesh_id").agg((F.count("*") / 6).cast("long").alias("n_elements"), F.min("e").alias("h_min"), F.max("e").alias("h_max"), F.count_if(F.col("e") < short).alias("n_short"))
+    out = out.join(exact_quantiles(e, ["mesh_id"], "e", [0.5]).select("mesh_id", F.col("q")[0].alias("h_median")), "mesh_id")
     n = nodes.groupBy("mesh_id").agg(F.count("*").alias("n_nodes"))
     return n.join(out, "mesh_id").withColumn("pct_short", 100.0 * F.col("n_short") / (6 * F.col("n_elements")))
 
@@ -134,22 +137,37 @@ def displaced(nodes: DataFrame, displacement: DataFrame) -> DataFrame:
     return j.select("mesh_id", "node_id", *[(F.col(c) + F.coalesce(f"u{c}", F.lit(0.0))).alias(c) for c in "xyz"])
 
 
+FACE = ["mesh_id", "f0", "f1", "f2"]
+
+
 def faces(elements: DataFrame) -> DataFrame:
-    """A row for each face of each element: sorted node ids as face, the corners in their order, the opposite corner."""
-    each = F.array(*[F.struct(F.array(*[F.col(CORNERS[i]) for i in f]).alias("v"), F.col(CORNERS[o]).alias("opposite")) for o, f in enumerate(FACES)])
-    out = elements.select(*ELEM, F.explode(each).alias("f"))
-    return out.select(*ELEM, F.array_sort("f.v").alias("face"), F.col("f.v").alias("v"), F.col("f.opposite").alias("opposite"))
+    """A row for each face of each element: its node ids in ascending order as f0, f1, f2, the corners in their order
+    as a, b, c, and the opposite corner."""
+    each = F.array(*[F.struct(*[F.col(CORNERS[i]).alias(x) for i, x in zip(f, "abc", strict=True)], F.col(CORNERS[o]).alias("opposite")) for o, f in enumerate(FACES)])
+    out = elements.select(*ELEM, F.explode(each).alias("f")).select(*ELEM, "f.*")
+    low, high = F.least("a", "b", "c"), F.greatest("a", "b", "c")
+    return out.select(*ELEM, low.alias("f0"), (F.col("a") + F.col("b") + F.col("c") - low - high).alias("f1"), high.alias("f2"), "a", "b", "c", "opposite")
 
 
 def face_incidence(elements: DataFrame) -> DataFrame:
-    """(mesh_id, face, n, cells): how many elements share a face (1 boundary, 2 inside, 3 or more wrong)."""
-    return faces(elements).groupBy("mesh_id", "face").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("elem_id")).alias("cells"))
+    """(mesh_id, face, n, cells): how many elements share a face (1 boundary, 2 inside, 3 or more wrong).
+
+    Of up to two elements least and greatest are the list, so that faces of fixed width go through hash aggregation; the
+    elements of the wrong faces alone are listed.
+    """
+    f = faces(elements)
+    n = f.groupBy(*FACE).agg(F.count("*").alias("n"), F.min("elem_id").alias("lo"), F.max("elem_id").alias("hi"))
+    face = F.array("f0", "f1", "f2").alias("face")
+    right = n.where("n <= 2").select("mesh_id", face, "n", F.when(F.col("n") == 1, F.array("lo")).otherwise(F.array("lo", "hi")).alias("cells"))
+    wrong = f.join(n.where("n > 2").select(*FACE), FACE, "left_semi").groupBy(*FACE).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("elem_id")).alias("cells"))
+    return right.unionByName(wrong.select("mesh_id", face, "n", "cells"))
 
 
 def boundary_faces(elements: DataFrame) -> DataFrame:
-    """(mesh_id, elem_id, a, b, c, opposite) of the faces of one element only."""
-    one = faces(elements).groupBy("mesh_id", "face").agg(F.count("*").alias("n"), F.any_value(F.struct("elem_id", "v", "opposite")).alias("s")).where("n = 1")
-    return one.select("mesh_id", "s.elem_id", *[F.col("s.v")[k].alias(c) for k, c in enumerate("abc")], "s.opposite")
+    """(mesh_id, elem_id, a, b, c, opposite) of the faces of one element only: over one row a sum is the row's value,
+    so that all six fall out of hash aggregation."""
+    one = faces(elements).groupBy(*FACE).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("elem_id", "a", "b", "c", "opposite")]).where("n = 1")
+    return one.select("mesh_id", "elem_id", "a", "b", "c", "opposite")
 
 
 def boundary_geometry(elements: DataFrame, nodes: DataFrame, base_tolerance: float = 1.0) -> DataFrame:
@@ -210,7 +228,8 @@ def cavity_volume_slices(nodes: DataFrame, rest: DataFrame | None = None, slices
     j = nodes.join(box, "mesh_id").withColumns({"slice": F.floor(at).cast("int"), "r": F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))})
     centre = F.col("z0") + (F.col("slice") + 0.5) * dz
     inside = F.col("slice").between(0, slices - 1) & (F.abs(F.col("z") - centre) < dz / 2.0)
-    area = j.where(inside).groupBy("mesh_id", "slice").agg(F.count("*").alias("n"), F.percentile("r", F.lit(percentile)).alias("p")).where("n >= 4").select("mesh_id", "slice", (F.pi() * F.col("p") * F.col("p")).alias("area"))
+    disc = exact_quantiles(j.where(inside), ["mesh_id", "slice"], "r", [percentile]).where("n >= 4").withColumn("p", F.col("q")[0])
+    area = disc.select("mesh_id", "slice", (F.pi() * F.col("p") * F.col("p")).alias("area"))
     # the trapezoid over all slices is the sum of areas less half the first and the last, empty slices being 0
     half = F.when(F.col("slice").isin(0, slices - 1), 0.5).otherwise(1.0)
     total = area.groupBy("mesh_id").agg(F.sum(F.col("area") * half).alias("s"))
@@ -232,7 +251,7 @@ def radial_displacement(nodes: DataFrame, displacement: DataFrame, half_height:
     mid = nodes.join(box, "mesh_id").where(F.abs(F.col("z") - F.col("zm")) < limit)
     centre = mid.groupBy("mesh_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n")).where("n >= 10")
     mid = mid.join(centre, "mesh_id").withColumn("r", F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)))
-    med = mid.groupBy("mesh_id").agg(F.median("r").alias("rm"))
+    med = exact_quantiles(mid, ["mesh_id"], "r", [0.5]).select("mesh_id", F.col("q")[0].alias("rm"))
     d = mid.join(med, "mesh_id").join(displacement.select("mesh_id", "node_id", "ux", "uy"), ["mesh_id", "node_id"]).where(F.round("r", 9) > 0.1)
     out = ((F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy")) / F.col("r")
     inside = F.round("r", 9) < F.round("rm", 9)  # a node on the median stays outside, whatever the order of sums
@@ -304,7 +323,7 @@ def surface_components(triangles: DataFrame) -> DataFrame:
 
 def below_percentile_share(nodes: DataFrame, col: str, q: float = 0.10, by: str = "mesh_id") -> DataFrame:
     """(by, limit, n_below, pct): rows below their group's percentile."""
-    lim = nodes.groupBy(by).agg(F.percentile(col, F.lit(q)).alias("limit"))
+    lim = exact_quantiles(nodes, [by], col, [q]).select(by, F.col("q")[0].alias("limit"))
     out = nodes.join(lim, by).groupBy(by, "limit").agg(F.count_if(F.col(col) < F.col("limit")).alias("n_below"), F.count("*").alias("n"))
     return out.select(by, "limit", "n_below", (100.0 * F.col("n_below") / F.col("n")).alias("pct"))
 
@@ -318,7 +337,9 @@ def radial_span(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     c = with_coordinates(elements, r, ("r", "mid"))
     rs = [F.col(f"r{k}") for k in range(4)]
     span = c.where("mid0 + mid1 + mid2 + mid3 = 4").join(wall, "mesh_id").select("mesh_id", (100.0 * (F.greatest(*rs) - F.least(*rs)) / F.col("wall")).alias("pct"))
-    return span.groupBy("mesh_id").agg(F.median("pct").alias("median_pct"), (F.count_if(F.col("pct") > 30) / F.count("*")).alias("share_30"), (F.count_if(F.col("pct") > 50) / F.count("*")).alias("share_50"))
+    span, _ = written(span, "spans")
+    median = exact_quantiles(span, ["mesh_id"], "pct", [0.5]).select("mesh_id", F.col("q")[0].alias("median_pct"))
+    return median.join(span.groupBy("mesh_id").agg((F.count_if(F.col("pct") > 30) / F.count("*")).alias("share_30"), (F.count_if(F.col("pct") > 50) / F.count("*")).alias("share_50")), "mesh_id")
 
 
 def minmax_coordinate(nodes: DataFrame, value: Column, name: str) -> DataFrame:

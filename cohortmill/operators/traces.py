@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortmill.operators.quantiles import exact_quantiles
+from cohortmill.session import written
+
 MMHG = 133.322
 
 
@@ -30,7 +36,8 @@ def conduction_velocity_percentile(points: DataFrame, by: str, least: int = 100)
     """(by, cv): distance between the centroids of the earliest and the latest twentieth over the gap of their mean
     times; coordinates in micrometres, times in ms, cm/s. 0 for groups of at most `least` times or without a gap."""
     known = points.where("t_act is not null")
-    lim = known.groupBy(by).agg(F.percentile("t_act", F.array(F.lit(0.05), F.lit(0.95))).alias("__p"), F.count("*").alias("__n"))
+    known, _ = written(known.select(by, *"xyz", "t_act"), "activated")
+    lim = exact_quantiles(known, [by], "t_act", [0.05, 0.95]).select(by, F.col("n").alias("__n"), F.col("q").alias("__p"))
     j = known.join(lim, by)
     early, late = F.col("t_act") < F.col("__p")[0], F.col("t_act") > F.col("__p")[1]
     mean = lambda ok, c: F.avg(F.when(ok, F.col(c)))
@@ -67,19 +74,48 @@ def affine(resistance: float, compliance: float, dt: float) -> tuple[float, floa
     return a, resistance * (1 - a)
 
 
-def leaky_integrator(flow: DataFrame, by: str, order: list[str], q: str, a: float, g: float, start: float) -> DataFrame:
-    """(by, step, q, p): pressure of a leaky integrator after each step of each series, the first step at `start`.
+#: Steps of a series that one window sums up.
+BLOCK = 4096
+
+
+def leaky_integrator(flow: DataFrame, by: str, order: list[str], q: str, a: float, g: float, start: float, block: int = BLOCK) -> DataFrame:
+    """(by, step, q, p): pressure of a leaky integrator after each step of each series, the first step at `start` (0 or
+    more); negative and null flows count as 0.
 
-    p is a**n times the sum of g q / a**k, but that overflows; instead an ordered fold carries p along the
-    series' array. A series (one patient's few thousand steps) is the unit of parallel work.
+    A step is the affine map p -> a p + g q, and maps of a run of steps are again one: a to the number of steps, and what
+    the run alone would leave. Series are cut into blocks of steps; in a block that is a**k times a running sum of
+    g q / a**k, whose powers stay in range; a block's end is carried to the next one by a fold over blocks, whose number is a
+    `block`-th of the steps. So a series is not the unit of parallel work, its blocks are. Steps are numbered by counts
+    of ranges of an integer order before them; other orders are first numbered by a window over the series.
     """
-    rows = flow.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(q).cast("double").alias("__q")))).alias("__r"))
-    qs = F.transform("__r", lambda r: r["__q"])
-    init = F.struct(F.lit(None).cast("double").alias("p"), F.array().cast("array<double>").alias("all"))
-    nxt = lambda s, x: F.when(s["p"].isNull(), F.lit(float(start))).otherwise(F.greatest(s["p"] * a + F.greatest(x, F.lit(0.0)) * g, F.lit(0.0)))
-    fold = F.aggregate(qs, init, lambda s, x: F.struct(nxt(s, x).alias("p"), F.concat(s["all"], F.array(nxt(s, x))).alias("all")))["all"]
-    both = rows.select(by, qs.alias("__qs"), fold.alias("__ps"))
-    return both.select(by, F.posexplode(F.arrays_zip(F.col("__qs").alias("q"), F.col("__ps").alias("p"))).alias("step", "z")).select(by, "step", "z.q", "z.p")
+    if start < 0 or not a > 0:
+        raise ValueError("start below 0 or a not over 0")
+    block = max(1, min(block, int(300 / max(abs(math.log(a)), 1e-9))))
+    rows = flow.select(by, *order, F.col(q).cast("double").alias("__q"))
+    whole = len(order) == 1 and rows.schema[order[0]].dataType.typeName() in ("byte", "short", "integer", "long")
+    rows = rows.withColumn("__b", F.floor(F.col(order[0]) / block) if whole else F.lit(0).cast("long"))
+    sizes = rows.groupBy(by, "__b").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(Window.partitionBy(by).orderBy("__b")) - F.col("__n"))
+    rank = F.row_number().over(Window.partitionBy(by, "__b").orderBy(*order, "__q"))
+    rows = rows.withColumn("__r", rank).join(sizes.select(F.col(by).alias("__by"), F.col("__b").alias("__bb"), "__before"), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__b") == F.col("__bb")))
+    rows = rows.withColumn("step", F.col("__before") + F.col("__r") - 1).select(by, "step", F.col("__q").alias("q"), F.floor(F.col("step") / block).alias("__b"))
+    k = (F.col("step") - F.col("__b") * block).cast("double")
+    gain = F.when(F.col("step") == 0, F.lit(float(start))).otherwise(F.greatest("q", F.lit(0.0)) * g)
+    run = F.sum(gain / F.pow(F.lit(a), k)).over(Window.partitionBy(by, "__b").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    alone, path = written(rows.withColumn("__p", F.pow(F.lit(a), k) * run), "blocks")
+    ends = alone.groupBy(by, "__b").agg(F.count("*").alias("n"), F.max_by("__p", "step").alias("end"))
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__b")
+        held, out = 0.0, []
+        for n, end in zip(pdf["n"].tolist(), pdf["end"].tolist(), strict=True):
+            out.append(held)
+            held = end + a**n * held
+        return pdf[[by, "__b"]].assign(__c=out)
+
+    kind = rows.schema[by].dataType.simpleString()
+    carried = ends.groupBy(by).applyInPandas(carry, f"`{by}` {kind}, `__b` long, `__c` double")
+    out = alone.alias("x").join(carried.alias("y"), [F.col(f"x.{by}").eqNullSafe(F.col(f"y.{by}")), F.col("x.__b") == F.col("y.__b")])
+    return out.select(F.col(f"x.{by}").alias(by), F.col("step").cast("int").alias("step"), "q", (F.col("__p") + F.col("__c") * F.pow(F.lit(a), (F.col("step") - F.col("x.__b") * block + 1).cast("double"))).alias("p"))
 
 
 def ventricle_pressure(p: Column, q: Column, impedance: float, drop: float = 60.0, share: float = 0.3, floor: float = 5.0) -> Column:

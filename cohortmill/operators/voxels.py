@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortmill.operators.quantiles import joined
+
 AXES = ("z", "y", "x")
 
 
@@ -106,11 +108,11 @@ def flip_bits(seed: int, case: str = "case_id") -> dict[str, Column]:
 
 def zscore(df: DataFrame, value: str, by: str, clip: tuple[float, float] | None = (0.5, 99.5), least: float = 1e-8) -> DataFrame:
     """df with z: clipped to percentiles of its group, centred, and divided by the population deviation where it
-    is over `least`. Two aggregations joined back by group; no window holds a group together."""
+    is over `least`. Quantiles and moments are joined back by group; no window or buffer holds a group together."""
     rows = df
     if clip:
-        lim = df.groupBy(by).agg(F.percentile(value, F.array(*[F.lit(p / 100.0) for p in clip])).alias("__p"))
-        rows = df.join(lim, by).withColumn("__v", F.greatest(F.col("__p")[0], F.least(F.col("__p")[1], F.col(value)))).drop("__p")
+        rows = joined(df, [by], value, [p / 100.0 for p in clip])
+        rows = rows.withColumn("__v", F.greatest(F.col("__q")[0], F.least(F.col("__q")[1], F.col(value)))).drop("__q")
     else:
         rows = df.withColumn("__v", F.col(value))
     stat = rows.groupBy(by).agg(F.avg("__v").alias("__m"), F.stddev_pop("__v").alias("__s"))
