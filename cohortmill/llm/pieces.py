@@ -137,53 +137,69 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
+class Memory(dict):
+    """Values of keys met lately, others by learn(key). Half of `most` keys are young; when they are so many, they become the
+    old ones, and old ones not met since go: what is met again and again is never learned twice. Keys of over `longest`
+    characters are not kept."""
+
+    def __init__(self, learn, most: int, longest: int):
+        super().__init__()
+        self.learn, self.most, self.longest, self.old = learn, most, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.learn(key)
+        if len(key) <= self.longest:
+            if 2 * len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordMemo:
     """Ids of recurring words and parts of words, as bytes of uint32, remembered from one call to the next: about `most`
-    that went through the agenda (some 100 MB) and `composed` words that are made of such parts; long ones never."""
+    words (some 100 MB) and `composed` parts of words that are not their first; long ones never."""
 
     def __init__(self, model: PieceModel, most: int = 500_000, composed: int = 100_000, longest: int = 64):
-        self.model, self.most, self.composed, self.longest = model, most, composed, longest
-        self.known: dict[str, bytes] = {}  # by word, without its leading space mark
-        self.inner: dict[str, bytes] = {}  # by part of a word that is not its first
-        self.made: list[str] = []  # the known words that are composed
-
-    def _learn(self, word: str) -> None:
-        parts = self.model.parts(word)
-        first = parts[0]
-        if first not in self.known:
-            self.known[first] = array("I", self.model.agenda(SPACE + first)).tobytes()
-        if len(parts) > 1:
-            for p in parts[1:]:
-                if p not in self.inner:
-                    self.inner[p] = array("I", self.model.agenda(p)).tobytes()
-            self.known[word] = self.known[first] + b"".join(map(self.inner.__getitem__, parts[1:]))
-            self.made.append(word)
-
-    def _long(self, word: str) -> bool:
-        return len(word) > self.longest
+        self.model, self.longest = model, longest
+        self.known = Memory(self._word, most, longest)  # by word, without its leading space mark
+        self.inner = Memory(self._part, composed, longest)  # by part of a word that is not its first
+        self.fresh: list[tuple[str, bytes]] | None = None  # words learned, while they are noted down
+
+    def _part(self, part: str) -> bytes:
+        return array("I", self.model.agenda(part)).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        first, *rest = self.model.parts(word)
+        if rest:
+            ids = self.known[first] + b"".join(map(self.inner.__getitem__, rest))
+        else:
+            ids = self._part(SPACE + first)
+        if self.fresh is not None:
+            self.fresh.append((word, ids))
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text its ids."""
-        words = [self.model.words(t) for t in texts]
-        if len(self.known) + len(self.inner) - len(self.made) > self.most:
-            self.known.clear()
-            self.inner.clear()
-            self.made.clear()
-        new = set().union(*words).difference(self.known)
-        for w in new:
-            self._learn(w)
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.uint32) for ws in words]
-        for w in filter(self._long, new):
-            for p in self.model.parts(w):
-                if len(p) > self.longest:
-                    self.known.pop(p, None)
-                    self.inner.pop(p, None)
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, self.model.words(t))), np.uint32) for t in texts]
+
+    def checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """encode(), and per text whether the library agrees: it encodes every word that these texts make us learn; ids of
+        words known before were the library's when they were learned. A text's ids are those of its words."""
+        self.fresh = []
+        ids, fresh = self.encode(texts), self.fresh
+        self.fresh = None
+        library = self.model.library
+        theirs = library.encode([w or "a " for w, _ in fresh], num_threads=1)  # the empty word stands after another only
+        theirs = [lib if w else lib[len(library.encode("a")) :] for (w, _), lib in zip(fresh, theirs, strict=True)]
+        odd = {w for (w, own), lib in zip(fresh, theirs, strict=True) if array("I", lib).tobytes() != own}
+        for w in odd:  # it is learned and found odd again wherever it stands
             self.known.pop(w, None)
-        if len(self.made) > self.composed:
-            for w in self.made:
-                self.known.pop(w, None)
-            self.made.clear()
-        return out
+            self.known.old.pop(w, None)
+        return ids, [odd.isdisjoint(self.model.words(t)) for t in texts] if odd else [True] * len(texts)
 
 
 _MEMOS: dict[bytes, WordMemo] = {}
@@ -218,8 +234,9 @@ def token_counts(memo: WordMemo, texts: list[str]) -> tuple[np.ndarray, np.ndarr
 def encoded(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """docs' columns but the text, plus n_tokens, ids_sha256, decoded_sha256, agrees and, with keep_ids, ids (array<int>).
 
-    Whole texts, no begin or end ids, no sampling; decoding is ours too. In each Arrow batch every whole text is
-    encoded and decoded by the library as well; agrees is false where ids or decoded text differ. Null
+    Whole texts, no begin or end ids, no sampling; decoding is ours too. In each Arrow batch the library encodes every
+    word that the worker has not met (WordMemo.checked) and decodes every whole text; agrees is false where ids or
+    decoded text differ. Null
     texts count as empty: no ids, both digests those of the empty string. Repeated rows give repeated rows; an
     empty table an empty one; columns of docs named like an output are replaced. The model is broadcast from
     the driver (under 1 MB); a worker's memory of words is bounded, and a text only adds its own size.
@@ -237,11 +254,10 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids:
             texts = [t or "" for t in pdf.pop(text_col)]
             for a, b in in_pieces(texts, 1_000_000):
                 rows = []
-                theirs = library.encode(texts[a:b], num_threads=1)
-                for found, lib_ids in zip(memo.encode(texts[a:b]), theirs, strict=True):
+                for found, same in zip(*memo.checked(texts[a:b]), strict=True):
                     ids = found.tolist()
                     text = model.decode(ids)
-                    row = [len(ids), hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), ids == lib_ids and text == library.decode(lib_ids)]
+                    row = [len(ids), hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), same and text == library.decode(ids)]
                     rows.append(row + [ids] * keep_ids)
                 yield pdf.iloc[a:b].assign(**{m: [r[k] for r in rows] for k, m in enumerate(made)})
 

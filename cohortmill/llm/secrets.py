@@ -18,9 +18,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortmill.session import written
+from cohortmill.session import stored_bytes, written
 
 CONTEXT = 40
+#: Up to so many bytes of files the table of texts with secrets is broadcast.
+BROADCAST_BYTES = 8 * 1024 * 1024
 #: Words before a value that call it a secret, or that call it something else.
 SECRET_WORDS = "token|secret|passw|passwd|password|pwd|api.?key|apikey|access.?key|private.?key|auth|bearer|credential|client.?secret"
 PLAIN_WORDS = "sha1|sha256|md5|checksum|digest|etag|commit|revision|uuid|guid|href|src|url|http|www|image|id"
@@ -74,7 +76,7 @@ def featured(candidates: DataFrame) -> DataFrame:
                 "lowers": _share(v, "[^a-z]", n),
                 "marks": _share(v, "[A-Za-z0-9]", n),
                 "hex": v.rlike("^([0-9a-f]+|[0-9A-F]+)$"),
-                "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(64)),
+                "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
                 # a run of one class shrinks to one character: what is left over one counts the changes
                 "class_changes": (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1) / n,
                 "vowel_steps": (n - F.length(F.regexp_replace(low, "[bcdfghjklmnpqrstvwxz][aeiouy]", "_"))) / n,
@@ -144,40 +146,61 @@ def labelled_findings(docs: DataFrame, sample: int = 400, id_col: str = "doc_id"
     """
     base = sample_of(docs, sample, id_col, text_col).select("id", F.translate("text", "\n\"'`=:", "      ").alias("t"))
     salt = lambda s: F.concat(F.lit(s), F.col("id").cast("string"))
-    hex40, hex64, hex32 = F.sha1(salt("a")), F.sha2(salt("b"), 256), F.md5(salt("c"))
-    b64 = F.translate(F.regexp_replace(F.base64(F.unhex(F.sha2(salt("d"), 256))), "=", ""), "+/", "-_")
-    alnum = F.regexp_replace(b64, "[-_]", "")
     place = F.pmod(F.xxhash64("id"), F.greatest(F.length("t") - 80, F.lit(1))).cast("int") + 1
-    prose, after = F.substring(F.col("t"), place, F.lit(30)), F.substring(F.col("t"), place + 40, F.lit(30))
     name = lambda k, *of: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(of))) + 1).cast("int"))
-    true_word = name("n", "token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "passwd")
-    sep, false_sep = name("s", ' = "', '="', ': "', " = '", "=", ": "), name("f", ' = "', '="', ": ", " ", "=")
-    short = F.concat(F.substring(alnum, 1, 5), F.lit("!"), F.substring(alnum, 6, 3), F.lit("@"), F.substring(alnum, 9, 3))
-    plain = F.regexp_extract(F.lower(prose), "([a-z]{8,})", 1)
     word = F.regexp_extract(F.regexp_replace(F.lower("t"), "[^a-z ]", ""), r"(\S+ \S+ \S+ \S+)", 1)
-    long_word = F.substring(F.regexp_replace(F.concat(word, F.lit("internationalisation")), " ", ""), 1, 28)
-    close = lambda s: F.concat(F.regexp_extract(s, "[\"']", 0), F.lit(" "), after)
+    # what findings are made of, written first: shape by shape it is only put together, which keeps the generated code small
+    pieces = {
+        "hex40": F.sha1(salt("a")),
+        "hex64": F.sha2(salt("b"), 256),
+        "hex32": F.md5(salt("c")),
+        "b64": F.translate(F.regexp_replace(F.base64(F.unhex(F.sha2(salt("d"), 256))), "=", ""), "+/", "-_"),
+        "bare": F.substring(F.col("t"), place, F.lit(30)),
+        "after": F.substring(F.col("t"), place + 40, F.lit(30)),
+        "true_word": name("n", "token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "passwd"),
+        "sep": name("s", ' = "', '="', ': "', " = '", "=", ": "),
+        "false_sep": name("f", ' = "', '="', ": ", " ", "="),
+        "commit": name("g", "commit", "revision", "merge", "sha1:", "etag"),
+        "sum": name("h", "sha256", "checksum", "digest"),
+        "number": name("i", "md5", "uuid", "id", "image id", "guid"),
+        "long_word": F.substring(F.regexp_replace(F.concat(word, F.lit("internationalisation")), " ", ""), 1, 28),
+    }
+    base = written(base.select("id", *[x.alias(k) for k, x in pieces.items()]), "pieces")[0]
+    alnum, plain = F.regexp_replace("b64", "[-_]", ""), F.regexp_extract(F.lower("bare"), "([a-z]{8,})", 1)
+    close = lambda s: F.concat(F.regexp_extract(s, "[\"']", 0), F.lit(" "), "after")
+    more = {
+        "alnum": alnum,
+        "short": F.concat(F.substring(alnum, 1, 5), F.lit("!"), F.substring(alnum, 6, 3), F.lit("@"), F.substring(alnum, 9, 3)),
+        "plain": F.when(plain == "", "something").otherwise(plain),
+        "close": close("sep"),
+        "false_close": close("false_sep"),
+        "prose": F.concat("bare", F.lit(" ")),
+        "assigned": F.concat("bare", F.lit(" "), "true_word", "sep"),
+    }
+    base = written(base.withColumns(more), "pieces")[0]
+    hex40, hex64, hex32, b64, alnum, prose, after, end, assigned = map(F.col, ("hex40", "hex64", "hex32", "b64", "alnum", "prose", "after", "close", "assigned"))
+    said = lambda *x: F.concat(prose, *[F.col(c) if c in pieces else F.lit(c) for c in x])
     shapes = [
-        (short, F.concat(prose, F.lit(" "), true_word, sep), close(sep), "", 1),
-        (F.substring(alnum, 1, 12), F.concat(prose, F.lit(" "), true_word, sep), close(sep), "src7", 1),
-        (F.when(plain == "", "something").otherwise(plain), F.concat(prose, F.lit(" "), true_word, F.lit(": ")), F.concat(F.lit(" "), after), "src8", 0),
-        *[(v, F.concat(prose, F.lit(" "), true_word, sep), close(sep), p, 1) for v, p in ((hex40, "src/app.py"), (hex32, "config.env"), (b64, "deploy/settings.yml"), (alnum, ""), (hex64, "src0"), (F.concat(F.lit("ghp_"), F.substring(alnum, 1, 36)), ""), (F.concat(F.lit("AKIA"), F.upper(hex32)), "env"), (F.substring(hex40, 1, 24), "src1"))],
-        (b64, F.concat(prose, F.lit(" Authorization: Bearer ")), F.concat(F.lit("\n"), after), "src/client.js", 1),
-        (hex40, F.concat(prose, F.lit(" "), name("g", "commit", "revision", "merge", "sha1:", "etag"), F.lit(" ")), after, "docs/changes.md", 0),
-        (hex64, F.concat(prose, F.lit(" "), name("h", "sha256", "checksum", "digest"), false_sep), close(false_sep), "package.lock", 0),
-        (hex32, F.concat(prose, F.lit(" "), name("i", "md5", "uuid", "id", "image id", "guid"), false_sep), close(false_sep), "src2", 0),
-        (hex40, prose, after, "src3", 0),
-        (alnum, F.concat(prose, F.lit(" https://www.example.com/watch/")), after, "src4", 0),
-        (b64, F.concat(prose, F.lit(' <img src="data:image/png;base64,')), after, "index.html", 0),
-        (F.lit("your_token_goes_here_please"), F.concat(prose, F.lit(" "), true_word, sep), close(sep), "docs/readme.md", 0),
-        (F.lit("xxxxxxxxxxxxxxxx00000000"), F.concat(prose, F.lit(" "), true_word, sep), close(sep), "test/fixtures.py", 0),
-        (F.concat(F.lit("example_"), F.substring(hex32, 1, 16)), F.concat(prose, F.lit(" "), true_word, sep), close(sep), "example.env", 0),
-        (long_word, F.concat(prose, F.lit(" ")), after, "src5", 0),
-        (long_word, F.concat(prose, F.lit(" "), true_word, F.lit(" ")), after, "", 0),
-        (F.concat(long_word, F.lit("2024")), F.concat(prose, F.lit(" the "), true_word, F.lit(" of ")), after, "src6", 0),
+        (F.col("short"), assigned, end, "", 1),
+        (F.substring(alnum, 1, 12), assigned, end, "src7", 1),
+        (F.col("plain"), said("true_word", ": "), F.concat(F.lit(" "), after), "src8", 0),
+        *[(v, assigned, end, p, 1) for v, p in ((hex40, "src/app.py"), (hex32, "config.env"), (b64, "deploy/settings.yml"), (alnum, ""), (hex64, "src0"), (F.concat(F.lit("ghp_"), F.substring(alnum, 1, 36)), ""), (F.concat(F.lit("AKIA"), F.upper(hex32)), "env"), (F.substring(hex40, 1, 24), "src1"))],
+        (b64, said("Authorization: Bearer "), F.concat(F.lit("\n"), after), "src/client.js", 1),
+        (hex40, said("commit", " "), after, "docs/changes.md", 0),
+        (hex64, said("sum", "false_sep"), F.col("false_close"), "package.lock", 0),
+        (hex32, said("number", "false_sep"), F.col("false_close"), "src2", 0),
+        (hex40, F.col("bare"), after, "src3", 0),
+        (alnum, said("https://www.example.com/watch/"), after, "src4", 0),
+        (b64, said('<img src="data:image/png;base64,'), after, "index.html", 0),
+        (F.lit("your_token_goes_here_please"), assigned, end, "docs/readme.md", 0),
+        (F.lit("xxxxxxxxxxxxxxxx00000000"), assigned, end, "test/fixtures.py", 0),
+        (F.concat(F.lit("example_"), F.substring(hex32, 1, 16)), assigned, end, "example.env", 0),
+        (F.col("long_word"), prose, after, "src5", 0),
+        (F.col("long_word"), said("true_word", " "), after, "", 0),
+        (F.concat("long_word", F.lit("2024")), said("the ", "true_word", " of "), after, "src6", 0),
     ]
     made = F.posexplode(F.array(*[F.struct(v.alias("want"), F.concat(b, v, a).alias("text"), F.lit(p).alias("path"), F.lit(y).cast("double").alias("label")) for v, b, a, p, y in shapes])).alias("k", "x")
-    texts = base.select("id", made).select(F.concat_ws(":", F.col("id").cast("string"), "k").alias("id"), "x.*")
+    texts = written(base.select("id", made).select(F.concat_ws(":", F.col("id").cast("string"), "k").alias("id"), "x.*"), "made")[0]
     found = candidates(texts, "id", "text", "path", ("want", "label")).where("value = want")
     return found.select("value", "before", "after", "path", "label")
 
@@ -225,15 +248,26 @@ def redacted(docs: DataFrame, model: SecretModel | None, id_col: str = "doc_id",
 
     A value that is confirmed in one place of a text is replaced wherever it is a candidate in that text. The few texts
     with secrets are matched by hash of the text, so null and repeated ids do no harm; null, empty and long texts
-    stay as they are but for their secrets.
+    stay as they are but for their secrets. docs may have any columns but __version and __values, which raise an error.
+    The table of what to replace is broadcast if its files are small, which is looked up; else texts are joined with it.
     """
-    hits = scanned(docs, model, id_col, text_col, path_col).where("is_secret").select("version", "value").distinct().groupBy("version").agg(F.sort_array(F.collect_list("value")).alias("__values"))
+    if {"__version", "__values"} & set(docs.columns):
+        raise ValueError("docs has a column __version or __values")
+    spark = docs.sparkSession
+    hits = scanned(docs, model, id_col, text_col, path_col).where("is_secret").select(F.col("version").alias("__version"), "value").distinct()
+    hits, path = written(hits.groupBy("__version").agg(F.sort_array(F.collect_list("value")).alias("__values")), "hits")
     text = F.col(f"`{text_col}`")
-    version = F.when(text.rlike(CANDIDATE), F.xxhash64(text))
-    out = docs.withColumn("__version", version)
-    gone = out.where("__version is null").drop("__version")
-    rows = out.where("__version is not null").join(hits.withColumnRenamed("version", "__version").hint("shuffle_hash"), "__version", "left")
+    version = F.xxhash64(text.cast("string"))
+    if stored_bytes(spark, path) <= BROADCAST_BYTES:
+        # a hash a text tells which ones hold secrets; the pattern runs over those alone
+        rows, rest = docs.withColumn("__version", version).join(F.broadcast(hits), "__version", "left"), None
+    else:
+        # only texts with a candidate are shuffled
+        found = docs.withColumn("__version", F.when(text.rlike(CANDIDATE), version))
+        rest = found.where("__version is null").select(*docs.columns)
+        rows = found.where("__version is not null").join(hits.hint("merge"), "__version", "left")
     values = F.regexp_extract_all(text.cast("string"), F.lit(CANDIDATE), F.lit(0))
     shown = F.transform(F.arrays_zip(F.split(text, CANDIDATE, -1).alias("g"), F.concat(values, F.array(F.lit(""))).alias("v")), lambda x: F.concat(x["g"], F.when(F.array_contains("__values", x["v"]), F.lit(mark)).otherwise(x["v"])))
     clean = F.when(F.col("__values").isNotNull(), F.array_join(shown, "")).otherwise(text)
-    return gone.unionByName(rows.withColumn(text_col, clean).select(*docs.columns))
+    out = rows.withColumn(text_col, clean).select(*docs.columns)
+    return out if rest is None else rest.unionByName(out)

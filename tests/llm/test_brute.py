@@ -426,6 +426,21 @@ def test_words_made_of_parts_are_encoded_like_the_library():
     assert all(len(w) <= memo.longest for w in [*memo.known, *memo.inner])
 
 
+def test_a_word_that_the_library_encodes_otherwise_is_told():
+    from cohortmill.llm.pieces import PieceModel, WordMemo, public_model
+
+    with open(public_model("piece_bpe_32k.model"), "rb") as f:
+        memo = WordMemo(PieceModel(f.read()))
+    right, texts = memo.model.agenda, ["the house", "a tree and  more ", "", "tree,house"]
+    memo.model.agenda = lambda chunk: [7] if "tree" in chunk else right(chunk)
+    for _ in range(2):  # it stays told when it comes again
+        assert memo.checked(texts)[1] == [True, False, True, False]
+    memo.model.agenda = right
+    assert memo.checked(texts)[1] == [True] * 4
+    for ids, theirs in zip(memo.checked(texts)[0], memo.model.library.encode(texts), strict=True):
+        assert ids.tolist() == theirs
+
+
 def test_both_forms_of_the_agenda_merge_alike():
     import random
 
