@@ -62,6 +62,12 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """The size of a table of written() on disk."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hp).getLength()
+
+
 def importable(spark: SparkSession) -> None:
     """Give Python workers on any machine this package: it is shipped once an application as a zip file."""
     if getattr(spark.sparkContext, "_cohortmill_shipped", False):
