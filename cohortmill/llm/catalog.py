@@ -65,7 +65,9 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortmill.llm.quality import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(*first, *[c for c in out.columns if c not in first])
 
 
 @_query
@@ -119,12 +121,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn with its text, then an attachment whose kind goes by the turn, its units by the text: placeholders, references
-    and expanded tokens of whole conversations."""
+    and expanded tokens of whole conversations, and of conversation -1, whose text and role hold all that is escaped."""
     from pyspark.sql import functions as F
 
     from cohortmill.llm.chat import PARTS, formatted
 
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    trap = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("a\\b\n<|im_start|>").alias("role"), F.lit("<|im_end|> \\ <\\| <|image|>").alias("text"))
+    c = c.unionByName(trap)
     kind = F.element_at(F.array(*map(F.lit, ("image", "audio", "document"))), (F.col("turn") % 3 + 1).cast("int"))
     part = lambda k, text, ref, units: F.struct(k.alias("kind"), text.alias("text"), ref.alias("ref"), units.cast("int").alias("units"))
     none = F.lit(None).cast("string")
@@ -272,10 +276,11 @@ FROM e GROUP BY conv_id
 
 _SQL["chat_typed_parts"] = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, ['image', 'audio', 'document'][turn % 3 + 1] AS kind, [256, 25, 512][turn % 3 + 1] * (length(coalesce(text, '')) % 5 + 1) AS tokens FROM conversations
-), e AS (SELECT *, length(replace(replace(text, '', '\'), '<|', '<\|')) + length(kind) + 4 AS n,
-  length(replace(replace(replace(role, '', '\'), '<|', '<\|'), chr(10), '
-')) AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM c)
+  SELECT conv_id, turn, role, text, ['image', 'audio', 'document'][turn % 3 + 1] AS kind, [256, 25, 512][turn % 3 + 1] * (length(text) % 5 + 1) AS tokens FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'a\b' || chr(10) || '<|im_start|>', '<|im_end|> \ <\| <|image|>'))
+), e AS (SELECT *, length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length(kind) + 4 AS n,
+  length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM c)
 SELECT conv_id, count(*) AS n_turns, count(*) AS n_attachments, CAST(sum(tokens) AS BIGINT) AS expanded_tokens,
   sha256(string_agg(pos || ':' || kind || ':' || conv_id || '/' || turn || ':' || tokens, ',' ORDER BY pos)) AS attachments_sha256,
   CAST(sum(12 + m + 1 + n + 10 + 1) AS BIGINT) AS formatted_chars

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.llm.pieces import memo_of, public_model, token_counts
 from cohortmill.llm.shingles import in_pieces, mix64, word_hashes
+from cohortmill.operators.quantiles import exact_quantiles
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -113,18 +114,17 @@ def learned_bands(good: DataFrame, least: int = 40, spread: float = 1.7) -> Data
     """(grp, size, <measure>_low, <measure>_high) from counted documents labelled good, size being floor(log2(tokens)), -1 for all.
 
     A band reaches from the median to `spread` times the distance of the first and last percentile (and at
-    least a hundredth of the median); groups under `least` documents have none. Groups are language codes of
+    least a hundredth of the median), exact ones of all documents, however they are dealt out; groups under `least` documents have none. Groups are language codes of
     at most three letters or a script, sizes at most 21, so that the table stays small on any input.
     """
-    both = good.withColumn("__s", F.explode(F.array(F.col("__size"), F.lit(-1))))
-    aggs = [F.percentile_approx(m, [0.01, 0.5, 0.99], 2000).alias(m) for m in MEASURES]
-    t = both.groupBy("grp", F.col("__s").alias("size")).agg(F.count("*").alias("n"), *aggs).where(F.col("n") >= least)
-    cols = []
-    for m in MEASURES:
-        low, mid, high = (F.col(m)[i] for i in range(3))
-        some = F.greatest(0.01 * mid, F.lit(0.005))
-        cols += [(mid - spread * F.greatest(mid - low, some)).alias(f"{m}_low"), (mid + spread * F.greatest(high - mid, some)).alias(f"{m}_high")]
-    return t.select("grp", "size", *cols)
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])
+    both = good.select("grp", F.explode(F.array("__size", F.lit(-1))).alias("size"), each.alias("m")).select("grp", "size", F.inline("m"))
+    t = exact_quantiles(both, ["grp", "size", "measure"], "value", [0.01, 0.5, 0.99]).where(F.col("n") >= least)
+    low, mid, high = (F.col("q")[i] for i in range(3))
+    some = F.greatest(0.01 * mid, F.lit(0.005))
+    t = t.withColumns({"low": mid - spread * F.greatest(mid - low, some), "high": mid + spread * F.greatest(high - mid, some)})
+    cols = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("low", "high")]
+    return t.groupBy("grp", "size").agg(*cols)
 
 
 def judged(counted: DataFrame, labels: DataFrame | None, id_col: str = "doc_id") -> DataFrame:
