@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortmill.operators.quantiles import exact_quantiles
-from cohortmill.session import dropped, settled, written
+from cohortmill.session import dropped, written
 
 
 def _feistel(index: Column, bits: int, keys: list[int]) -> Column:
@@ -44,30 +48,52 @@ def normalize_params(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> D
     return df.withColumns({c: ((F.col(c) - lo) / (hi - lo) if hi > lo else F.lit(0.0)) for c, (lo, hi) in bounds.items()})
 
 
-def maximin_subset(points: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
-    """(id, pick): greedy farthest points. It starts with the lowest id; each round takes the point whose least
-    distance to those taken is largest, the lowest id on a tie. With k at least the number of points all are taken.
+def maximin_subset(points: DataFrame, k: int, id_col: str, vec_col: str, candidates: int = 512) -> DataFrame:
+    """(id, pick): greedy farthest points. It starts with the lowest id; each pick is the point whose least distance to
+    those taken is largest, the lowest id on a tie. With k at least the number of points all are taken.
 
-    One job a round: the picked point travels as a literal, least distances are carried along in a written table.
+    A pass over the vectors finds the `candidates` points farthest from all that are taken. Distances only fall with further
+    picks, so that the best candidate is the next pick for sure as long as it is farther than the last candidate was: many
+    picks come of one pass. Vectors are written once and only read; what reaches the driver is the picks and a pass's candidates.
     """
-    v = points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    first = v.orderBy("id").limit(1).collect()
-    if not first:
-        return v.select("id", F.lit(0).alias("pick"))
-    picked = [first[0]["id"]]
-    distance = lambda x: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(a)) for a in x]), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
-    now, path = settled(v.where(F.col("id") != picked[0]).withColumn("d", distance(first[0]["v"])), "maximin")
-    while len(picked) < k:
-        best = now.agg(F.max(F.struct("d", (-F.col("id")).alias("i"), "v")).alias("b")).first()["b"]
-        if best is None:
+    spark = points.sparkSession
+    v, path = written(points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null"), "points")
+    start = v.orderBy("id").limit(1).collect()
+    picked, taken = [r["id"] for r in start], [np.array(r["v"]) for r in start]
+
+    def farthest(taken: np.ndarray, picked: list):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf = pdf[~pdf["id"].isin(picked)]
+                if len(pdf):
+                    x = np.array(pdf["v"].tolist())
+                    d = np.full(len(x), np.inf)
+                    for p in taken:
+                        d = np.minimum(d, ((x - p) ** 2).sum(1))
+                    yield pdf.assign(d=d).sort_values(["d", "id"], ascending=[False, True]).head(candidates)
+
+        return run
+
+    while picked and len(picked) < k:
+        kind = ", ".join(f"{c} {t}" for c, t in v.dtypes) + ", d double"
+        best = v.mapInPandas(farthest(np.array(taken), list(picked)), kind).orderBy(F.desc("d"), "id").limit(candidates).collect()
+        if not best:
             break
-        picked.append(-best["i"])
-        old = path
-        now, path = settled(now.where(F.col("id") != picked[-1]).withColumn("d", F.least("d", distance(best["v"]))), "maximin")
-        dropped(points.sparkSession, old)
-    dropped(points.sparkSession, path)
-    names = F.array(*[F.lit(i) for i in picked])
-    return points.sparkSession.range(1).select(F.posexplode(names).alias("pick", "id")).select("id", "pick")
+        ids, x, d = [r["id"] for r in best], np.array([r["v"] for r in best]), np.array([r["d"] for r in best])
+        bound = (-d[-1], ids[-1]) if len(best) == candidates else None
+        left = set(range(len(best)))
+        while left and len(picked) < k:
+            i = min(left, key=lambda j: (-d[j], ids[j]))
+            if bound is not None and (-d[i], ids[i]) > bound:
+                break
+            left.remove(i)
+            picked.append(ids[i])
+            taken.append(x[i])
+            d = np.minimum(d, ((x - x[i]) ** 2).sum(1))
+    dropped(spark, path)
+    if not picked:
+        return v.select("id", F.lit(0).alias("pick")).where("false")
+    return spark.range(1).select(F.posexplode(F.array(*[F.lit(i) for i in picked])).alias("pick", "id")).select("id", "pick")
 
 
 def assign_fidelity(points: DataFrame, chosen: DataFrame, id_col: str, n_lf: int, n_hf: int, paired: bool = False) -> DataFrame:

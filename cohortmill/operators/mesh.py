@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.functions.vectors import Vec, add, clip, cross, dot, norm, scale, sub, tet_determinant, unit
 from cohortmill.operators.quantiles import exact_quantiles
-from cohortmill.session import written
+from cohortmill.session import dropped, written
 
 CORNERS = ("n0", "n1", "n2", "n3")
 EDGES = list(combinations(range(4), 2))
@@ -27,10 +27,13 @@ def corners(elements: DataFrame) -> DataFrame:
 
 
 def with_coordinates(elements: DataFrame, nodes: DataFrame, values: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """elements with <value><k> for each corner k: one join on (mesh_id, node_id), one aggregation by element."""
-    j = corners(elements).join(nodes.select("mesh_id", "node_id", *values), ["mesh_id", "node_id"])
-    wide = j.groupBy(*ELEM).agg(*[F.max(F.when(F.col("k") == k, F.col(v))).alias(f"{v}{k}") for k in range(4) for v in values])
-    return elements.join(wide, ELEM)
+    """elements with <value><k> for each corner k: one join on (mesh_id, node_id), one aggregation by element. What else an
+    element has goes along with its corners, so that elements are not joined a second time."""
+    rest = [c for c in elements.columns if c not in ELEM]
+    each = elements.select(*ELEM, *rest, F.posexplode(F.array(*CORNERS)).alias("__k", "node_id"))
+    j = each.join(nodes.select("mesh_id", "node_id", *values), ["mesh_id", "node_id"])
+    own = [F.max(c).alias(c) for c in rest]  # the same in all four rows
+    return j.groupBy(*ELEM).agg(*own, *[F.max(F.when(F.col("__k") == k, F.col(v))).alias(f"{v}{k}") for k in range(4) for v in values])
 
 
 def points(k: int | None = None) -> list[Vec] | Vec:
@@ -80,14 +83,68 @@ def diagonal_probes(nodes: DataFrame, n: int = 8) -> DataFrame:
     return probes.select("mesh_id", "probe", *[(F.col(f"lo{c}") + k * (F.col(f"hi{c}") - F.col(f"lo{c}"))).alias(f"p{c}") for c in "xyz"])
 
 
-def nearest_node(probes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(mesh_id, probe, node_id, distance): the nearest node of the probe's mesh, the lowest id of equals.
+CELL = ["cx", "cy", "cz"]
 
-    Each node meets its mesh's few probes; what is shuffled is a partial minimum a probe.
+
+def grid_cells(nodes: DataFrame, per_cell: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(meshes, cells): per mesh the corner of its box, the side h of its cells, with about per_cell nodes each, and how many
+    there are along an axis; and nodes by cell (mesh_id, cx, cy, cz, node_id, x, y, z)."""
+    box = nodes.groupBy("mesh_id").agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n"))
+    side = [F.col(f"hi{c}") - F.col(f"lo{c}") for c in "xyz"]
+    widest = F.greatest(*side)
+    # a flat or thin box counts as if it were a thousandth of its longest side deep
+    volume = F.greatest(side[0], widest / 1000) * F.greatest(side[1], widest / 1000) * F.greatest(side[2], widest / 1000)
+    h = F.when(widest > 0, F.greatest(F.cbrt(volume * per_cell / F.col("n")), widest / 1e6)).otherwise(1.0)
+    meshes = box.withColumn("h", h).withColumn("across", F.greatest(*[F.floor(x / F.col("h")) for x in side]) + 1)
+    cells = nodes.select("mesh_id", "node_id", *"xyz").join(meshes.select("mesh_id", "lox", "loy", "loz", "h"), "mesh_id")
+    return meshes, cells.select("mesh_id", *[F.floor((F.col(c) - F.col(f"lo{c}")) / F.col("h")).alias(f"c{c}") for c in "xyz"], "node_id", *"xyz")
+
+
+def ring_pairs(waiting: DataFrame, cells: DataFrame, inner: int, outer: int) -> DataFrame:
+    """Probes with the nodes of the cells that lie over `inner` and up to `outer` cells away along some axis."""
+    step = [F.explode(F.sequence(F.greatest(F.col(c) - outer, F.lit(0)), F.least(F.col(c) + outer, F.col("across")))).alias(f"__{c}") for c in CELL]
+    at = waiting
+    for s in step:
+        at = at.select("*", s)
+    far = F.greatest(*[F.abs(F.col(f"__{c}") - F.col(c)) for c in CELL])
+    at = at.where(far > inner).drop(*CELL).select("*", *[F.col(f"__{c}").alias(c) for c in CELL]).drop(*[f"__{c}" for c in CELL])
+    return at.join(cells.hint("merge"), ["mesh_id", *CELL])
+
+
+def nearest_node(probes: DataFrame, nodes: DataFrame, per_cell: int = 8) -> DataFrame:
+    """(mesh_id, probe, node_id, distance): the nearest node of the probe's mesh, the lowest id of equals; probes of
+    meshes without nodes have none.
+
+    Nodes lie in a grid of equal cells. A probe meets the nodes of the cells around it, ring by ring of doubling
+    width, until the nearest is nearer than any cell not looked at: nodes beyond r rings are at least r cells
+    away, and outside the box of the mesh farther by the probe's distance to it.
     """
-    d = norm(tuple(F.col(f"p{c}") - F.col(c) for c in "xyz"))
-    best = nodes.join(probes, "mesh_id").groupBy("mesh_id", "probe").agg(F.min(F.struct(d.alias("distance"), "node_id")).alias("b"))
-    return best.select("mesh_id", "probe", "b.node_id", "b.distance")
+    spark = nodes.sparkSession
+    meshes, cells = grid_cells(nodes, per_cell)
+    meshes, meshes_path = written(meshes, "meshes")
+    cells, cells_path = written(cells, "cells")
+    p = probes.select("mesh_id", "probe", *[F.col(f"p{c}") for c in "xyz"]).join(meshes, "mesh_id")
+    clamped = [F.least(F.greatest(F.floor((F.col(f"p{c}") - F.col(f"lo{c}")) / F.col("h")), F.lit(0)), F.floor((F.col(f"hi{c}") - F.col(f"lo{c}")) / F.col("h"))).alias(f"c{c}") for c in "xyz"]
+    outside = [F.greatest(F.col(f"lo{c}") - F.col(f"p{c}"), F.col(f"p{c}") - F.col(f"hi{c}"), F.lit(0.0)) for c in "xyz"]
+    off = sum((x * x for x in outside), F.lit(0.0)).alias("off")
+    waiting, path = written(p.select("mesh_id", "probe", "px", "py", "pz", *clamped, off, "h", "across", F.lit(None).cast("struct<distance: double, node_id: long>").alias("best")), "waiting")
+    found, paths, inner, outer = None, [meshes_path, cells_path], -1, 1
+    distance = norm(tuple(F.col(f"p{c}") - F.col(c) for c in "xyz"))
+    while True:
+        near = ring_pairs(waiting.drop("best"), cells, inner, outer).groupBy("mesh_id", "probe").agg(F.min(F.struct(distance.alias("distance"), F.col("node_id").cast("long").alias("node_id"))).alias("now"))
+        both = waiting.join(near.hint("merge"), ["mesh_id", "probe"], "left").withColumn("best", F.least("best", "now")).drop("now")
+        sure = (F.col("best.distance") < F.sqrt(F.col("off") + F.pow(outer * F.col("h"), 2)) * (1 - 1e-12)) | (F.col("across") <= outer)
+        both, both_path = written(both.withColumn("sure", F.coalesce(sure, F.lit(False))), "rings")
+        paths.append(path)
+        done = both.where("sure").select("mesh_id", "probe", "best.node_id", "best.distance")
+        found = done if found is None else found.unionByName(done)
+        waiting, path = both.where("not sure").drop("sure"), both_path
+        if waiting.isEmpty():
+            break
+        inner, outer = outer, 2 * outer
+    out, _ = written(found.where("node_id is not null"), "nearest")
+    dropped(spark, *paths)
+    return out
 
 
 def element_vectors(elements: DataFrame, vectors: DataFrame, cols: tuple[str, str, str] = ("fx", "fy", "fz"), least: float = 1e-8) -> DataFrame:

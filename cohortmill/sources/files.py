@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortmill.session import importable
+from cohortmill.sources.igb import VM, FrameSource, header
+
 _NAME = r"([^/\\]+?)(?:\.[^./\\]+)?$"
 
 
@@ -59,9 +62,18 @@ def read_activation(spark: SparkSession, path: str, nodes: DataFrame) -> DataFra
     return nodes.join(t, ["mesh_id", "node_id"], "left").fillna(-1.0, ["t_act"])
 
 
-def read_vm_frames(spark: SparkSession, path: str, tend: float = 1.0) -> DataFrame:
-    """vm_frames() of the IGB files of a folder, job_id being the file's name."""
-    return vm_frames(spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", _NAME, 1).alias("job_id"), "content"), tend)
+def read_vm_frames(spark: SparkSession, path: str, tend: float = 1.0, partition_bytes: int = 64 << 20, frames: tuple[int, int] | None = None) -> DataFrame:
+    """(job_id, frame, node_id, vm, dt) of the IGB files of a folder, job_id being the file's name; with frames, those of the
+    first to the last of the range. A file of any size is read by many tasks, each of which seeks to its frames; the
+    header is read once. Files must be in a folder or store that workers can open (sources/igb.py); contents that Spark alone
+    can reach go through vm_frames()."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", _NAME, 1).alias("job"), "path")
+    files = [f"{r.job}\t{r.path}" for r in found.orderBy("path").collect()]  # a line a file: names alone, never contents
+    importable(spark)
+    spark.dataSource.register(FrameSource)
+    first, last = frames or (0, -1)
+    options = {"files": "\n".join(files), "tend": str(tend), "partition_bytes": str(partition_bytes), "first": str(first), "last": str(last)}
+    return spark.read.format("igb").options(**options).load()
 
 
 def vm_frames(rows: DataFrame, tend: float = 1.0) -> DataFrame:
@@ -71,11 +83,7 @@ def vm_frames(rows: DataFrame, tend: float = 1.0) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for job, content in zip(pdf["job_id"], pdf["content"], strict=True):
-                fields = dict(x.split(":", 1) for x in content[:1024].decode("latin-1").split() if ":" in x)
-                try:
-                    n, frames = int(fields["x"]), int(fields["t"])
-                except (KeyError, ValueError):
-                    raise ValueError(f"{job} has no readable header") from None
+                n, frames = header(content, job)
                 if len(content) < 4 * n * frames:
                     raise ValueError(f"{job} holds less than its header says")
                 data = np.frombuffer(content, "<f4", offset=len(content) - 4 * n * frames).reshape(frames, n)
@@ -84,7 +92,7 @@ def vm_frames(rows: DataFrame, tend: float = 1.0) -> DataFrame:
                     part = data[a : a + max(1, 500_000 // max(n, 1))]
                     yield pd.DataFrame({"job_id": job, "frame": np.repeat(np.arange(a, a + len(part), dtype=np.int32), n), "node_id": np.tile(np.arange(n, dtype=np.int64), len(part)), "vm": part.ravel(), "dt": dt})
 
-    return rows.select("job_id", "content").mapInPandas(parse, "job_id string, frame int, node_id long, vm float, dt double")
+    return rows.select("job_id", "content").mapInPandas(parse, VM)
 
 
 PARAMS = ("sigma_l", "sigma_t", "sigma_n", "T_max_kPa", "heart_rate_bpm", "a_kPa", "b", "R_p", "C_a", "duration_ms")

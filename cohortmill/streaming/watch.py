@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,9 +57,10 @@ def tail_epochs(lines: DataFrame) -> DataFrame:
     return rows.groupBy("run_id").applyInPandasWithState(_advance, EPOCHS, _OPEN, "append", GroupStateTimeout.NoTimeout)
 
 
-def slo_watch(epochs: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
+def slo_watch(epochs: DataFrame, limits: dict[str, float] | None = None, keep_s: int | None = None) -> DataFrame:
     """The first epoch of each run that meets all limits, once a run. Of a stream the state of a run is one flag, and
-    epochs of a run come in order from tail_epochs(); of a table it is a plain minimum."""
+    epochs of a run come in order from tail_epochs(); of a table it is a plain minimum. With keep_s the flag of a run that has
+    had no such epoch for so many seconds of processing time is given up, so that state doesn't grow with all runs ever seen."""
     ok = F.lit(True)
     for c, least in (limits or {"dice_myo": 0.90, "dice_lv": 0.90, "dice_rv": 0.85}).items():
         ok = ok & (F.col(c) >= least)
@@ -69,11 +71,57 @@ def slo_watch(epochs: DataFrame, limits: dict[str, float] | None = None) -> Data
     columns, kind = met.columns, ", ".join(f"`{c}` {k}" for c, k in met.dtypes)
 
     def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if not state.exists:
-            state.update((True,))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        fresh = not state.exists
+        state.update((True,))
+        if keep_s is not None:
+            state.setTimeoutDuration(keep_s * 1000)
+        if fresh:
             yield pd.concat(list(frames)).nsmallest(1, "epoch")[columns]
 
-    return met.groupBy("run_id").applyInPandasWithState(first, kind, "told boolean", "append", GroupStateTimeout.NoTimeout)
+    timer = GroupStateTimeout.NoTimeout if keep_s is None else GroupStateTimeout.ProcessingTimeTimeout
+    return met.groupBy("run_id").applyInPandasWithState(first, kind, "told boolean", "append", timer)
+
+
+#: Seconds after which a job that is not heard of has failed, and the states that end a job.
+SILENCE_S, ENDED = 300, ("completed", "failed")
+
+
+def job_watch(events: DataFrame, key: str, state: Column, order: list[str], ended: tuple[str, ...] = ENDED, silence_s: int = SILENCE_S) -> DataFrame:
+    """A stream of (key, state, n_events, timed_out): a row for each job of a micro-batch, its last state by `order` so far.
+
+    A timer of processing time is set with every event of a job that has not ended; a job that is silent for silence_s
+    comes out once as failed, timed_out. The state of a job that ended or failed goes with its row, so that a job
+    ends once and only open jobs are remembered; an event after that begins it anew. Timers are looked at
+    whenever a micro-batch runs. Null keys are left out.
+    """
+    rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("job"), state.cast("string").alias("state"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    places = [f"o{i}" for i in range(len(order))]
+    kind = f"`{key}` {events.schema[key].dataType.simpleString()}, state string, n_events long, timed_out boolean"
+
+    def advance(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            _, n, _ = held.get
+            held.remove()
+            yield pd.DataFrame([[k[0], "failed", n, True]], columns=[key, "state", "n_events", "timed_out"])
+            return
+        name, n, last = held.get if held.exists else (None, 0, None)
+        at = pickle.loads(last) if last is not None else None
+        for pdf in frames:
+            n += len(pdf)
+            for *now, s in pdf[[*places, "state"]].itertuples(index=False):
+                if at is None or tuple(now) >= at:
+                    at, name = tuple(now), s
+        if name in ended:
+            held.remove()
+        else:
+            held.update((name, n, pickle.dumps(at)))
+            held.setTimeoutDuration(silence_s * 1000)
+        yield pd.DataFrame([[k[0], name, n, False]], columns=[key, "state", "n_events", "timed_out"])
+
+    return rows.groupBy("job").applyInPandasWithState(advance, kind, "state string, n long, at binary", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def job_progress(events: DataFrame, key: str, state: Column, order: list[str], ended: Column | None = None) -> DataFrame:
