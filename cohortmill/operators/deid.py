@@ -92,3 +92,15 @@ def deidentify(tags: DataFrame, seed: str, content_sha: Column) -> tuple[DataFra
     warned = pii_scan(kept, "val", ["file_id"], "vr").groupBy("file_id").agg(F.count("*").alias("warnings"))
     report = counts.join(warned, "file_id", "left").withColumn("warnings", F.coalesce("warnings", F.lit(0)))
     return replace_identity(kept.drop("missing")).drop("twin_id"), report
+
+
+def case_name(path: Column, renamed: dict[str, str] | None = None) -> Column:
+    """struct(case_id, patient, frame, is_truth) of an image or label file's path: the name without folders, without .nii or
+    .nii.gz and without _gt, which marks ground truth, `renamed` pieces exchanged; patient and frame are what stands before
+    and after _frame, null in names of other forms. A null path has a null name and is no truth."""
+    stem = F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"\.nii(\.gz)?$", "")
+    case = F.regexp_replace(stem, "_gt$", "")
+    for old, new in (renamed or {}).items():
+        case = F.replace(case, F.lit(old), F.lit(new))
+    some = lambda pattern: F.nullif(F.regexp_extract(stem, pattern, 1), F.lit(""))
+    return F.struct(case.alias("case_id"), some("^(.*?)_frame[0-9]+").alias("patient"), some("_frame([0-9]+)").cast("long").alias("frame"), F.coalesce(stem.endswith("_gt"), F.lit(False)).alias("is_truth"))

@@ -147,16 +147,21 @@ def train_val_split(rows: DataFrame, key: str, share: float = 0.8, seed: str = "
     return x.join(F.broadcast(before.drop("__n")), "__b").withColumn("split", F.when(rank <= F.floor(F.col("__all") * F.lit(share)), "train").otherwise("val")).drop("__h", "__b", "__before", "__all")
 
 
+def _keyed(seed: int, c: Column | str) -> Column:
+    return F.sha2(F.concat(F.lit(f"{seed}:"), (F.col(c) if isinstance(c, str) else c).cast("string")), 256)
+
+
 def sample_with_replacement(rows: DataFrame, draws: int, key: str, seed: int = 0) -> DataFrame:
-    """(draw, key): `draws` rows with repeats. A row's place is its rank by key in range partitions; draws hash to places."""
-    n = rows.count()
-    if not n:
-        return rows.select(F.lit(0).cast("long").alias("draw"), key)
-    by = rows.withColumn("__b", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(4096)))
-    sizes = by.groupBy("__b").agg(F.count("*").alias("__n")).coalesce(1).withColumn("__before", F.sum("__n").over(Window.orderBy("__b")) - F.col("__n"))
-    place = by.join(F.broadcast(sizes.select("__b", "__before")), "__b").withColumn("__place", F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1 + F.col("__before"))
-    d = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(n)).alias("__place"))
-    return d.join(place, "__place").select("draw", key)
+    """(draw, key): `draws` rows with repeats. A row's place is its rank by a keyed hash, counted in 4,096 buckets of the
+    hash and before them, so that no sort is of all rows; a draw's place is a hash of its number. Null keys are not drawn;
+    no row, no draw. How many rows there are is joined as a table of one row, not asked for."""
+    by = rows.where(F.col(key).isNotNull()).withColumn("__h", _keyed(seed, key)).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
+    sizes = by.groupBy("__b").agg(F.count("*").alias("__n")).coalesce(1)
+    sizes = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__b")) - F.col("__n"))  # 4,096 rows
+    place = by.join(F.broadcast(sizes.select("__b", "__before")), "__b").select(key, (F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1 + F.col("__before")).alias("__place"))
+    number = F.conv(F.substring(_keyed(seed + 1, "id"), 1, 12), 16, 10).cast("long")
+    d = rows.sparkSession.range(draws).join(F.broadcast(by.agg(F.nullif(F.count("*"), F.lit(0)).alias("__all"))), how="cross").select(F.col("id").alias("draw"), (number % F.col("__all")).alias("__place"))
+    return d.join(place.hint("merge"), "__place").select("draw", key)
 
 
 def oversample_foreground(rows: DataFrame, rare: Column, draws: int, key: str, share: float = 0.66) -> DataFrame:

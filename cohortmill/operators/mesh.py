@@ -188,6 +188,17 @@ def tissue_volume(coords: DataFrame) -> DataFrame:
     return coords.groupBy("mesh_id").agg((F.sum(F.abs(signed_volume())) / 1000.0).alias("volume_ml"))
 
 
+def volume_change(elements: DataFrame, nodes: DataFrame, displacement: DataFrame) -> DataFrame:
+    """(mesh_id, rest_ml, deformed_ml, change): tissue volume before and after displacement(mesh_id, node_id, ux, uy, uz) and
+    its relative change. Nodes carry both places, so that elements meet them once."""
+    moved = nodes.join(displacement.select("mesh_id", "node_id", "ux", "uy", "uz"), ["mesh_id", "node_id"], "left")
+    moved = moved.select("mesh_id", "node_id", *"xyz", *[(F.col(c) + F.coalesce(f"u{c}", F.lit(0.0))).alias(f"d{c}") for c in "xyz"])
+    c = with_coordinates(elements, moved, ("x", "y", "z", "dx", "dy", "dz"))
+    deformed = tet_determinant([tuple(F.col(f"d{a}{k}") for a in "xyz") for k in range(4)])
+    out = c.groupBy("mesh_id").agg((F.sum(F.abs(signed_volume())) / 1000.0).alias("rest_ml"), (F.sum(F.abs(deformed / 6.0)) / 1000.0).alias("deformed_ml"))
+    return out.withColumn("change", (F.col("deformed_ml") - F.col("rest_ml")) / F.col("rest_ml"))
+
+
 def displaced(nodes: DataFrame, displacement: DataFrame) -> DataFrame:
     """nodes moved by displacement(mesh_id, node_id, ux, uy, uz); nodes without one stay."""
     j = nodes.join(displacement.select("mesh_id", "node_id", "ux", "uy", "uz"), ["mesh_id", "node_id"], "left")
@@ -316,26 +327,35 @@ def radial_displacement(nodes: DataFrame, displacement: DataFrame, half_height:
     return box.select("mesh_id").join(got, "mesh_id", "left").fillna(0.0, ["endo", "epi"])
 
 
-def node_gradient(elements: DataFrame, nodes: DataFrame, phi: str) -> DataFrame:
-    """(mesh_id, node_id, gx, gy, gz): the gradient of a nodal field, mean over elements by volume, at unit length.
+def node_gradients(elements: DataFrame, nodes: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(mesh_id, node_id, <p>x, <p>y, <p>z ..): for each nodal field of fields, a column of nodes with its prefix p, the gradient,
+    mean over elements by volume, at unit length. All fields travel in one join of elements and nodes.
 
     In an element the gradient is the field's differences over the inverse of its edge matrix, in closed form;
     elements without volume are skipped; a gradient shorter than 1e-12 stays as it is.
     """
-    c = with_coordinates(elements, nodes, ("x", "y", "z", phi))
+    c = with_coordinates(elements, nodes, ("x", "y", "z", *fields))
     p = points()
     e = [sub(p[k], p[0]) for k in (1, 2, 3)]
-    det = dot(e[0], cross(e[1], e[2]))
-    d = [F.col(f"{phi}{k}") - F.col(f"{phi}0") for k in (1, 2, 3)]
-    g = add(add(scale(cross(e[1], e[2]), d[0]), scale(cross(e[2], e[0]), d[1])), scale(cross(e[0], e[1]), d[2]))
-    rows = c.withColumn("__det", det).where("__det <> 0")
+    faces_ = [cross(e[1], e[2]), cross(e[2], e[0]), cross(e[0], e[1])]
+    rows = c.withColumn("__det", dot(e[0], faces_[0])).where("__det <> 0")
     w = F.abs(F.col("__det")) / 6.0
-    rows = rows.select("mesh_id", F.explode(F.array(*CORNERS)).alias("node_id"), w.alias("w"), *[(x / F.col("__det") * w).alias(f"g{a}") for x, a in zip(g, "xyz", strict=True)])
-    s = rows.groupBy("mesh_id", "node_id").agg(F.sum("w").alias("w"), *[F.sum(f"g{a}").alias(f"g{a}") for a in "xyz"])
-    mean = tuple(F.when(F.col("w") > 1e-12, F.col(f"g{a}") / F.col("w")).otherwise(F.col(f"g{a}")) for a in "xyz")
-    s = s.select("mesh_id", "node_id", *[x.alias(f"g{a}") for x, a in zip(mean, "xyz", strict=True)])
-    u = unit(tuple(F.col(f"g{a}") for a in "xyz"), 1e-12)
-    return s.select("mesh_id", "node_id", *[x.alias(f"g{a}") for x, a in zip(u, "xyz", strict=True)])
+    parts = []
+    for phi, name in fields.items():
+        d = [F.col(f"{phi}{k}") - F.col(f"{phi}0") for k in (1, 2, 3)]
+        g = add(add(scale(faces_[0], d[0]), scale(faces_[1], d[1])), scale(faces_[2], d[2]))
+        parts += [(x / F.col("__det") * w).alias(f"{name}{a}") for x, a in zip(g, "xyz", strict=True)]
+    names = [f"{n}{a}" for n in fields.values() for a in "xyz"]
+    rows = rows.select("mesh_id", F.explode(F.array(*CORNERS)).alias("node_id"), w.alias("w"), *parts)
+    s = rows.groupBy("mesh_id", "node_id").agg(F.sum("w").alias("w"), *[F.sum(n).alias(n) for n in names])
+    s = s.select("mesh_id", "node_id", *[F.when(F.col("w") > 1e-12, F.col(n) / F.col("w")).otherwise(F.col(n)).alias(n) for n in names])
+    out = [x.alias(f"{n}{a}") for n in fields.values() for x, a in zip(unit(tuple(F.col(f"{n}{a}") for a in "xyz"), 1e-12), "xyz", strict=True)]
+    return s.select("mesh_id", "node_id", *out)
+
+
+def node_gradient(elements: DataFrame, nodes: DataFrame, phi: str) -> DataFrame:
+    """(mesh_id, node_id, gx, gy, gz): node_gradients() of one field."""
+    return node_gradients(elements, nodes, {phi: "g"})
 
 
 def _angles(oriented: bool) -> Column:

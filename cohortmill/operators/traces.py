@@ -149,16 +149,17 @@ def pressure_correction(p_mean: Column, target: float = 95.0) -> Column:
     return F.greatest(F.lit(0.8), F.least(F.lit(1.2), 1.0 + 0.1 * (target - p_mean) / target))
 
 
-def pressure_feedback(runs: DataFrame, v_ed: str, v_es: str, p_mean: str) -> DataFrame:
+def pressure_feedback(runs: DataFrame, v_ed: str, v_es: str, p_mean: str, stop: float = 1.0, most: int = 10) -> DataFrame:
     """runs with corrected volumes, ef before and after, and rounds.
 
-    Scaling both volumes leaves the ejection fraction as it is, so the fixed point's second round always meets
-    its stop (a change under 1): two rounds whatever the input, without a loop on the driver.
+    Scaling both volumes leaves the ejection fraction as it is, so the fixed point's second round meets its stop (a
+    change under `stop`): two rounds, without a loop on the driver. A row whose change is not under it has `most`.
     """
     f = pressure_correction(F.col(p_mean))
     ef = lambda d, s: 100.0 * (d - s) / d
     out = runs.withColumns({"v_ed_new": F.col(v_ed) * f, "v_es_new": F.col(v_es) * f})
-    return out.withColumns({"ef_before": ef(F.col(v_ed), F.col(v_es)), "ef_after": ef(F.col("v_ed_new"), F.col("v_es_new")), "rounds": F.lit(2)})
+    out = out.withColumns({"ef_before": ef(F.col(v_ed), F.col(v_es)), "ef_after": ef(F.col("v_ed_new"), F.col("v_es_new"))})
+    return out.withColumn("rounds", F.when(F.abs(F.col("ef_after") - F.col("ef_before")) < stop, 2).otherwise(most))
 
 
 def cycle_metrics(trace: DataFrame, by: str, heart_rate: float, dt_ms: float, legacy_output: bool = False) -> DataFrame:

@@ -60,3 +60,13 @@ def conductivity_multiplier(sigma: Column, reference: float = 0.30) -> Column:
 def status_band(value: Column, low: float, high: float) -> Column:
     """ok inside the closed band, warn outside, null for null."""
     return F.when(value.between(low, high), "ok").when(value.isNotNull(), "warn")
+
+
+def missing_ground_truth(cases: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+    """cases whose key is not among truth's; a null key is missing."""
+    return cases.join(truth.select(key), key, "left_anti")
+
+
+def error_split(results: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """(results that carry no error, those that do): means of a report are of the first, counts of both. An empty message is an error too."""
+    return results.where(F.col(error).isNull()).drop(error), results.where(F.col(error).isNotNull())

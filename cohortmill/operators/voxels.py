@@ -142,12 +142,12 @@ def threshold_label(df: DataFrame, value: str, by: str, strict: bool = False) ->
     return df.join(mean, by).withColumn("label", label.otherwise(0)).drop("__m")
 
 
-def tile_starts(size: int, patch: int, overlap: float = 0.5) -> Column:
+def tile_starts(size: Column | int, patch: Column | int, overlap: float = 0.5) -> Column:
     """Starts of tiles along an axis, the last one ending at the axis' end; [0] where the axis is shorter."""
-    if size <= patch:
-        return F.array(F.lit(0))
-    step = max(1, int(patch * (1 - overlap)))
-    return F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0), F.lit(size - patch), F.lit(step)), F.array(F.lit(size - patch)))))
+    size, patch = (F.lit(x) if isinstance(x, int) else x.cast("int") for x in (size, patch))
+    step = F.greatest(F.lit(1), F.floor(patch * (1 - overlap)).cast("int"))
+    last = F.greatest(size - patch, F.lit(0))
+    return F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0), last, step), F.array(last))))
 
 
 def merge_tiles(probs: DataFrame, keys: list[str], cls: str = "cls", p: str = "p") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortmill.functions.hashing import hmac_pads, id_format_ok
 from cohortmill.operators import deid, registry
 from cohortmill.plans.base import query
+from cohortmill.session import shared_dir
 
-SEED = "test_institutional_seed_not_for_production"
+SEED = "seed of the registered queries"
 _IN, _OUT = (p.hex() for p in hmac_pads(SEED))
 _TAG = "(grp * 65536 + elem)"
 _REMOVED = "(" + ", ".join(str(g * 65536 + e) for g, e in deid.REMOVED) + ")"
@@ -108,6 +111,23 @@ def x11_case_id(t):
     )
 
 
+_FILES = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'in/patient' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '_frame' || lpad(CAST(n_chars % 30 AS VARCHAR), 2, '0') || '.nii.gz'
+ WHEN 1 THEN 'patient' || doc_id || '_frame' || (n_chars % 30) || '_gt.nii.gz' WHEN 2 THEN 'mr/mr_train_' || doc_id || '_image.nii' ELSE 'odd name ' || doc_id END AS path FROM documents"""
+
+
+@query(f"""WITH f AS ({_FILES}), n AS (SELECT doc_id, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.nii(\\.gz)?$', '') AS stem FROM f)
+SELECT doc_id, replace(regexp_replace(stem, '_gt$', ''), 'mr_train_', 'mmwhs_') AS case_id, nullif(regexp_extract(stem, '^(.*?)_frame[0-9]+', 1), '') AS patient, CAST(nullif(regexp_extract(stem, '_frame([0-9]+)', 1), '') AS BIGINT) AS frame, ends_with(stem, '_gt') AS is_truth FROM n""")
+def x11_case_names(t):
+    """Case names of image and label files of two data sets, and names of no known form."""
+    path = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("in/patient"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit("_frame"), F.lpad((F.col("n_chars") % 30).cast("string"), 2, "0"), F.lit(".nii.gz")))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("patient"), "doc_id", F.lit("_frame"), F.col("n_chars") % 30, F.lit("_gt.nii.gz")))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("mr/mr_train_"), "doc_id", F.lit("_image.nii")))
+        .otherwise(F.concat(F.lit("odd name "), "doc_id"))
+    )
+    return t.documents.select("doc_id", deid.case_name(path, {"mr_train_": "mmwhs_"}).alias("c")).select("doc_id", "c.*")
+
+
 def _twins(t):
     return t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("twin_id"), F.lit("ready").alias("status"), F.lit(True).alias("consent"), F.lit("1990-01-01").cast("timestamp").alias("updated_at"))
 
@@ -120,6 +140,24 @@ def u01_upsert_twins(t):
     return registry.upsert_twins(_twins(t), asked).select("twin_id", "status", "consent", F.col("updated_at").cast("double").alias("at_s"))
 
 
+@query("""WITH q AS (SELECT o_custkey AS twin_id, max(o_orderdate) AS at FROM orders GROUP BY 1), t AS (SELECT c_custkey AS twin_id FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(t.twin_id, q.twin_id) AS twin_id, CASE WHEN q.twin_id IS NULL THEN 'ready' ELSE 'ingesting' END AS status, t.twin_id IS NOT NULL AS consent,
+  epoch(coalesce(q.at, TIMESTAMP '1990-01-01')) AS at_s FROM t FULL JOIN q ON t.twin_id = q.twin_id""")
+def u01_upsert_versioned(t):
+    """The same upsert into a table of files by hash of the key: a first version of the twins, then the requests in two
+    batches, each of which rewrites the parts that it touches."""
+    from cohortmill.operators.versioned import VersionedTable
+
+    twins = _twins(t)
+    asked = t.orders.select(F.col("o_custkey").alias("twin_id"), F.lit(False).alias("consent"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    table = VersionedTable(t.spark, f"{shared_dir(t.spark)}/twins-{uuid.uuid4().hex}", "twin_id", twins.schema, parts=16)
+    table.upsert(twins, lambda old, new: new)
+    late = F.col("twin_id") % 5 == 0
+    table.upsert(asked.where(~late), registry.upsert_twins)
+    table.upsert(asked.where(late), registry.upsert_twins)
+    return table.read().select("twin_id", "status", "consent", F.col("updated_at").cast("double").alias("at_s"))
+
+
 @query("SELECT o_orderkey AS job_id, o_custkey AS twin_id, 'done' AS status, 0 AS size, '' AS sha256 FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, 'pending', length(o_orderpriority), sha256(o_orderpriority) FROM orders WHERE o_orderkey % 2 = 1")
 def u02_register_jobs(t):
     o = t.orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("twin_id"), "o_orderpriority")

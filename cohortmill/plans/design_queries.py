@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortmill.operators import design, surrogate
+from cohortmill.operators import design, surrogate, validate
 from cohortmill.plans.base import query
 
 _B = {"p1": (1.0, 50.0), "p2": (0.0, 0.1), "p3": (0.0, 0.08)}
@@ -24,9 +24,9 @@ def a24_output_variance(t):
     return _r(design.output_variance_audit(t.v_doe, ["p1", "p2", "p3", "out1"]))
 
 
-@query("SELECT CAST(floor((p1 - 15) / 4) + 1 AS BIGINT) AS band, count(*) AS n, round(avg(out1), 3) AS mean, round(quantile_cont(out1, 0.5), 3) AS p50, round(quantile_cont(out1, 0.9), 3) AS p90, round(sum(out1), 2) AS total FROM v_doe WHERE p1 >= 15 AND p1 < 35 GROUP BY 1")
+@query("SELECT CAST(CASE WHEN p1 < 15 THEN 0 WHEN p1 >= 35 THEN 6 ELSE floor((p1 - 15) / 4) + 1 END AS BIGINT) AS band, count(*) AS n, round(avg(out1), 3) AS mean, round(quantile_cont(out1, 0.5), 3) AS p50, round(quantile_cont(out1, 0.9), 3) AS p90, round(sum(out1), 2) AS total FROM v_doe GROUP BY 1")
 def a25_run_cost_profile(t):
-    out = design.run_cost_profile(t.v_doe.where("p1 >= 15 AND p1 < 35"), "p1", 15.0, 35.0, 5, "out1")
+    out = design.run_cost_profile(t.v_doe, "p1", 15.0, 35.0, 5, "out1")
     return out.select("band", "n", *[F.round(c, 3).alias(c) for c in ("mean", "p50", "p90")], F.round("total", 2).alias("total"))
 
 
@@ -40,18 +40,24 @@ def k05_train_val_split(t):
     return design.train_val_split(t.documents.select("doc_id"), "doc_id")
 
 
-@query("SELECT 1000 AS draws, 1 AS all_known")
+def _draws(rows: str, key: str, draws: int, seed: int) -> str:
+    """The draws of sample_with_replacement: places by the order of a keyed hash, a hash for each draw."""
+    return f"""SELECT d.i AS draw, {key} FROM (SELECT i, CAST('0x' || substr(sha256('{seed + 1}:' || i), 1, 12) AS BIGINT) % (SELECT count(*) FROM ({rows}) q) AS place FROM range({draws}) AS r(i)) d
+JOIN (SELECT {key}, row_number() OVER (ORDER BY sha256('{seed}:' || {key}), {key}) - 1 AS place FROM ({rows}) q) p ON p.place = d.place"""
+
+
+@query(_draws("SELECT doc_id FROM documents", "doc_id", 1000, 0))
 def k06_sample_with_replacement(t):
-    s = design.sample_with_replacement(t.documents.select("doc_id"), 1000, "doc_id")
-    known = s.join(t.documents.select("doc_id"), "doc_id", "left_semi").count() == s.count()
-    return s.agg(F.count("*").cast("int").alias("draws"), F.lit(int(known)).alias("all_known"))
+    return design.sample_with_replacement(t.documents.select("doc_id"), 1000, "doc_id")
+
 
+_RARE = "SELECT doc_id FROM labels GROUP BY 1 HAVING max(toxic) = 1"
 
-@query("SELECT true AS forced, 330 AS n, true AS enough_rare UNION ALL SELECT false, 170, true")
+
+@query(f"SELECT draw, doc_id, true AS forced FROM ({_draws(_RARE, 'doc_id', 330, 1)}) a UNION ALL SELECT draw + 330, doc_id, false FROM ({_draws('SELECT DISTINCT doc_id FROM labels', 'doc_id', 170, 2)}) b")
 def k07_oversample_foreground(t):
     lab = t.labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    s = design.oversample_foreground(lab, F.col("toxic") == 1, 500, "doc_id").join(lab, "doc_id")
-    return s.groupBy("forced").agg(F.count("*").cast("int").alias("n"), F.every((F.col("toxic") == 1) | ~F.col("forced")).alias("enough_rare"))
+    return design.oversample_foreground(lab, F.col("toxic") == 1, 500, "doc_id")
 
 
 @query("SELECT p AS param, count(*) AS n, count(*) AS strata, true AS in_bounds FROM part CROSS JOIN (VALUES ('p1'), ('p2'), ('p3')) AS q(p) GROUP BY 1")
@@ -145,6 +151,14 @@ def g08_binned_first_order(t):
     return _r(surrogate.binned_first_order(t.lineitem, "l_quantity", "l_extendedprice", 1.0, 51.0, 10))
 
 
+@query("SELECT 'a' AS input, round(0.8, 1) AS s1, true AS near UNION ALL SELECT 'b', 0.2, true")
+def g08_sobol_first_order(t):
+    """Of y = 2 a + b, scored on as many points as lineitem has rows: the closed form's 4 / 5 and 1 / 5 within 0.02."""
+    s = surrogate.sobol_first_order(t.spark, t.lineitem.count(), {"a": (0.0, 1.0), "b": (0.0, 1.0)}, lambda d: d.withColumn("y", 2 * F.col("a") + F.col("b")))
+    exact = F.when(F.col("input") == "a", 0.8).otherwise(0.2)
+    return s.select("input", F.round("s1", 1).alias("s1"), (F.abs(F.col("s1") - exact) < 0.02).alias("near"))
+
+
 @query("SELECT p AS param, round(sum(w * v) / sum(w), 6) AS mean, round(sqrt(sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) ** 2), 6) AS std, round(sum(w) ** 2 / sum(w * w), 4) AS ess FROM (SELECT exp(-0.5 * (((n - 30) / 4.0) ** 2 + ((p1 - 25) / 3.0) ** 2)) AS w, unnest(['p1', 'p2']) AS p, unnest([p1, p2]) AS v FROM v_doe) GROUP BY 1")
 def g09_posterior_weights(t):
     w = surrogate.posterior_weights(t.v_doe, {"n": (30.0, 4.0), "p1": (25.0, 3.0)})
@@ -159,7 +173,19 @@ def g09_weighted_quantile(t):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j07_missing_truth(t):
-    return t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti")
+    return validate.missing_ground_truth(t.documents.select("doc_id"), t.labels, "doc_id")
+
+
+@query("""WITH r AS (SELECT d.source, l.quality, CASE WHEN l.doc_id IS NULL THEN 'no ground truth' WHEN length(d.text) < 100 THEN 'too short' END AS error FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id)
+SELECT source, count_if(error IS NULL) AS n_valid, round(avg(quality) FILTER (error IS NULL), 6) AS mean_quality, count_if(error IS NOT NULL) AS n_failed, max(error) AS last_error FROM r GROUP BY 1""")
+def j07_error_split(t):
+    """Cases without ground truth or with too little text fail, the report's means are those of the others."""
+    lab = t.labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.lit(True).alias("has"))
+    error = F.when(F.col("has").isNull(), "no ground truth").when(F.length("text") < 100, "too short")
+    valid, failed = validate.error_split(t.documents.join(lab, "doc_id", "left").select("source", "quality", error.alias("error")))
+    v = valid.groupBy("source").agg(F.count("*").alias("n_valid"), F.round(F.avg("quality"), 6).alias("mean_quality"))
+    f = failed.groupBy("source").agg(F.count("*").alias("n_failed"), F.max("error").alias("last_error"))
+    return v.join(f, "source", "full_outer").fillna(0, ["n_valid", "n_failed"]).select("source", "n_valid", "mean_quality", "n_failed", "last_error")
 
 
 @query("SELECT count(*) AS n_cases, array_to_string(list_sort(list_distinct(list(quality || '-' || toxic))), ',') AS labels FROM labels")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortmill.operators import logs
@@ -17,47 +18,54 @@ def _place(t) -> str:
     return f"{shared_dir(t.spark)}/files-{uuid.uuid4().hex}"
 
 
-def _meshes(t):
-    """Meshes of every supplier as files: nodes, elements and fibres."""
+def _meshes(t, *kinds: str) -> str:
+    """Meshes of every supplier as files: of nodes, elements and fibres what kinds name."""
     nodes = t.v_node.withColumn("mesh_id", F.col("mesh_id").cast("string"))
     elements = t.v_elem.withColumn("mesh_id", F.col("mesh_id").cast("string"))
     angle = F.col("elem_id") % 7
     fibres = elements.select("mesh_id", F.col("elem_id").alias("row"), *[x.cast("double").alias(c) for x, c in ((angle, "fx"), (-angle, "fy"), (F.lit(1), "fz"), (F.lit(0), "sx"), (F.lit(1), "sy"), (angle, "sz"))])
     out = _place(t)
-    files.write_mesh(nodes, elements, fibres, out)
+    files.write_mesh(*[x if k in kinds else None for k, x in (("pts", nodes), ("elem", elements), ("lon", fibres))], out)
     return out
 
 
 @query("SELECT CAST(mesh_id AS VARCHAR) AS mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY node_id) - 1 AS node_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM v_node")
 def s01_read_mesh_nodes(t):
     """Nodes are numbered anew by their line, as the format holds no numbers."""
-    return files.read_mesh_nodes(t.spark, _meshes(t) + "/pts").select("mesh_id", "node_id", *[F.round(c, 4).alias(c) for c in "xyz"])
+    return files.read_mesh_nodes(t.spark, _meshes(t, "pts") + "/pts").select("mesh_id", "node_id", *[F.round(c, 4).alias(c) for c in "xyz"])
 
 
 @query("SELECT CAST(mesh_id AS VARCHAR) AS mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY elem_id) - 1 AS elem_id, n0, n1, n2, n3, tag FROM v_elem")
 def s02_read_mesh_elements(t):
-    return files.read_mesh_elements(t.spark, _meshes(t) + "/elem")
+    return files.read_mesh_elements(t.spark, _meshes(t, "elem") + "/elem")
 
 
 @query("SELECT CAST(mesh_id AS VARCHAR) AS mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY elem_id) - 1 AS \"row\", CAST(elem_id % 7 AS DOUBLE) AS fx, CAST(-(elem_id % 7) AS DOUBLE) AS fy, 1.0::DOUBLE AS fz FROM v_elem UNION ALL SELECT 'none', s_suppkey, 1.0, 0.0, 0.0 FROM supplier")
 def s03_read_fibers(t):
     """Every element has its fibre; rows of a mesh without a file have the stand-in."""
-    path = _meshes(t) + "/lon"
+    path = _meshes(t, "lon") + "/lon"
     own = files.read_fibers(t.spark, path).select("mesh_id", "row")
     return files.read_fibers(t.spark, path, own.unionByName(t.supplier.select(F.lit("none").alias("mesh_id"), F.col("s_suppkey").cast("long").alias("row"))))
 
 
-@query("SELECT CAST(mesh_id AS VARCHAR) AS mesh_id, count(*) AS n, round(sum(x + 2 * y + 3 * z), 2) AS mix FROM v_node GROUP BY 1")
+@query("""SELECT 'pts' AS kind, CAST(mesh_id AS VARCHAR) AS mesh_id, count(*) AS n, round(sum(x + 2 * y + 3 * z), 2) AS mix FROM v_node GROUP BY 2
+UNION ALL SELECT 'elem', CAST(mesh_id AS VARCHAR), count(*), CAST(sum(n0 + 2 * n1 + 3 * n2 + 4 * n3) AS DOUBLE) FROM v_elem GROUP BY 2 UNION ALL SELECT 'lon', CAST(mesh_id AS VARCHAR), count(*), CAST(sum(elem_id % 7 - 2 * (elem_id % 7) + 3) AS DOUBLE) FROM v_elem GROUP BY 2""")
 def s11_write_mesh(t):
-    n = files.read_mesh_nodes(t.spark, _meshes(t) + "/pts")
-    return n.groupBy("mesh_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x") + 2 * F.col("y") + 3 * F.col("z")), 2).alias("mix"))
+    """All three kinds of file, each read back."""
+    out = _meshes(t, "pts", "elem", "lon")
+    total = lambda df, kind, mix: df.groupBy(F.lit(kind).alias("kind"), "mesh_id").agg(F.count("*").alias("n"), F.round(F.sum(mix).cast("double"), 2).alias("mix"))
+    n = total(files.read_mesh_nodes(t.spark, out + "/pts"), "pts", F.col("x") + 2 * F.col("y") + 3 * F.col("z"))
+    e = total(files.read_mesh_elements(t.spark, out + "/elem"), "elem", F.col("n0") + 2 * F.col("n1") + 3 * F.col("n2") + 4 * F.col("n3"))
+    f = total(files.read_fibers(t.spark, out + "/lon"), "lon", F.col("fx") + 2 * F.col("fy") + 3 * F.col("fz"))
+    return n.unionByName(e).unionByName(f)
 
 
 @query("WITH n AS (SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY node_id) - 1 AS node_id FROM v_node) SELECT CAST(mesh_id AS VARCHAR) AS mesh_id, node_id, CASE WHEN node_id < 50 THEN node_id / 4.0 ELSE -1.0 END AS t_act FROM n")
 def s05_read_activation(t):
     """Times of the first 50 nodes of each mesh are in files, whose lines beyond that are missing."""
     out = _place(t)
-    nodes = files.read_mesh_nodes(t.spark, _meshes(t) + "/pts").select("mesh_id", "node_id")
+    at = F.row_number().over(Window.partitionBy("mesh_id").orderBy("node_id")) - 1
+    nodes = t.v_node.select(F.col("mesh_id").cast("string").alias("mesh_id"), at.cast("long").alias("node_id"))
     rows = nodes.where("node_id < 50").select("mesh_id", "node_id", F.format_string("%.2f", F.col("node_id") / 4.0).alias("value"))
     rows.repartition("mesh_id").sortWithinPartitions("mesh_id", "node_id").select("mesh_id", "value").write.partitionBy("mesh_id").text(out)
     return files.read_activation(t.spark, out, nodes)

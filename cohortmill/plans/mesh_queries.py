@@ -6,7 +6,6 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from cohortmill.functions.vectors import vec
 from cohortmill.operators import fibers, mesh
 from cohortmill.plans.base import query
 
@@ -137,9 +136,7 @@ _MOVED = "SELECT mesh_id, node_id, x * 1.1 AS x, y * 0.9 + 0.01 * (node_id % 3)
 @query(_nudged(f"WITH c AS ({_C}), d AS ({_C.replace('v_node', 'm')}), m AS ({_MOVED}), a AS (SELECT mesh_id, sum(abs({_DET})) / 6000 AS v FROM c GROUP BY 1), b AS (SELECT mesh_id, sum(abs({_DET})) / 6000 AS v FROM d GROUP BY 1) SELECT mesh_id, round(a.v, 6) AS rest_ml, round(b.v, 6) AS deformed_ml, round((b.v - a.v) / a.v, 6) AS change FROM a JOIN b USING (mesh_id)".replace("WITH c AS", "WITH m AS (" + _MOVED + "), c AS", 1).replace(f", m AS ({_MOVED}), a AS", ", a AS", 1)))
 def a10_tissue_volume(t):
     u = t.v_node.select("mesh_id", "node_id", (F.col("x") * 0.1).alias("ux"), (F.col("y") * -0.1 + 0.01 * (F.col("node_id") % 3)).alias("uy"), F.lit(0.0).alias("uz"))
-    a = mesh.tissue_volume(_coords(t)).withColumnRenamed("volume_ml", "rest_ml")
-    b = mesh.tissue_volume(mesh.with_coordinates(t.v_elem, mesh.displaced(t.v_node, u))).withColumnRenamed("volume_ml", "deformed_ml")
-    return _rounded(a.join(b, "mesh_id").withColumn("change", (F.col("deformed_ml") - F.col("rest_ml")) / F.col("rest_ml")), nudge=_NUDGE)
+    return _rounded(mesh.volume_change(t.v_elem, t.v_node, u), nudge=_NUDGE)
 
 
 _FACES = "SELECT mesh_id, elem_id, unnest([list_sort([n1, n2, n3]), list_sort([n0, n2, n3]), list_sort([n0, n1, n3]), list_sort([n0, n1, n2])]) AS face FROM v_elem"
@@ -166,9 +163,25 @@ def a13_cavity_faces(t):
     return g.groupBy("mesh_id").agg(F.count("*").alias("n_faces"), F.count_if(F.col("kind") == "base").alias("n_base"))
 
 
-@query()
+_KEY = "mesh_id * 1000 + {p}.node_id = b.mesh_id * 1000 + "
+_VOLUME = f"""WITH f AS (SELECT mesh_id, u.v AS v, u.o AS o, list_sort(u.v) AS face FROM (SELECT mesh_id, unnest([{{'v': [n1, n2, n3], 'o': n0}}, {{'v': [n0, n2, n3], 'o': n1}}, {{'v': [n0, n1, n3], 'o': n2}}, {{'v': [n0, n1, n2], 'o': n3}}]) AS u FROM v_cup)),
+b AS (SELECT mesh_id, any_value(v) AS v, any_value(o) AS o FROM f GROUP BY mesh_id, face HAVING count(*) = 1), m AS (SELECT mesh_id, max(z) AS top, avg(x) AS cx, avg(y) AS cy FROM v_node GROUP BY 1),
+g AS (SELECT b.mesh_id, v, {", ".join(f"p{k}.{a} AS {a}{k}" for k in range(4) for a in "xyz")}, top, cx, cy FROM b JOIN m USING (mesh_id) {" ".join(f"JOIN v_node p{k} ON p{k}.{_KEY.format(p=f'p{k}')}{x}" for k, x in enumerate(("v[1]", "v[2]", "v[3]", "o")))}),
+n AS (SELECT *, {", ".join(f"{x} AS n{a}" for a, x in zip("xyz", _cross(0, 1, 2), strict=True))} FROM g),
+u AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS len, CASE WHEN nx * (x3 - x0) + ny * (y3 - y0) + nz * (z3 - z0) > 0 THEN -1 ELSE 1 END AS turn, {", ".join(f"({a}0 + {a}1 + {a}2) / 3 AS m{a}" for a in "xyz")} FROM n),
+k AS (SELECT *, CASE WHEN least(z0, z1, z2) > top - 1 THEN 'base' WHEN sqrt((mx - cx) ** 2 + (my - cy) ** 2) >= 1e-9 THEN CASE WHEN turn * (nx * (mx - cx) + ny * (my - cy)) < 0 THEN 'endo' ELSE 'epi' END END AS kind FROM u WHERE len >= 1e-12),
+w AS (SELECT mesh_id, sum(CASE WHEN kind = 'endo' THEN -turn * (mx * nx + my * ny + mz * nz) / 2 ELSE 0 END) AS v FROM k GROUP BY 1),
+r AS (SELECT DISTINCT mesh_id, node_id, x, y, z FROM (SELECT mesh_id, top, unnest([{{'node_id': v[1], 'x': x0, 'y': y0, 'z': z0}}, {{'node_id': v[2], 'x': x1, 'y': y1, 'z': z1}}, {{'node_id': v[3], 'x': x2, 'y': y2, 'z': z2}}], recursive := true) FROM k WHERE kind = 'endo') q WHERE z > top - 1),
+c AS (SELECT mesh_id, avg(x) AS ax, avg(y) AS ay, avg(z) AS az FROM r GROUP BY 1 HAVING count(*) >= 3),
+o AS (SELECT r.*, ax, ay, az, row_number() OVER w AS i, count(*) OVER (PARTITION BY r.mesh_id) AS n FROM r JOIN c USING (mesh_id) WINDOW w AS (PARTITION BY r.mesh_id ORDER BY atan2(y - ay, x - ax), node_id)),
+t AS (SELECT o.mesh_id, o.ax AS x0, o.ay AS y0, o.az AS z0, o.x AS x1, o.y AS y1, o.z AS z1, q.x AS x2, q.y AS y2, q.z AS z2 FROM o JOIN o q ON q.mesh_id = o.mesh_id AND q.i = o.i % o.n + 1),
+l AS (SELECT mesh_id, sum(CASE WHEN {_norm(_cross(0, 1, 2))} >= 2e-12 THEN ({" + ".join(f"({a}0 + {a}1 + {a}2) / 3 * {x}" for a, x in zip("xyz", _cross(0, 1, 2), strict=True))}) / 2 * CASE WHEN {_cross(0, 1, 2)[2]} < 0 THEN -1 ELSE 1 END ELSE 0 END) AS v FROM t GROUP BY 1)
+SELECT w.mesh_id, round((w.v + coalesce(l.v, 0)) / 3000, 6) AS volume_ml FROM w LEFT JOIN l ON l.mesh_id = w.mesh_id"""
+
+
+@query(_VOLUME)
 def a13_cavity_volume(t):
-    return _rounded(mesh.cavity_volume_divergence(t.v_cup, t.v_node))
+    return _rounded(mesh.cavity_volume_divergence(t.v_cup, t.v_node).select("mesh_id", "volume_ml"))
 
 
 @query("""WITH b AS (SELECT mesh_id, min(z) AS z0, (max(z) - min(z)) / 40 AS dz, avg(x) AS cx, avg(y) AS cy FROM v_node GROUP BY 1),
@@ -248,21 +261,74 @@ def w03_minmax_coordinate(t):
 
 def _fibres(t):
     nodes = mesh.apex_base(mesh.transmural(t.v_node))
-    ab = mesh.node_gradient(t.v_elem, nodes, "phi_ab").select("mesh_id", "node_id", *[F.col(f"g{a}").alias(f"l{a}") for a in "xyz"])
-    epi = mesh.node_gradient(t.v_elem, nodes, "phi_epi").select("mesh_id", "node_id", *[F.col(f"g{a}").alias(f"t{a}") for a in "xyz"])
-    return fibers.fiber_rule(nodes.join(ab, ["mesh_id", "node_id"]).join(epi, ["mesh_id", "node_id"]))
+    both = mesh.node_gradients(t.v_elem, nodes, {"phi_ab": "l", "phi_epi": "t"})
+    return fibers.fiber_rule(nodes.join(both, ["mesh_id", "node_id"]))
+
+
+def _gradients_sql() -> str:
+    """CTEs up to h: per node the unit gradients l and t of phi_ab and phi_epi."""
+    cols = ", ".join(f"p{k}.{a} AS {a}{k}" for k in range(4) for a in ("x", "y", "z", "ab", "ep"))
+    sides = {1: _cross(0, 2, 3), 2: _cross(0, 3, 1), 3: _cross(0, 1, 2)}
+    weigh = lambda f, i: " + ".join(f"{sides[k][i]} * ({f}{k} - {f}0)" for k in (1, 2, 3))
+    grads = ", ".join(f"({weigh(f, i)}) / det * abs(det) / 6 AS {g}{a}" for f, g in (("ab", "l"), ("ep", "t")) for i, a in enumerate("xyz"))
+    names = [g + a for g in "lt" for a in "xyz"]
+    unit = ", ".join(f"CASE WHEN sqrt({g}x * {g}x + {g}y * {g}y + {g}z * {g}z) > 1e-12 THEN {g}{a} / sqrt({g}x * {g}x + {g}y * {g}y + {g}z * {g}z) ELSE {g}{a} END AS {g}{a}" for g in "lt" for a in "xyz")
+    return f"""{_PHI}, n AS (SELECT mesh_id, node_id, v.x, v.y, v.z, (d - lo) / (hi - lo) AS ep, ((v.z - zl) / (zh - zl)) / (1 + 1e-10) AS ab FROM v_node v JOIN d USING (mesh_id, node_id) JOIN r USING (mesh_id)),
+q AS (SELECT e.mesh_id, e.n0, e.n1, e.n2, e.n3, {cols} FROM v_elem e {" ".join(f"JOIN n p{k} ON p{k}.mesh_id * 1000 + p{k}.node_id = e.mesh_id * 1000 + e.n{k}" for k in range(4))}),
+w AS (SELECT *, {_DET} AS det FROM q), g AS (SELECT mesh_id, unnest([n0, n1, n2, n3]) AS node_id, abs(det) / 6 AS w, {grads} FROM w WHERE det <> 0),
+s AS (SELECT mesh_id, node_id, {", ".join(f"CASE WHEN sum(w) > 1e-12 THEN sum({c}) / sum(w) ELSE sum({c}) END AS {c}" for c in names)} FROM g GROUP BY 1, 2),
+h AS (SELECT mesh_id, node_id, {unit} FROM s)"""
+
+
+def _v(p: str) -> tuple[str, str, str]:
+    return tuple(p + a for a in "xyz")
+
+
+def _x(a: tuple, b: tuple) -> tuple[str, str, str]:
+    return f"({a[1]} * {b[2]} - {a[2]} * {b[1]})", f"({a[2]} * {b[0]} - {a[0]} * {b[2]})", f"({a[0]} * {b[1]} - {a[1]} * {b[0]})"
+
+
+def _as(v: tuple, p: str) -> str:
+    return ", ".join(f"{x} AS {p}{a}" for x, a in zip(v, "xyz", strict=True))
 
 
-@query()
+def _unit_sql(p: str, otherwise: tuple | None = None) -> str:
+    n = _norm(_v(p))
+    return ", ".join(f"CASE WHEN {n} > 1e-10 THEN {p}{a} / {n} ELSE {p + a if otherwise is None else otherwise[k]} END AS {p}{a}" for k, a in enumerate("xyz"))
+
+
+def _turned_sql(a: str, b: tuple, angle: str) -> tuple:
+    return tuple(f"({a}{c} * cos({angle}) + {y} * sin({angle}))" for c, y in zip("xyz", b, strict=True))
+
+
+_FIBRES = f"""WITH {_gradients_sql()}, a AS (SELECT h.*, ep, {_as(_x(_v("l"), _v("t")), "c")} FROM h JOIN n USING (mesh_id, node_id)),
+b AS (SELECT mesh_id, node_id, ep, tx, ty, tz, {_unit_sql("c", (1, 0, 0))} FROM a), i AS (SELECT *, {_as(_turned_sql("c", _x(_v("t"), _v("c")), "radians(60 - 120 * ep)"), "f")} FROM b),
+j AS (SELECT mesh_id, node_id, ep, tx, ty, tz, {_unit_sql("f")} FROM i), k AS (SELECT *, {_as(_turned_sql("t", _x(_v("f"), _v("t")), "radians(25 * ep)"), "s")} FROM j),
+o AS (SELECT mesh_id, node_id, fx, fy, fz, {_unit_sql("s")} FROM k)
+SELECT mesh_id, node_id, {", ".join(f"round({x}, 5) + 0.0 AS {p}{a}" for p, v in (("f", _v("f")), ("s", _v("s")), ("n", _x(_v("f"), _v("s")))) for x, a in zip(v, "xyz", strict=True))} FROM o"""
+
+
+@query(_FIBRES)
 def w15_fiber_rule(t):
     return _rounded(_fibres(t).select("mesh_id", "node_id", *[f"{k}{a}" for k in "fsn" for a in "xyz"]), 5)
 
 
-@query("SELECT mesh_id, count(*) AS n, count(*) AS n_unit FROM v_elem GROUP BY 1")
+def _soft_sql(p: str) -> str:
+    return ", ".join(f"{p}{a} / ({_norm(_v(p))} + 1e-8) AS {p}{a}" for a in "xyz")
+
+
+_ELEMENT_FIBRES = f"""WITH q AS ({_C}), m AS (SELECT mesh_id, elem_id, {", ".join(f"({a}0 + {a}1 + {a}2 + {a}3) / 4 AS m{a}" for a in "xyz")} FROM q), o AS (SELECT mesh_id, {", ".join(f"avg(m{a}) AS o{a}" for a in "xyz")} FROM m GROUP BY 1),
+d AS (SELECT mesh_id, elem_id, mx - ox AS rx, my - oy AS ry, mz - oz AS rz, sqrt((mx - ox) ** 2 + (my - oy) ** 2 + (mz - oz) ** 2) AS d FROM m JOIN o USING (mesh_id)), e AS (SELECT mesh_id, min(d) AS d0, max(d) AS d1 FROM d GROUP BY 1),
+a AS (SELECT mesh_id, elem_id, (d - d0) / (d1 - d0 + 1e-8) AS t, {_soft_sql("r")} FROM d JOIN e USING (mesh_id)), b AS (SELECT *, -ry AS cx, rx AS cy, CAST(0 AS DOUBLE) AS cz FROM a), c AS (SELECT mesh_id, elem_id, t, rx, ry, rz, {_soft_sql("c")} FROM b),
+f AS (SELECT *, {_as(_turned_sql("c", _v("r"), "radians(-60 + 120 * t)"), "f")} FROM c), g AS (SELECT mesh_id, elem_id, t, rx, ry, rz, {_soft_sql("f")} FROM f),
+s AS (SELECT *, {_as(_turned_sql("r", _x(_v("f"), _v("r")), "radians(20 - 40 * t)"), "s")} FROM g), h AS (SELECT mesh_id, elem_id, fx, fy, fz, {_soft_sql("s")} FROM s)
+SELECT mesh_id, elem_id, {", ".join(f"round({p}{a}, 5) + 0.0 AS {p}{a}" for p in "fs" for a in "xyz")} FROM h"""
+
+
+@query(_ELEMENT_FIBRES)
 def w16_fiber_rule_element(t):
     f = fibers.fiber_rule_element(_coords(t))
-    n = F.sqrt(sum((x * x for x in vec("f")), F.lit(0.0)))
-    return f.groupBy("mesh_id").agg(F.count("*").alias("n"), F.count_if(F.abs(n - 1) < 1e-6).alias("n_unit"))
+    return _rounded(f.select("mesh_id", "elem_id", *[f"{k}{a}" for k in "fs" for a in "xyz"]), 5)
 
 
 @query("""WITH c AS (SELECT mesh_id, avg(x) AS cx, avg(y) AS cy FROM v_node GROUP BY 1), r AS (SELECT mesh_id, node_id, x - cx AS rx, y - cy AS ry, greatest(sqrt((x - cx) ** 2 + (y - cy) ** 2), 1e-6) AS n FROM v_node JOIN c USING (mesh_id))

@@ -99,7 +99,8 @@ def w13_fallback_volumes(t):
     return _r(t.part.select("p_partkey", d.alias("v_ed"), s.alias("v_es")))
 
 
-@query("SELECT idx, round(p1 * greatest(0.8, least(1.2, 1 + 0.1 * (95 - out1 / 10000) / 95)), 5) AS v_ed_new, round(100.0 * (p1 - p1 * p2) / p1, 5) AS ef_before, round(100.0 * (p1 - p1 * p2) / p1, 5) AS ef_after, 2 AS rounds FROM v_doe")
+@query("""WITH a AS (SELECT idx, p1 AS d, p1 * p2 AS s, greatest(0.8, least(1.2, 1 + 0.1 * (95 - out1 / 10000) / 95)) AS f FROM v_doe), b AS (SELECT idx, d * f AS v_ed_new, 100.0 * (d - s) / d AS ef_before, 100.0 * (d * f - s * f) / (d * f) AS ef_after FROM a)
+SELECT idx, round(v_ed_new, 5) AS v_ed_new, round(ef_before, 5) AS ef_before, round(ef_after, 5) AS ef_after, CASE WHEN abs(ef_after - ef_before) < 1 THEN 2 ELSE 10 END AS rounds FROM b""")
 def w14_pressure_feedback(t):
     d = t.v_doe.select("idx", "p1", (F.col("p1") * F.col("p2")).alias("s"), (F.col("out1") / 10000).alias("pm"))
     return _r(traces.pressure_feedback(d, "p1", "s", "pm").select("idx", "v_ed_new", "ef_before", "ef_after", "rounds"), 5)
@@ -130,11 +131,16 @@ def a20_ep_slo(t):
     return t.part.select("p_partkey", traces.ep_slo(F.col("p_retailprice") / 1000, F.col("p_size") * 10).alias("ok"))
 
 
-@query(f"WITH {_CYCLE} SELECT p_partkey, 14 AS n, round(1 + 2 + 3 + 4 + 5 + 100 * (edv - esv) / edv + edv + esv + (edv - esv) + p_sys + p_dia + p_mean + dp + (edv - esv) * 72 / 1000, 4) AS total FROM m")
+_VECTOR = ["1", "2", "3", "4", "5", "100 * (edv - esv) / edv", "edv", "esv", "(edv - esv)", "p_sys", "p_dia", "p_mean", "dp", "(edv - esv) * 72 / 1000"]
+
+
+@query(f"WITH {_CYCLE} SELECT p_partkey, 14 AS n, round({' + '.join(_VECTOR)}, 4) AS total, round({' + '.join(f'{k + 1} * {x}' for k, x in enumerate(_VECTOR))}, 4) AS by_place FROM m")
 def a22_output_vector(t):
+    """by_place weighs each value by its place, so that the order counts."""
     m = _cycle(t).withColumns({c: F.lit(float(k + 1)) for k, c in enumerate(traces.EP_FIELDS)})
     v = traces.output_vector()
-    return m.select("p_partkey", F.size(v).alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    by_place = F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return m.select("p_partkey", F.size(v).alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(by_place, 4).alias("by_place"))
 
 
 _LOG = """e AS (SELECT run_id, seq // 3 AS epoch, max(CAST(nullif(regexp_extract(line, 'train_loss ([-0-9.]+)', 1), '') AS DOUBLE)) AS train_loss,

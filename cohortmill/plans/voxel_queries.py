@@ -135,9 +135,12 @@ def w04_threshold_label(t):
     return out.groupBy("l_suppkey", "label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey, 100 AS size, u AS start FROM customer CROSS JOIN (VALUES (0), (24), (48), (52)) AS s(u)")
+@query("""WITH s AS (SELECT c_custkey, CAST(c_custkey % 150 + 1 AS INT) AS size, CAST(c_custkey % 37 + 4 AS INT) AS patch FROM customer)
+SELECT c_custkey, size, patch, unnest(list_distinct(list_concat(range(0, greatest(size - patch, 0) + 1, greatest(1, patch // 2)), [greatest(size - patch, 0)]))) AS start FROM s""")
 def g01_tile_starts(t):
-    return t.customer.select("c_custkey", F.lit(100).alias("size"), F.explode(voxels.tile_starts(100, 48)).alias("start"))
+    """An axis and a patch of their own for every customer."""
+    c = t.customer.select("c_custkey", (F.col("c_custkey") % 150 + 1).cast("int").alias("size"), (F.col("c_custkey") % 37 + 4).cast("int").alias("patch"))
+    return c.select("c_custkey", "size", "patch", F.explode(voxels.tile_starts(F.col("size"), F.col("patch")).cast("array<long>")).alias("start"))
 
 
 @query("""WITH p AS (SELECT case_id, z, y, x, c.i AS cls, avg(((x * 7 + y * 3 + z * 5 + c.i * 11 + k.i * 13 + case_id) % 17) / 16.0) AS p FROM v_vox CROSS JOIN range(4) AS c(i) CROSS JOIN range(2) AS k(i) GROUP BY 1, 2, 3, 4, 5),

@@ -130,9 +130,9 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).drop("content")
 
 
-def write_mesh(nodes: DataFrame, elements: DataFrame, fibers: DataFrame, out: str) -> None:
+def write_mesh(nodes: DataFrame | None, elements: DataFrame | None, fibers: DataFrame | None, out: str) -> None:
     """Text files under out/pts, out/elem and out/lon, one a mesh in folders mesh_id=..: a count (for fibres the number
-    of vectors, 2), then rows with six decimals. A mesh's rows are one task's work."""
+    of vectors, 2), then rows with six decimals; of what is None no files. A mesh's rows are one task's work."""
 
     def put(rows: DataFrame, order: str, line: Column, head: Column, name: str) -> None:
         body = rows.select(rows["mesh_id"], F.col(order).cast("long").alias("__at"), line.alias("value"))
@@ -141,9 +141,12 @@ def write_mesh(nodes: DataFrame, elements: DataFrame, fibers: DataFrame, out: st
         both.select("mesh_id", "value").write.partitionBy("mesh_id").text(f"{out}/{name}")
 
     n = F.count("*").cast("string")
-    put(nodes, "node_id", F.format_string("%.6f %.6f %.6f", "x", "y", "z"), n, "pts")
-    put(elements, "elem_id", F.format_string("Tt %d %d %d %d %d", "n0", "n1", "n2", "n3", "tag"), n, "elem")
-    put(fibers, "row", F.format_string("%.6f %.6f %.6f %.6f %.6f %.6f", "fx", "fy", "fz", "sx", "sy", "sz"), F.lit("2"), "lon")
+    if nodes is not None:
+        put(nodes, "node_id", F.format_string("%.6f %.6f %.6f", "x", "y", "z"), n, "pts")
+    if elements is not None:
+        put(elements, "elem_id", F.format_string("Tt %d %d %d %d %d", "n0", "n1", "n2", "n3", "tag"), n, "elem")
+    if fibers is not None:
+        put(fibers, "row", F.format_string("%.6f %.6f %.6f %.6f %.6f %.6f", "fx", "fy", "fz", "sx", "sy", "sz"), F.lit("2"), "lon")
 
 
 def write_doe(df: DataFrame, twin_id: str, doe_id: str, out: str) -> None:

@@ -95,7 +95,8 @@ def job_watch(events: DataFrame, key: str, state: Column, order: list[str], ende
     A timer of processing time is set with every event of a job that has not ended; a job that is silent for silence_s
     comes out once as failed, timed_out. The state of a job that ended or failed goes with its row, so that a job
     ends once and only open jobs are remembered; an event after that begins it anew. Timers are looked at
-    whenever a micro-batch runs. Null keys are left out.
+    whenever a micro-batch runs, so that such a stream goes on until it is stopped: with the availableNow trigger it would
+    not end. Null keys are left out.
     """
     rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("job"), state.cast("string").alias("state"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     places = [f"o{i}" for i in range(len(order))]
