@@ -16,6 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortmill.session import stored_bytes, written
+
+#: Up to so many bytes of files the table of payloads that recur is broadcast.
+BROADCAST_BYTES = 8 * 1024 * 1024
 EOL = b"\r\n"
 REVISIT = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -45,8 +49,9 @@ def written_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 
     Of rows with equal payloads of at least `least` bytes that with the largest id is the response and the
     others revisit it; all others are responses. Equal payloads are found by SHA-1 and length in an
-    aggregation that combines before the shuffle; only digests and ids are shuffled for it, and only
-    payloads that recur are matched with their response. Null payloads are empty; rows with a null id are
+    aggregation that combines before the shuffle, of digests and ids alone. The table of those that recur is written;
+    where its files are small, which is looked up, it is broadcast, so that no payload is shuffled, else payloads of at
+    least `least` bytes meet it in a join and the smaller ones stay where they are. Null payloads are empty; rows with a null id are
     written under the id `none`, as responses where nothing larger has their payload; repeated rows (same
     id and payload) give a record each, of the same kind; null urls have no target URI.
     """
@@ -54,7 +59,12 @@ def written_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumns({"sha": F.sha1(F.col("body").cast("binary")), "size": F.octet_length("body")})
     again = rows.where(F.col("size") >= least).groupBy("sha", "size").agg(F.max("id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
-    rows = rows.join(again.select("sha", "size", "first").hint("merge"), ["sha", "size"], "left")
+    again, path = written(again.select("sha", "size", "first"), "payloads")
+    if stored_bytes(pages.sparkSession, path) <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(again), ["sha", "size"], "left")
+    else:
+        small = rows.where(F.col("size") < least).withColumn("first", F.lit(None).cast("long"))
+        rows = rows.where(F.col("size") >= least).join(again.hint("merge"), ["sha", "size"], "left").unionByName(small)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, size, part, name = [], 0, 0, None

@@ -109,6 +109,27 @@ def test_warc(spark):
     assert read_archives(written_archives(spark.createDataFrame([], kind))).count() == 0
 
 
+def test_warc_and_secrets_where_nothing_is_broadcast(spark, docs, monkeypatch):
+    """The ways beyond the checked sizes give what the broadcasts give, with no body in an exchange of the first."""
+    from cohortmill.llm import secrets, warc
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    row = lambda r: (r.record_id, r.record_type, r.refers_to, r.payload_digest)
+    plan = warc.written_archives(pages)
+    assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(row, warc.read_archives(plan).collect()), key=str)
+    model = secrets.train(secrets.labelled_findings(docs))
+    out = secrets.redacted(docs, model)
+    assert out.where("text like '%[secret]%'").count() == 1
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(secrets, "BROADCAST_BYTES", -1)
+    assert sorted(map(row, warc.read_archives(warc.written_archives(pages)).collect()), key=str) == want and any(r[1] == "revisit" for r in want) == any(r[2] for r in want)
+    other = secrets.redacted(docs, model)
+    assert other.exceptAll(out).count() == 0 == out.exceptAll(other).count()
+    with pytest.raises(ValueError):
+        secrets.redacted(docs.withColumn("__values", F.lit(1)), model)
+
+
 def test_urls(spark):
     from cohortmill.llm.urls import judged, labelled_urls, train
 
