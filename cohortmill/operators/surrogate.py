@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortmill.operators.design import lhs_design
-from cohortmill.session import dropped, written
+from cohortmill.session import dropped, importable, written
 
 Z90 = 1.6448536269514722
 
@@ -158,6 +158,7 @@ def fit_surrogates(long: DataFrame, inputs: list[str], inducing: int = 200, leas
     its rows teach the process at these points through sums that Spark adds up (_sums); only the system of their
     size is solved in a task. Lengths are those of the inducing points' likelihood, the noise that of all rows.
     """
+    importable(long.sparkSession)
     known = F.lit(True)
     for c in (*inputs, "y"):
         known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
@@ -205,6 +206,7 @@ def predict_surrogates(params: DataFrame, models: DataFrame, inputs: list[str],
     have = [F.col(c).cast("double") if c in params.columns else F.lit(None).cast("double") for c in inputs]
     if strict and any(c not in params.columns for c in inputs):
         raise ValueError("missing parameters: " + ", ".join(c for c in inputs if c not in params.columns))
+    importable(params.sparkSession)
     own = F.col("cohort") if "cohort" in params.columns else F.lit("")
     rows = params.select(own.cast("string").alias("__c"), F.struct(*keys).alias("k"), F.array(*[F.coalesce(c, F.lit(0.0)) for c in have]).alias("x"))
     rows = rows.groupBy("__c", "k", "x").agg(F.count("*").alias("times"))

@@ -150,8 +150,17 @@ def tile_starts(size: Column | int, patch: Column | int, overlap: float = 0.5) -
     return F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0), last, step), F.array(last))))
 
 
-def merge_tiles(probs: DataFrame, keys: list[str], cls: str = "cls", p: str = "p") -> DataFrame:
-    """(keys, label, p): classes' mean over overlapping tiles, the largest, the lowest class on a tie."""
-    mean = probs.groupBy(*keys, cls).agg(F.avg(p).alias("__p"))
-    best = mean.groupBy(*keys).agg(F.max(F.struct(F.col("__p"), (-F.col(cls)).alias("__c"))).alias("__b"))
-    return best.select(*keys, (-F.col("__b.__c")).alias("label"), F.col("__b.__p").alias("p"))
+#: The labels of the vocabulary, background first.
+LABELS = (0, 1, 2, 3, 4)
+
+
+def merge_tiles(probs: DataFrame, keys: list[str], cls: str = "cls", p: str = "p", classes: tuple[int, ...] = LABELS) -> DataFrame:
+    """(keys, label, p): classes' mean over overlapping tiles, the largest, the lowest class on a tie.
+
+    One aggregation by keys holds a sum and a count for each of `classes`, so that what is shuffled is a row a voxel and
+    task; other classes don't count, and keys with none of them are missing.
+    """
+    mean = probs.groupBy(*keys).agg(*[F.avg(F.when(F.col(cls) == c, F.col(p))).alias(f"__p{c}") for c in classes])
+    each = [F.struct(F.col(f"__p{c}").alias("p"), F.lit(-c).alias("c")) for c in classes]
+    best = mean.withColumn("__b", F.greatest(*each) if len(each) > 1 else each[0]).where("__b.p is not null")
+    return best.select(*keys, (-F.col("__b.c")).alias("label"), F.col("__b.p").alias("p"))

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cohortmill.operators import registry
 from cohortmill.operators.logs import DICE_NAMES, NUMBERS, line_fields
-from cohortmill.session import dropped, written
+from cohortmill.session import dropped, importable, written
 
 FIELDS = [*NUMBERS, *DICE_NAMES]
 EPOCHS = "run_id string, epoch long, " + ", ".join(f"{f} double" for f in FIELDS)
@@ -53,6 +53,7 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
 def tail_epochs(lines: DataFrame) -> DataFrame:
     """A stream of epochs: an epoch is given out when the next one begins, if it has a training loss and is later than
     the last one given out; the state of a run is its open epoch."""
+    importable(lines.sparkSession)
     rows = line_fields(lines).select("run_id", "seq", "epoch_mark", *FIELDS)
     return rows.groupBy("run_id").applyInPandasWithState(_advance, EPOCHS, _OPEN, "append", GroupStateTimeout.NoTimeout)
 

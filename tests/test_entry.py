@@ -16,10 +16,13 @@ def test_contract(spark):
 
 
 def test_without_llm(tmp_path):
-    """A copy without the subpackage and the pipeline still imports, with the other queries."""
+    """A copy without the subpackage and the pipeline still imports, with the other queries, and other tests pass there."""
     import shutil
 
     shutil.copytree(f"{ROOT}/cohortmill", tmp_path / "cohortmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op') for n in q) and len(q) > 90"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    shutil.copytree(f"{ROOT}/tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    some = ["tests/test_reference.py", "-q", "-x", "-k", "validation or leaky or surrogates", "-p", "no:cacheprovider"]
+    subprocess.run([sys.executable, "-m", "pytest", *some], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}, timeout=900)

@@ -101,3 +101,43 @@ def test_face_counts(spark):
     assert sorted((r.mesh_id, r.elem_id, r.a, r.b, r.c, r.opposite) for r in b.collect()) == sorted((k[0], *v[0]) for k, v in cells.items() if len(v) == 1)
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_draws_follow_hashes_of_keys(spark):
+    """Places by the order of a keyed hash, draws by a hash of their number; null keys are never drawn; nothing of nothing."""
+    import hashlib
+
+    from cohortmill.operators import design
+
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    keys = [f"k{i}" for i in range(57)]
+    rows = spark.createDataFrame([(k,) for k in [*keys, None]], "k string")
+    order = sorted(keys, key=lambda k: h(f"5:{k}"))
+    got = {r.draw: r.k for r in design.sample_with_replacement(rows, 300, "k", 5).collect()}
+    assert got == {i: order[int(h(f"6:{i}")[:12], 16) % 57] for i in range(300)}
+    assert design.sample_with_replacement(rows.limit(0), 300, "k", 5).count() == 0
+
+
+def test_case_names_and_error_split(spark):
+    from cohortmill.operators import deid, validate
+
+    names = ["a/b/patient001_frame01.nii.gz", "patient001_frame12_gt.nii.gz", "x/mr_train_1007_image.nii", "odd", "", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", deid.case_name(F.col("n"), {"mr_train_": "mmwhs_"}).alias("c")).collect()
+    assert {r.n: tuple(r.c) for r in rows} == {
+        names[0]: ("patient001_frame01", "patient001", 1, False), names[1]: ("patient001_frame12", "patient001", 12, True), names[2]: ("mmwhs_1007_image", None, None, False),
+        "odd": ("odd", None, None, False), "": ("", None, None, False), None: (None, None, None, False),
+    }
+    ok, bad = validate.error_split(spark.createDataFrame([(1, None), (2, "no mesh"), (3, "")], "i int, error string"))
+    assert [r.i for r in ok.collect()] == [1] and ok.columns == ["i"] and sorted(r.i for r in bad.collect()) == [2, 3]
+    truth = spark.createDataFrame([(1,), (1,)], "i int")
+    assert sorted(r.i or 0 for r in validate.missing_ground_truth(spark.createDataFrame([(1,), (2,), (None,)], "i int"), truth, "i").collect()) == [0, 2]
+
+
+def test_tiles_merge_to_the_lowest_best_class(spark):
+    from cohortmill.operators import voxels
+
+    rows = [(1, 0, 0.2), (1, 0, 0.4), (1, 2, 0.3), (1, 1, 0.1), (2, 3, 0.5), (2, 3, None), (3, 9, 1.0), (4, 1, -0.5), (5, 0, None)]
+    tiles = spark.createDataFrame(rows, "v int, cls int, p double")
+    out = {r.v: (r.label, round(r.p, 9)) for r in voxels.merge_tiles(tiles, ["v"]).collect()}
+    assert out == {1: (0, 0.3), 2: (3, 0.5), 4: (1, -0.5)}
+    assert {r.v: r.label for r in voxels.merge_tiles(tiles, ["v"], classes=(9,)).collect()} == {3: 9}
