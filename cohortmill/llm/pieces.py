@@ -160,9 +160,9 @@ class Memory(dict):
 
 class WordMemo:
     """Ids of recurring words and parts of words, as bytes of uint32, remembered from one call to the next: about `most`
-    words (some 100 MB) and `composed` parts of words that are not their first; long ones never."""
+    words (some 200 MB) and `composed` parts of words that are not their first; long ones never."""
 
-    def __init__(self, model: PieceModel, most: int = 500_000, composed: int = 100_000, longest: int = 64):
+    def __init__(self, model: PieceModel, most: int = 1_000_000, composed: int = 150_000, longest: int = 64):
         self.model, self.longest = model, longest
         self.known = Memory(self._word, most, longest)  # by word, without its leading space mark
         self.inner = Memory(self._part, composed, longest)  # by part of a word that is not its first
