@@ -147,12 +147,32 @@ def forward_backward(model: Model, scores: np.ndarray, length: np.ndarray) -> tu
     return alpha * beta, pair, norm
 
 
-def fit(texts: list[str], langs: list[str], chunk: int = 40, rounds: int = 4, rate: float = 0.5, batch: int = 256, seed: int = 5, lexicon_words: int = 4000) -> Model:
+Chain = tuple[list[str], list[int]]
+
+
+def switched(chains: list[Chain], share: float, rng: np.random.Generator) -> list[Chain]:
+    """Chains of (words, labels) of which `share`, drawn in pairs, exchange all that follows a drawn word, so that labels
+    change within a chain as in code-switched text. Every word stays, once, with its label; no chain becomes empty."""
+    out = list(chains)
+    order = rng.permutation(len(chains)).tolist()
+    for a, b in zip(order[0::2], order[1::2]):
+        if rng.random() < share:
+            (u, x), (v, y) = chains[a], chains[b]
+            i, j = int(rng.integers(1, len(u) + 1)), int(rng.integers(1, len(v) + 1))
+            out[a], out[b] = (u[:i] + v[j:], x[:i] + y[j:]), (v[:j] + u[i:], y[:j] + x[i:])
+    return out
+
+
+def fit(
+    texts: list[str], langs: list[str], chunk: int = 40, rounds: int = 4, rate: float = 0.5, batch: int = 256, seed: int = 5, lexicon_words: int = 4000,
+    switching: float = 0.5,
+) -> Model:
     """A field from texts with one language each, all words of a text taking its language as their label.
 
     Lexicons hold, of each language, the words met most, with their smoothed shares over languages. Texts are cut
-    into chains of `chunk` words, whole texts in all; AdaGrad on the log-likelihood's gradient, which
-    forward-backward gives. Transitions are learned with the weights, so a label tends to last.
+    into chains of `chunk` words, whole texts in all; in each round another draw of `switching` of the chains is joined
+    with others at a word, so that transitions are learned from chains within which the language changes as well as from
+    those in which it lasts. AdaGrad on the log-likelihood's gradient, which forward-backward gives.
     """
     labels = sorted(set(langs))
     where = {x: i for i, x in enumerate(labels)}
@@ -168,10 +188,11 @@ def fit(texts: list[str], langs: list[str], chunk: int = 40, rounds: int = 4, ra
             share = (counts[w] + 0.01) / total
             lexicon[w] = share / share.sum()
     model = Model(labels, lexicon)
-    chains = [(ws[a : a + chunk], where[x]) for ws, x in zip(words, langs, strict=True) for a in range(0, len(ws), chunk)]
+    whole = [(ws[a : a + chunk], [where[x]] * len(ws[a : a + chunk])) for ws, x in zip(words, langs, strict=True) for a in range(0, len(ws), chunk)]
     rng = np.random.default_rng(seed)
     state = {n: np.full_like(getattr(model, n), 1e-3) for n in ("weights", "lexicon_weight", "transition", "start")}
     for _ in range(rounds if len(labels) > 1 else 0):
+        chains = switched(whole, switching, rng)
         for idx in np.array_split(rng.permutation(len(chains)), max(1, len(chains) // batch)):
             part = [chains[i] for i in idx]
             length = np.array([len(c) for c, _ in part])
@@ -179,7 +200,7 @@ def fit(texts: list[str], langs: list[str], chunk: int = 40, rounds: int = 4, ra
             row = np.array([kinds.setdefault(w, len(kinds)) for c, _ in part for w in c])
             names = list(kinds)
             marginal, pair, _ = forward_backward(model, model.emissions(names)[row], length)
-            label = np.repeat([y for _, y in part], length)
+            label = np.array([y for _, ys in part for y in ys])
             delta = -marginal
             delta[np.arange(len(label)), label] += 1
             delta[[not names[r] for r in row]] = 0
@@ -190,15 +211,14 @@ def fit(texts: list[str], langs: list[str], chunk: int = 40, rounds: int = 4, ra
             np.add.at(grad, slots, np.repeat(by_kind / np.maximum(size, 1)[:, None], size, 0))
             held = [k for k, w in enumerate(names) if w in lexicon]
             lex = np.array([lexicon[names[k]] for k in held]).T @ by_kind[held] if held else np.zeros_like(model.lexicon_weight)
-            truth = np.zeros_like(pair)
-            for (_, y), m in zip(part, length, strict=True):
-                truth[y, y] += m - 1
             first = np.cumsum(length) - length
+            follows = np.setdiff1d(np.arange(len(label)), first)
+            truth = np.zeros_like(pair)
+            np.add.at(truth, (label[follows - 1], label[follows]), 1)
             start = delta[first].sum(0)
             for name, g in (("weights", grad), ("lexicon_weight", lex), ("transition", truth - pair), ("start", start)):
                 state[name] += g * g
                 setattr(model, name, getattr(model, name) + rate * g / np.sqrt(state[name]))
-    model.transition = np.clip(model.transition, -4.0, 4.0)  # one-language chains alone would let labels never change
     return model
 
 

@@ -167,6 +167,32 @@ def test_code_switched_spans(spark):
     assert [s.lang for s in spans] == ["en", "de"] and spans[0].end == 7
 
 
+def test_transitions_are_learned_from_switched_chains(docs):
+    """Two held-out documents joined at a word: nearly every word is labelled right, and the label changes once."""
+    from cohortmill.llm.langid import fit, forward_backward, switched
+
+    chains = [([f"{k}.{i}" for i in range(k % 7 + 1)], [k] * (k % 7 + 1)) for k in range(51)]
+    got = switched(chains, 1.0, np.random.default_rng(2))
+    assert sorted(w for c, _ in got for w in c) == sorted(w for c, _ in chains for w in c) and all(c for c, _ in got)
+    assert all(int(w.split(".")[0]) == y for c, ys in got for w, y in zip(c, ys, strict=True)) and any(len(set(ys)) == 2 for _, ys in got)
+    rows = [r for r in docs.select("doc_id", "text", "lang").dropna().orderBy("doc_id").collect() if r.text.split()]
+    learn, held = rows[::2], rows[1::2]
+    m = fit([r.text for r in learn], [r.lang for r in learn])
+    stay = np.diag(m.transition)
+    assert all(stay[i] > m.transition[i, j] for i in range(len(stay)) for j in range(len(stay)) if i != j)
+    rng, right, words, once, pairs = random.Random(4), 0, 0, 0, 0
+    for _ in range(200):
+        a, b = rng.sample(held, 2)
+        if a.lang != b.lang:
+            u, v = a.text.split()[:30], b.text.split()[:30]
+            row = m.rows([u + v])
+            best = forward_backward(m, m.table[row], np.array([len(u + v)]))[0].argmax(1)
+            truth = np.array([m.labels.index(a.lang)] * len(u) + [m.labels.index(b.lang)] * len(v))
+            right, words, pairs = right + (best == truth).sum(), words + len(truth), pairs + 1
+            once += (np.diff(best) != 0).sum() == 1
+    assert pairs > 50 and right > 0.97 * words and once > 0.9 * pairs
+
+
 def test_forward_backward_is_exact():
     import itertools
 
