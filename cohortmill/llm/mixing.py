@@ -11,10 +11,10 @@ from __future__ import annotations
 import math
 import warnings
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortmill.session import dropped, settled, written
+from cohortmill.session import dropped, written
 
 MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
@@ -61,69 +61,53 @@ def _target(m: str, target: dict[str, float] | float) -> Column:
     return F.pow(F.col("tokens").cast("double"), F.lit(float(target)))
 
 
-def _fitted(cells: DataFrame, m: str) -> DataFrame:
-    """cells with w scaled to the targets of one margin."""
-    total = F.col("__total")
-    w = F.when(total > 0, F.col("w") * F.col(f"t_{m}") / total).otherwise(F.lit(0.0))
-    return cells.withColumn("w", w).drop("__total")
-
-
-def raked(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-9, rounds: int = 200, few: int = 100_000) -> DataFrame:
+def raked(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-9, rounds: int = 200) -> DataFrame:
     """cells(source, lang, topic, tokens, docs) with factor, raked weight over tokens, and deviation, the largest difference
-    of a category's share from its target that is left, the same on each row; cells without tokens are left out.
-
-    Iterative proportional fitting: each round scales the weights to one margin after the other, until the
-    largest deviation of any category's share from its target is under `tolerance`, or the weights change no more, or after
-    `rounds`, of which a warning tells. Targets of categories
-    that hold no tokens are left out and the others rescaled. All categories are raked. Up to `few` cells lie in one
-    partition, so that rounds need no exchange and four make a job, whose result is written and reread; more cells
-    are summed by category, joined back and written once a margin.
+    of a category's share from its target that the last round met, the same on each row; cells without tokens are left out.
+
+    Iterative proportional fitting: a cell's factor is the product of one multiplier for each of its categories. A
+    round sets the multipliers of one margin after the other, so that its categories' shares are their targets under the
+    multipliers of the other two, until no share was off by `tolerance` in a whole round, or the largest difference changes
+    no more, or after `rounds`, of which a warning tells. Targets of categories that hold no tokens are left out and the
+    others rescaled. All categories are raked. However many cells there are, each step is one aggregation of the same written
+    cells, summed before they are shuffled, and writes a table of a row a category.
     """
     spark = cells.sparkSession
     targets = {**TEMPERED, **(targets or {})}
-    start, start_path = settled(cells.where("tokens > 0"), "cells", few)
+    start, start_path = written(cells.where("tokens > 0"), "cells")
     whole = float(start.agg(F.sum("tokens")).first()[0] or 0)
-    one = start.limit(few + 1).count() <= few
-    now = start.withColumn("w", F.col("tokens") / F.lit(whole))
+    by, at = {}, {}
     for m in MARGINS:
-        margin = start.groupBy(m).agg(F.sum("tokens").alias("tokens")).select(m, _target(m, targets[m]).alias(f"t_{m}"))
-        norm = margin.agg(F.sum(f"t_{m}")).first()[0]
-        now = now.join(margin.withColumn(f"t_{m}", F.col(f"t_{m}") / F.lit(norm)), m)
-
-    def kept(df: DataFrame) -> tuple[DataFrame, str]:
-        out, path = written(df, "rake")
-        return (out.coalesce(1) if one else out), path
-
-    now, path = kept(now.select(*MARGINS, "tokens", "docs", *[f"t_{m}" for m in MARGINS], "w"))
-    dropped(spark, start_path)
-    done, per_check, worst = 0, 4 if one else 1, None
+        margin = start.groupBy(m).agg(F.sum("tokens").alias("tokens")).select(m, _target(m, targets[m]).alias("t"))
+        norm = margin.agg(F.sum("t")).first()[0]
+        by[m], at[m] = written(margin.select(m, (F.col("t") / F.lit(norm)).alias("t"), F.lit(1.0).alias(f"x_{m}"), F.lit(None).cast("double").alias("off")), "rake")
+    done, worst = 0, None
     while done < rounds:
-        now = now.withColumn("before", F.col("w"))
-        for _ in range(per_check):
-            for m in MARGINS:
-                if one:
-                    now = _fitted(now.withColumn("__total", F.sum("w").over(Window.partitionBy(m))), m)
-                else:
-                    old = path
-                    now, path = kept(_fitted(now.join(now.groupBy(m).agg(F.sum("w").alias("__total")), m), m))
-                    dropped(spark, old)
-        if one:
-            old = path
-            now, path = kept(now)
+        for m in MARGINS:
+            others = [o for o in MARGINS if o != m]
+            weights = start
+            for o in others:
+                weights = weights.join(by[o].select(o, f"x_{o}"), o)
+            share = F.sum(F.col("tokens") / F.lit(whole) * F.col(f"x_{others[0]}") * F.col(f"x_{others[1]}")).alias("share")
+            step = weights.groupBy(m).agg(share).join(by[m], m)
+            x = F.when(F.col("share") > 0, F.col("t") / F.col("share")).otherwise(F.lit(0.0))
+            old = at[m]
+            by[m], at[m] = written(step.select(m, "t", x.alias(f"x_{m}"), F.abs(F.col("share") * F.col(f"x_{m}") - F.col("t")).alias("off")), "rake")
             dropped(spark, old)
-        done += per_check
-        if one:
-            off = now.select(F.greatest(*[F.abs(F.sum("w").over(Window.partitionBy(m)) - F.col(f"t_{m}")) for m in MARGINS]).alias("off"))
-        else:
-            by_margin = [now.groupBy(m).agg(F.abs(F.sum("w") - F.first(f"t_{m}")).alias("off")).select("off") for m in MARGINS]
-            off = by_margin[0].union(by_margin[1]).union(by_margin[2])
-        worst = off.agg(F.max("off")).first()[0]
-        change = now.agg(F.max(F.abs(F.col("w") - F.col("before")))).first()[0]
-        if worst is None or worst < tolerance or change < tolerance / 1000:
-            break  # targets that contradict each other are never met: rounds come to repeat themselves
+        done += 1
+        before, worst = worst, by["source"].select("off").union(by["lang"].select("off")).union(by["topic"].select("off")).agg(F.max("off")).first()[0]
+        # targets that contradict each other are never met: rounds come to repeat themselves
+        if worst is None or worst < tolerance or (before is not None and abs(before - worst) < tolerance / 1000):
+            break
     else:
         warnings.warn(f"after {done} rounds a category's share is still {worst:.3g} from its target", stacklevel=2)
-    return now.select(*MARGINS, "tokens", "docs", "w", F.lit(worst).cast("double").alias("deviation"), (F.col("w") / (F.col("tokens") / F.lit(whole))).alias("factor"))
+    out = start
+    for m in MARGINS:
+        out = out.join(by[m].select(m, f"x_{m}"), m)
+    factor = F.col("x_source") * F.col("x_lang") * F.col("x_topic")
+    out, _ = written(out.select(*MARGINS, "tokens", "docs", (F.col("tokens") / F.lit(whole) * factor).alias("w"), F.lit(worst).cast("double").alias("deviation"), factor.alias("factor")), "raked")
+    dropped(spark, start_path, *at.values())
+    return out
 
 
 def _scale(cells: DataFrame, budget: float) -> float:
@@ -165,7 +149,7 @@ def mixed(
     rows = _described(docs, id_col, text_col, source_col, lang_col, topic)
     made = ("n_tokens", "topic", "factor", "probability", "sampled")
     cells = rows.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("docs"))
-    factors, raked_path = written(raked(cells, targets), "raked")
+    factors = raked(cells, targets)
     if budget is None and share is None:
         most = factors.agg(F.max("factor")).first()[0]
         factors = factors.withColumn("probability", F.col("factor") / F.lit(most))
@@ -174,7 +158,6 @@ def mixed(
         c = _scale(factors, min(x for x in (budget, None if share is None else share * tokens) if x is not None))
         factors = factors.withColumn("probability", F.when(F.col("factor") > 0, F.least(F.lit(1.0), F.col("factor") * F.lit(c))).otherwise(F.lit(0.0)))
     factors, _ = written(factors.select(*[F.col(m).alias(f"__c_{m}") for m in MARGINS], F.col("factor").alias("__factor"), F.col("probability").alias("__p")), "factors")
-    dropped(docs.sparkSession, raked_path)
     # few cells are broadcast by Spark itself; many meet the documents in a join whose large keys adaptive execution splits
     hit = rows.join(factors, [F.col(f"__{m}") == F.col(f"__c_{m}") for m in MARGINS], "left")
     p = F.when(F.col("__tokens") > 0, F.coalesce("__p", F.lit(0.0))).otherwise(F.lit(0.0))

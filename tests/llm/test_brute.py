@@ -303,7 +303,7 @@ def test_mixing_scale_is_not_set_by_the_rarest_category(spark):
 
 
 def test_mixing_rakes_every_category(spark):
-    """A named source that is the smallest of 80 meets its target; one partition and grouped sums agree."""
+    """A named source that is the smallest of 80 meets its target; how cells are partitioned does not matter."""
     from cohortmill.llm.mixing import mixed, raked
 
     rows = [(i, "w " * (20 if i % 80 else 5), f"s{i % 80}", "ab"[i // 80 % 2]) for i in range(320)]
@@ -314,8 +314,20 @@ def test_mixing_rakes_every_category(spark):
     for k in ("s0", "s1", "s79"):
         assert sum(r.probability * r.n_tokens for r in got if r.source == k) / total == pytest.approx(target[k])
     cells = spark.createDataFrame([(f"s{i % 7}", f"l{i % 5}", f"t{i % 3}", 10 + i * i % 97, 1) for i in range(105)], "source string, lang string, topic string, tokens long, docs long")
-    small, large = ({(r.source, r.lang, r.topic): r.factor for r in raked(cells, few=few, tolerance=1e-6).collect()} for few in (1000, 10))
-    assert len(small) == 105 and all(large[k] == pytest.approx(small[k], rel=1e-4) for k in small)
+    one, many = ({(r.source, r.lang, r.topic): r for r in raked(c).collect()} for c in (cells.coalesce(1), cells.repartition(9)))
+    assert len(one) == 105 and all(many[k].factor == pytest.approx(one[k].factor, rel=1e-9) for k in one)
+    assert all(r.deviation < 1e-9 for r in one.values())
+
+
+def test_mixing_of_contradicting_targets_ends(spark):
+    """A source held by one language alone cannot have more than that language: rounds end, and tell how far off they are."""
+    from cohortmill.llm.mixing import raked
+
+    cells = spark.createDataFrame([("a", "x", "t", 50, 1), ("b", "y", "t", 30, 1), ("b", "y", "u", 20, 1)], "source string, lang string, topic string, tokens long, docs long")
+    got = raked(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}, "topic": 1.0}).collect()
+    assert len(got) == 3 and all(r.deviation > 0.1 for r in got) and sum(r.w for r in got) == pytest.approx(1)
+    none = raked(cells.where("false"))
+    assert none.count() == 0 and set(none.columns) == {"source", "lang", "topic", "tokens", "docs", "w", "deviation", "factor"}
 
 
 def _recall(got, x, ids, queries, k=20):
