@@ -193,7 +193,11 @@ def volume_change(elements: DataFrame, nodes: DataFrame, displacement: DataFrame
     its relative change. Nodes carry both places, so that elements meet them once."""
     moved = nodes.join(displacement.select("mesh_id", "node_id", "ux", "uy", "uz"), ["mesh_id", "node_id"], "left")
     moved = moved.select("mesh_id", "node_id", *"xyz", *[(F.col(c) + F.coalesce(f"u{c}", F.lit(0.0))).alias(f"d{c}") for c in "xyz"])
-    c = with_coordinates(elements, moved, ("x", "y", "z", "dx", "dy", "dz"))
+    return volume_change_of(with_coordinates(elements, moved, ("x", "y", "z", "dx", "dy", "dz")))
+
+
+def volume_change_of(c: DataFrame) -> DataFrame:
+    """volume_change() of elements that carry both places of their corners, x0.. and dx0..."""
     deformed = tet_determinant([tuple(F.col(f"d{a}{k}") for a in "xyz") for k in range(4)])
     out = c.groupBy("mesh_id").agg((F.sum(F.abs(signed_volume())) / 1000.0).alias("rest_ml"), (F.sum(F.abs(deformed / 6.0)) / 1000.0).alias("deformed_ml"))
     return out.withColumn("change", (F.col("deformed_ml") - F.col("rest_ml")) / F.col("rest_ml"))
@@ -334,7 +338,11 @@ def node_gradients(elements: DataFrame, nodes: DataFrame, fields: dict[str, str]
     In an element the gradient is the field's differences over the inverse of its edge matrix, in closed form;
     elements without volume are skipped; a gradient shorter than 1e-12 stays as it is.
     """
-    c = with_coordinates(elements, nodes, ("x", "y", "z", *fields))
+    return gradients_of(with_coordinates(elements, nodes, ("x", "y", "z", *fields)), fields)
+
+
+def gradients_of(c: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """node_gradients() of elements that carry their corners' places and fields."""
     p = points()
     e = [sub(p[k], p[0]) for k in (1, 2, 3)]
     faces_ = [cross(e[1], e[2]), cross(e[2], e[0]), cross(e[0], e[1])]
