@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.functions.vectors import Vec, add, cross, norm, scale, sub, unit, vec
 from cohortmill.operators.mesh import points
+from cohortmill.session import written
 
 # Angles in degrees at the inner and outer wall, of fibre and sheet, at nodes and at elements.
 NODE_ANGLES = {"fiber": (60.0, -60.0), "sheet": (0.0, 25.0)}
@@ -40,6 +41,7 @@ def fiber_rule_element(coords: DataFrame, angles: dict = ELEMENT_ANGLES) -> Data
     in the plane of the radial and the circumferential direction. Lengths are divided by themselves and 1e-8."""
     p = points()
     c = coords.select("mesh_id", "elem_id", *_cols(scale(add(add(p[0], p[1]), add(p[2], p[3])), 0.25), "m"))
+    c, _ = written(c, "centroids")  # read three times: for the mean, the ends and the rule
     mid = c.groupBy("mesh_id").agg(*[F.avg(f"m{a}").alias(f"o{a}") for a in "xyz"])
     c = c.join(mid, "mesh_id").withColumn("d", norm(sub(vec("m"), vec("o"))))
     ends = c.groupBy("mesh_id").agg(F.min("d").alias("d0"), F.max("d").alias("d1"))

@@ -7,7 +7,6 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from cohortmill.operators import fibers, mesh
-from cohortmill.operators.meshstore import StoredMesh, stored_mesh
 from cohortmill.plans.base import query
 
 _P = ", ".join(f"p{k}.{a} AS {a}{k}" for k in range(4) for a in "xyz")
@@ -35,19 +34,8 @@ _LEN = [f"sqrt(({_d(a, b, 'x')}) ** 2 + ({_d(a, b, 'y')}) ** 2 + ({_d(a, b, 'z')
 _EDGES = "[" + ", ".join(_LEN) + "]"
 
 
-_STORED: dict[tuple[str, str], StoredMesh] = {}
-
-
-def _mesh(t) -> StoredMesh:
-    """The meshes of the given tables in buckets, written once an application."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _STORED or not _STORED[key].there():
-        _STORED[key] = stored_mesh(t.v_node, t.v_elem)
-    return _STORED[key]
-
-
 def _coords(t):
-    return _mesh(t).with_coordinates()
+    return mesh.with_coordinates(t.v_elem, t.v_node)
 
 
 def _rounded(df, digits=6, nudge=0.0):
@@ -148,8 +136,7 @@ _MOVED = "SELECT mesh_id, node_id, x * 1.1 AS x, y * 0.9 + 0.01 * (node_id % 3)
 @query(_nudged(f"WITH c AS ({_C}), d AS ({_C.replace('v_node', 'm')}), m AS ({_MOVED}), a AS (SELECT mesh_id, sum(abs({_DET})) / 6000 AS v FROM c GROUP BY 1), b AS (SELECT mesh_id, sum(abs({_DET})) / 6000 AS v FROM d GROUP BY 1) SELECT mesh_id, round(a.v, 6) AS rest_ml, round(b.v, 6) AS deformed_ml, round((b.v - a.v) / a.v, 6) AS change FROM a JOIN b USING (mesh_id)".replace("WITH c AS", "WITH m AS (" + _MOVED + "), c AS", 1).replace(f", m AS ({_MOVED}), a AS", ", a AS", 1)))
 def a10_tissue_volume(t):
     places = {"dx": F.col("x") + F.col("x") * 0.1, "dy": F.col("y") + (F.col("y") * -0.1 + 0.01 * (F.col("node_id") % 3)), "dz": F.col("z") + 0.0}
-    m = _mesh(t)
-    return _rounded(mesh.volume_change_of(m.with_coordinates((*"xyz", *places), m.nodes.withColumns(places))), nudge=_NUDGE)
+    return _rounded(mesh.volume_change_of(mesh.with_coordinates(t.v_elem, t.v_node.withColumns(places), (*"xyz", *places))), nudge=_NUDGE)
 
 
 _FACES = "SELECT mesh_id, elem_id, unnest([list_sort([n1, n2, n3]), list_sort([n0, n2, n3]), list_sort([n0, n1, n3]), list_sort([n0, n1, n2])]) AS face FROM v_elem"
@@ -273,9 +260,8 @@ def w03_minmax_coordinate(t):
 
 
 def _fibres(t):
-    m, fields = _mesh(t), {"phi_ab": "l", "phi_epi": "t"}
-    nodes = mesh.apex_base(mesh.transmural(m.nodes))
-    both = mesh.gradients_of(m.with_coordinates((*"xyz", *fields), nodes), fields)
+    nodes = mesh.apex_base(mesh.transmural(t.v_node))
+    both = mesh.node_gradients(t.v_elem, nodes, {"phi_ab": "l", "phi_epi": "t"})
     return fibers.fiber_rule(nodes.join(both, ["mesh_id", "node_id"]))
 
 

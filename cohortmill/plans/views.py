@@ -96,10 +96,23 @@ def with_views(sql: str) -> str:
     return f"WITH{head[1] or ''} {ctes}, {sql[head.end():]}" if head else f"WITH {ctes} {sql}"
 
 
+#: A row of a supplier becomes thousands of voxels, nodes and elements: its table, one small file, would make them all in one task.
+GROWS = {"supplier": ("s_suppkey", ("v_vox", "v_node", "v_elem"))}
+
+
+def _dealt(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """rows by key in as many partitions as the session shuffles into, and no fewer than it has cores: a number that is given
+    is not made smaller again by the size of the rows."""
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A Spark query over the given tables of sf_dir and the views."""
     text = with_views(sql)
     used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", text)}
+    for t, (key, views) in GROWS.items():
+        if t in used and any(re.search(rf"\b{v}\b", text) for v in views):
+            used[t] = _dealt(spark, used[t], key)
     for t in used:
         text = re.sub(rf"\b{t}\b(?!\s*\()", "{" + t + "}", text)
     return spark.sql(text, **used)
