@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.operators import logs
 from cohortmill.plans.base import query
-from cohortmill.session import shared_dir
+from cohortmill.session import shared_dir, written
 from cohortmill.sources import files
 from cohortmill.streaming import watch
 
@@ -43,9 +43,9 @@ def s02_read_mesh_elements(t):
 @query("SELECT CAST(mesh_id AS VARCHAR) AS mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY elem_id) - 1 AS \"row\", CAST(elem_id % 7 AS DOUBLE) AS fx, CAST(-(elem_id % 7) AS DOUBLE) AS fy, 1.0::DOUBLE AS fz FROM v_elem UNION ALL SELECT 'none', s_suppkey, 1.0, 0.0, 0.0 FROM supplier")
 def s03_read_fibers(t):
     """Every element has its fibre; rows of a mesh without a file have the stand-in."""
-    path = _meshes(t, "lon") + "/lon"
-    own = files.read_fibers(t.spark, path).select("mesh_id", "row")
-    return files.read_fibers(t.spark, path, own.unionByName(t.supplier.select(F.lit("none").alias("mesh_id"), F.col("s_suppkey").cast("long").alias("row"))))
+    f, _ = written(files.read_fibers(t.spark, _meshes(t, "lon") + "/lon"), "fibres")  # each file is opened once
+    own = f.select("mesh_id", "row")
+    return files.owned(own.unionByName(t.supplier.select(F.lit("none").alias("mesh_id"), F.col("s_suppkey").cast("long").alias("row"))), f)
 
 
 @query("""SELECT 'pts' AS kind, CAST(mesh_id AS VARCHAR) AS mesh_id, count(*) AS n, round(sum(x + 2 * y + 3 * z), 2) AS mix FROM v_node GROUP BY 2
@@ -67,7 +67,7 @@ def s05_read_activation(t):
     at = F.row_number().over(Window.partitionBy("mesh_id").orderBy("node_id")) - 1
     nodes = t.v_node.select(F.col("mesh_id").cast("string").alias("mesh_id"), at.cast("long").alias("node_id"))
     rows = nodes.where("node_id < 50").select("mesh_id", "node_id", F.format_string("%.2f", F.col("node_id") / 4.0).alias("value"))
-    rows.repartition("mesh_id").sortWithinPartitions("mesh_id", "node_id").select("mesh_id", "value").write.partitionBy("mesh_id").text(out)
+    files.by_mesh(rows, "node_id", out)
     return files.read_activation(t.spark, out, nodes)
 
 

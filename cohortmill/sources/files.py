@@ -51,9 +51,12 @@ def read_fibers(spark: SparkSession, path: str, owners: DataFrame | None = None)
     2) or of lines; it is not checked. With owners(mesh_id, row), rows without a fibre get (1, 0, 0)."""
     p = F.split(F.trim("line"), r"\s+")
     f = _lines(spark, path).where("at > 0").select("mesh_id", (F.col("at") - 1).cast("long").alias("row"), *[p[k].cast("double").alias(c) for k, c in enumerate(("fx", "fy", "fz"))])
-    if owners is None:
-        return f
-    return owners.select("mesh_id", "row").join(f, ["mesh_id", "row"], "left").fillna({"fx": 1.0, "fy": 0.0, "fz": 0.0})
+    return f if owners is None else owned(owners, f)
+
+
+def owned(owners: DataFrame, fibers: DataFrame) -> DataFrame:
+    """owners(mesh_id, row) with the fibres of read_fibers(), (1, 0, 0) for rows without one."""
+    return owners.select("mesh_id", "row").join(fibers, ["mesh_id", "row"], "left").fillna({"fx": 1.0, "fy": 0.0, "fz": 0.0})
 
 
 def read_activation(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
@@ -130,6 +133,16 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).drop("content")
 
 
+def by_mesh(rows: DataFrame, order: str, out: str) -> None:
+    """rows(mesh_id, .., value) as one text file a mesh in folders mesh_id=.., in order. The number of tasks is given, as by the
+    few bytes of many small files the engine would leave their opening and closing to a few tasks; and each task moves its own
+    files to their place, which the driver would do one by one. Nothing may read the folder before this returns."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = rows.repartition(parts, "mesh_id").sortWithinPartitions("mesh_id", order)
+    dealt.select("mesh_id", "value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("mesh_id").text(out)
+
+
 def write_mesh(nodes: DataFrame | None, elements: DataFrame | None, fibers: DataFrame | None, out: str) -> None:
     """Text files under out/pts, out/elem and out/lon, one a mesh in folders mesh_id=..: a count (for fibres the number
     of vectors, 2), then rows with six decimals; of what is None no files. A mesh's rows are one task's work."""
@@ -137,8 +150,7 @@ def write_mesh(nodes: DataFrame | None, elements: DataFrame | None, fibers: Data
     def put(rows: DataFrame, order: str, line: Column, head: Column, name: str) -> None:
         body = rows.select(rows["mesh_id"], F.col(order).cast("long").alias("__at"), line.alias("value"))
         top = rows.groupBy("mesh_id").agg(head.alias("value")).select("mesh_id", F.lit(-1).cast("long").alias("__at"), "value")
-        both = body.unionByName(top).repartition("mesh_id").sortWithinPartitions("mesh_id", "__at")
-        both.select("mesh_id", "value").write.partitionBy("mesh_id").text(f"{out}/{name}")
+        by_mesh(body.unionByName(top), "__at", f"{out}/{name}")
 
     n = F.count("*").cast("string")
     if nodes is not None:
