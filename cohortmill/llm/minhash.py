@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill.llm.components import connected_components
+from cohortmill.llm.pieces import forget
 from cohortmill.llm.shingles import in_pieces, shingle_sets
 from cohortmill.session import dropped, written
 
@@ -62,6 +63,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
     """(doc, n, cls, keys): set size, 16-byte digest of the whole set, band keys; cls null if the set is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for pdf in batches:
             for a, b in in_pieces(pdf["t"].tolist()):
                 part = pdf.iloc[a:b]

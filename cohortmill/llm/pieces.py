@@ -8,6 +8,7 @@ most are encoded once; each part not met before goes through the agenda.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from array import array
@@ -26,6 +27,8 @@ SPACE = "▁"
 #: Up to this many characters the agenda is a plain list, which is quicker for a few pairs; beyond that a heap.
 SHORT = 32
 NEVER = float("inf")
+#: Words that a worker remembers (some 200 MB).
+REMEMBERED = 1_000_000
 
 
 class PieceModel:
@@ -162,7 +165,7 @@ class WordMemo:
     """Ids of recurring words and parts of words, as bytes of uint32, remembered from one call to the next: about `most`
     words (some 200 MB) and `composed` parts of words that are not their first; long ones never."""
 
-    def __init__(self, model: PieceModel, most: int = 1_000_000, composed: int = 150_000, longest: int = 64):
+    def __init__(self, model: PieceModel, most: int = REMEMBERED, composed: int = 150_000, longest: int = 64):
         self.model, self.longest = model, longest
         self.known = Memory(self._word, most, longest)  # by word, without its leading space mark
         self.inner = Memory(self._part, composed, longest)  # by part of a word that is not its first
@@ -205,15 +208,22 @@ class WordMemo:
 _MEMOS: dict[bytes, WordMemo] = {}
 
 
-def memo_of(proto: bytes) -> WordMemo:
-    """One model a worker with what it remembers, however many batches it serves."""
-    key = hashlib.sha256(proto).digest()
+def memo_of(proto: bytes, most: int = REMEMBERED) -> WordMemo:
+    """One model a worker with what it remembers, about `most` words, however many batches it serves."""
+    key = hashlib.sha256(proto).digest() + most.to_bytes(8, "big")
     if key not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[key] = WordMemo(PieceModel(proto))
+        forget()
+        _MEMOS[key] = WordMemo(PieceModel(proto), most)
     return _MEMOS[key]
 
 
+def forget() -> None:
+    """A worker that goes on to other work lets its models and words go: Spark keeps workers from stage to stage."""
+    if _MEMOS:
+        _MEMOS.clear()
+        gc.collect()  # a memo and its memories refer to one another
+
+
 def token_counts(memo: WordMemo, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text: its number of tokens, how many of them are byte pieces, and the entropy of its tokens in bits."""
     model, ids, n = memo.model, memo.encode(texts), len(texts)
@@ -231,7 +241,7 @@ def token_counts(memo: WordMemo, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     return total, np.bincount(doc, weights=is_byte[token], minlength=n).astype(np.int64), np.bincount(of_doc, weights=-p * np.log2(p), minlength=n)
 
 
-def encoded(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """docs' columns but the text, plus n_tokens, ids_sha256, decoded_sha256, agrees and, with keep_ids, ids (array<int>).
 
     Whole texts, no begin or end ids, no sampling; decoding is ours too. In each Arrow batch the library encodes every
@@ -239,7 +249,7 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids:
     decoded text differ. Null
     texts count as empty: no ids, both digests those of the empty string. Repeated rows give repeated rows; an
     empty table an empty one; columns of docs named like an output are replaced. The model is broadcast from
-    the driver (under 1 MB); a worker's memory of words is bounded, and a text only adds its own size.
+    the driver (under 1 MB); a worker remembers about `remembered` words, and a text only adds its own size.
     """
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
@@ -248,7 +258,7 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids:
     rest = [c for c in docs.columns if c not in {*made, text_col}]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = memo_of(proto.value)
+        memo = memo_of(proto.value, remembered)
         model, library, number = memo.model, memo.model.library, [str(i) for i in range(memo.model.size)]
         for pdf in batches:
             texts = [t or "" for t in pdf.pop(text_col)]

@@ -208,3 +208,24 @@ def test_pipeline_stages(spark, none, tmp_path):
             if name != "sentencepiece":
                 assert out.columns == docs.columns, name
         assert p.run(spark, f"file://{d}").where("not agrees").count() == 0
+
+
+def test_workers_let_words_go_after_counting(spark, docs):
+    """Workers serve stage after stage: what counting tokens remembers must not stand beside what comes next."""
+    from cohortmill.llm import minhash, quality
+
+    def remembered(batches):
+        import pandas as pd
+
+        from cohortmill.llm import pieces
+
+        for _ in batches:
+            pass
+        yield pd.DataFrame({"most": [m.known.most for m in pieces._MEMOS.values()]}, dtype="int64")
+
+    words = lambda: {r.most for r in spark.range(0, 64, 1, 16).mapInPandas(remembered, "most long").collect()}
+    many = spark.range(0, 64, 1, 16).selectExpr("id as doc_id", "concat('some words ', id) as text")
+    quality.measured(many, remembered=1000).collect()
+    assert 1000 in words()
+    minhash.sketch(many, "doc_id", "text", 5, 16, 4).collect()
+    assert not words()
