@@ -100,10 +100,16 @@ def with_views(sql: str) -> str:
 GROWS = {"supplier": ("s_suppkey", ("v_vox", "v_node", "v_elem"))}
 
 
+#: A partition holds about so many rows that grow: what a task keeps of their voxels (690,000) or elements has the same
+#: size however many rows there are.
+LOT = 100
+
+
 def _dealt(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
-    """rows by key in as many partitions as the session shuffles into, and no fewer than it has cores: a number that is given
-    is not made smaller again by the size of the rows."""
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+    """rows by key in as many partitions as the session shuffles into, no fewer than it has cores, and no fewer than one for LOT
+    rows: a number that is given is not made smaller again by the size of the rows."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-rows.count() // LOT))
+    return rows.repartition(parts, key)
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

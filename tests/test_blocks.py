@@ -17,6 +17,13 @@ def test_one_small_file_grows_in_all_tasks(spark, name):
     assert len(counts) > 1
 
 
+def test_tasks_hold_as_much_of_many_suppliers_as_of_few(spark, tmp_path):
+    """The partitions of views grow with the suppliers, not what one of them holds."""
+    spark.range(2000).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    lots = Tables(spark, str(tmp_path)).v_elem.select("mesh_id").distinct().groupBy(F.spark_partition_id()).count().collect()
+    assert len(lots) == 20 and sum(r["count"] for r in lots) == 2000 and max(r["count"] for r in lots) < 200
+
+
 def test_elements_meet_blocks_like_a_lookup(spark):
     """Dense, sparse, negative and repeated ids, corners in one block and in several, missing nodes, nulls."""
     r = random.Random(3)
