@@ -364,7 +364,7 @@ def k02_worst_elements(t):
 @query(f"WITH c AS ({_C}), d AS ({_dihedral_sql()}) SELECT c.mesh_id, count_if(list_min({_EDGES}) >= 1.95) AS kept_edge, count_if(a >= 40) AS kept_angle, count(*) AS n FROM c JOIN d ON d.mesh_id = c.mesh_id AND d.elem_id = c.elem_id GROUP BY 1")
 def u09_filter_elements(t):
     c = _coords(t)
-    return c.groupBy("mesh_id").agg(F.count_if(mesh.filter_small_elements(c, 1.95)).alias("kept_edge"), F.count_if(mesh.min_dihedral() >= 40).alias("kept_angle"), F.count("*").alias("n"))
+    return c.groupBy("mesh_id").agg(F.count(F.when(mesh.filter_small_elements(c, 1.95), 1)).alias("kept_edge"), F.count(F.when(mesh.min_dihedral() >= 40, 1)).alias("kept_angle"), F.count("*").alias("n"))
 
 
 @query(f"WITH c AS ({_C}) SELECT mesh_id, elem_id, CASE WHEN {_DET} < 0 THEN n2 ELSE n1 END AS n1, CASE WHEN {_DET} < 0 THEN n1 ELSE n2 END AS n2, {_DET} < 0 AS flipped FROM c")
