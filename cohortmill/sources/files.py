@@ -55,14 +55,15 @@ def read_fibers(spark: SparkSession, path: str, owners: DataFrame | None = None)
 
 
 def owned(owners: DataFrame, fibers: DataFrame) -> DataFrame:
-    """owners(mesh_id, row) with the fibres of read_fibers(), (1, 0, 0) for rows without one."""
-    return owners.select("mesh_id", "row").join(fibers, ["mesh_id", "row"], "left").fillna({"fx": 1.0, "fy": 0.0, "fz": 0.0})
+    """owners(mesh_id, row) with the fibres of read_fibers(), (1, 0, 0) for rows without one. The join's strategy is given: repeated
+    vectors are so few bytes in a file that the engine would gather all of them in the driver to broadcast them."""
+    return owners.select("mesh_id", "row").join(fibers.hint("merge"), ["mesh_id", "row"], "left").fillna({"fx": 1.0, "fy": 0.0, "fz": 0.0})
 
 
 def read_activation(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
     """nodes with t_act, the value on the line of the node's number; nodes beyond the file have -1."""
     t = _lines(spark, path).select("mesh_id", F.col("at").cast("long").alias("node_id"), F.trim("line").cast("double").alias("t_act"))
-    return nodes.join(t, ["mesh_id", "node_id"], "left").fillna(-1.0, ["t_act"])
+    return nodes.join(t.hint("merge"), ["mesh_id", "node_id"], "left").fillna(-1.0, ["t_act"])
 
 
 def read_vm_frames(spark: SparkSession, path: str, tend: float = 1.0, partition_bytes: int = 64 << 20, frames: tuple[int, int] | None = None) -> DataFrame:

@@ -9,3 +9,26 @@ def test_files_of_many_meshes_are_written_by_many_tasks(spark, tmp_path):
     names = [p.name.split("-")[1] for p in tmp_path.glob("m/mesh_id=*/part-*")]
     assert len(names) == 40 and len(set(names)) > 1  # a file a mesh; the part's number is its task's
     assert (next(tmp_path.glob("m/mesh_id=3/part-*"))).read_text().split() == [str(x) for x in range(36, 400, 40)]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fibres_and_times_of_files_are_not_broadcast(spark, tmp_path):
+    rows = spark.range(40).selectExpr("cast(id % 4 AS string) AS mesh_id", "id AS row", "id * 1.0D AS fx", "0.5D AS fy", "0.25D AS fz")
+    f = spark.read.schema(rows.schema).parquet(_stored(rows, f"file://{tmp_path}/f"))
+    owners = f.select("mesh_id", "row").unionByName(spark.createDataFrame([("none", 7)], "mesh_id string, row long"))
+    own = files.owned(owners, f)
+    assert "Broadcast" not in _plan(own)
+    got = {(r.mesh_id, r.row): (r.fx, r.fy, r.fz) for r in own.collect()}
+    assert len(got) == 41 and got["none", 7] == (1.0, 0.0, 0.0) and got["3", 39] == (39.0, 0.5, 0.25)
+    (tmp_path / "a.dat").write_text("1.5\n")
+    nodes = spark.createDataFrame([("a", 0), ("a", 1)], "mesh_id string, node_id long")
+    t = files.read_activation(spark, f"file://{tmp_path}/a.dat", nodes)
+    assert "Broadcast" not in _plan(t) and sorted(r.t_act for r in t.collect()) == [-1.0, 1.5]
+
+
+def _stored(df, path: str) -> str:
+    df.write.parquet(path)
+    return path
