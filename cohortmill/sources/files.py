@@ -1,56 +1,77 @@
 """Readers and writers of mesh text files, potentials, designs, reports, training logs and manifests.
 
-One file is one task's work and a cohort is many files; paths go to Spark's readers only.
+One file is one task's work and a cohort is many files; paths go to Spark's readers, listed files to workers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortmill.session import importable
 from cohortmill.sources.igb import VM, FrameSource, header
+from cohortmill.sources.meshfiles import contents, local_path, tasks, write_files
 
 _NAME = r"([^/\\]+?)(?:\.[^./\\]+)?$"
 
+#: What a text of rows with one space between words and \\n between rows doesn't hold.
+_ODD = ("\r", "\t", "\v", "\f", "  ", "\n\n", "\n ", " \n")
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(mesh_id, at, line): a file's lines in order, blank ones left out; mesh_id is the file's name or its mesh_id folder."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("f"), "value")
-    folder = F.nullif(F.regexp_extract("f", r"mesh_id=([^/]+)/", 1), F.lit(""))
-    rows = files.select(F.coalesce(folder, F.regexp_extract("f", _NAME, 1)).alias("mesh_id"), F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("ls"))
-    return rows.select("mesh_id", F.size("ls").alias("n_lines"), F.posexplode("ls").alias("at", "line"))
 
+def _texts(spark: SparkSession, path: str, listed: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, ls): a file's lines, blank ones left out, words one space apart; files without words are left out. mesh_id is the file's
+    name or its mesh_id folder. With listed(mesh_id, path), as by_mesh() returns it, those files are read by workers, and path is not listed."""
+    if listed is None:
+        files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("f"), "value")
+        folder = F.nullif(F.regexp_extract("f", r"mesh_id=([^/]+)/", 1), F.lit(""))
+        files = files.select(F.coalesce(folder, F.regexp_extract("f", _NAME, 1)).alias("mesh_id"), "value")
+    else:
+        files = contents(listed)
+    # a look at each line costs several times what splitting does, so that only texts that are odd somewhere get it
+    text = F.btrim("value", F.lit("\n "))
+    odd = reduce(or_, [F.contains(text, F.lit(x)) for x in _ODD])
+    looked = F.array_join(F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(F.trim(x), r"\s+", " ")), "\n")
+    rows = files.select("mesh_id", F.when(odd, looked).otherwise(text).alias("text"))
+    return rows.where("text <> ''").select("mesh_id", F.split("text", "\n").alias("ls"))
 
-def _checked(rows: DataFrame, value: Column, what: str) -> DataFrame:
-    """Rows after the header line, which must count them."""
-    head = F.when(F.col("at") == 0, F.trim("line"))
-    ok = (F.col("at") > 0) | (head == (F.col("n_lines") - 1).cast("string"))
-    bad = F.raise_error(F.concat(F.lit(f"{what} "), F.col("mesh_id"), F.lit(" doesn't hold as many rows as its header says")))
-    return rows.where(F.when(ok, F.col("at") > 0).otherwise(bad.cast("boolean"))).withColumn("p", F.split(F.trim(value), r"\s+"))
 
+def _lines(texts: DataFrame) -> DataFrame:
+    """(mesh_id, at, line) in order."""
+    return texts.select("mesh_id", F.posexplode("ls").alias("at", "line"))
 
-def read_mesh_nodes(spark: SparkSession, path: str) -> DataFrame:
+
+def _checked(texts: DataFrame, what: str) -> DataFrame:
+    """(mesh_id, at, line) of the lines after the header, which must count them; it is looked at once a file."""
+    ok = F.trim(F.get("ls", F.lit(0))) == (F.size("ls") - 1).cast("string")
+    bad = F.raise_error(F.concat(F.lit(f"{what} "), F.coalesce("mesh_id", F.lit("null")), F.lit(" doesn't hold as many rows as its header says")))
+    return _lines(texts.where(F.when(ok, True).otherwise(bad.cast("boolean")))).where("at > 0")
+
+
+def read_mesh_nodes(spark: SparkSession, path: str, listed: DataFrame | None = None) -> DataFrame:
     """(mesh_id, node_id, x, y, z) of .pts files: a count, then a node a line, numbered from 0."""
-    rows = _checked(_lines(spark, path), F.col("line"), "nodes of")
-    return rows.select("mesh_id", (F.col("at") - 1).cast("long").alias("node_id"), *[F.col("p")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
+    p, rows = F.split("line", " "), _checked(_texts(spark, path, listed), "nodes of")
+    return rows.select("mesh_id", (F.col("at") - 1).cast("long").alias("node_id"), *[p[k].cast("double").alias(c) for k, c in enumerate("xyz")])
 
 
-def read_mesh_elements(spark: SparkSession, path: str) -> DataFrame:
+def read_mesh_elements(spark: SparkSession, path: str, listed: DataFrame | None = None) -> DataFrame:
     """(mesh_id, elem_id, n0..n3, tag) of .elem files: a count, then `Tt n0 n1 n2 n3 tag`."""
-    rows = _checked(_lines(spark, path), F.col("line"), "elements of").where(F.col("p")[0] == "Tt")
-    return rows.select("mesh_id", (F.col("at") - 1).cast("long").alias("elem_id"), *[F.col("p")[k + 1].cast("long").alias(f"n{k}") for k in range(4)], F.try_element_at("p", F.lit(6)).cast("int").alias("tag"))
+    # told by the line, as a condition on its words would split it twice
+    rows = _checked(_texts(spark, path, listed), "elements of").where((F.col("line") == "Tt") | F.startswith("line", F.lit("Tt ")))
+    p = F.split("line", " ")
+    return rows.select("mesh_id", (F.col("at") - 1).cast("long").alias("elem_id"), *[p[k + 1].cast("long").alias(f"n{k}") for k in range(4)], F.try_element_at(p, F.lit(6)).cast("int").alias("tag"))
 
 
-def read_fibers(spark: SparkSession, path: str, owners: DataFrame | None = None) -> DataFrame:
+def read_fibers(spark: SparkSession, path: str, owners: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
     """(mesh_id, row, fx, fy, fz) of .lon files, first three columns. The header is the number of vectors a line (1 or
     2) or of lines; it is not checked. With owners(mesh_id, row), rows without a fibre get (1, 0, 0)."""
-    p = F.split(F.trim("line"), r"\s+")
-    f = _lines(spark, path).where("at > 0").select("mesh_id", (F.col("at") - 1).cast("long").alias("row"), *[p[k].cast("double").alias(c) for k, c in enumerate(("fx", "fy", "fz"))])
+    p = F.split("line", " ")
+    f = _lines(_texts(spark, path, listed)).where("at > 0").select("mesh_id", (F.col("at") - 1).cast("long").alias("row"), *[p[k].cast("double").alias(c) for k, c in enumerate(("fx", "fy", "fz"))])
     return f if owners is None else owned(owners, f)
 
 
@@ -60,9 +81,9 @@ def owned(owners: DataFrame, fibers: DataFrame) -> DataFrame:
     return owners.select("mesh_id", "row").join(fibers.hint("merge"), ["mesh_id", "row"], "left").fillna({"fx": 1.0, "fy": 0.0, "fz": 0.0})
 
 
-def read_activation(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
+def read_activation(spark: SparkSession, path: str, nodes: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """nodes with t_act, the value on the line of the node's number; nodes beyond the file have -1."""
-    t = _lines(spark, path).select("mesh_id", F.col("at").cast("long").alias("node_id"), F.trim("line").cast("double").alias("t_act"))
+    t = _lines(_texts(spark, path, listed)).select("mesh_id", F.col("at").cast("long").alias("node_id"), F.col("line").cast("double").alias("t_act"))
     return nodes.join(t.hint("merge"), ["mesh_id", "node_id"], "left").fillna(-1.0, ["t_act"])
 
 
@@ -134,32 +155,53 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).drop("content")
 
 
-def by_mesh(rows: DataFrame, order: str, out: str) -> None:
+def by_mesh(rows: DataFrame, order: str, out: str) -> DataFrame | None:
     """rows(mesh_id, .., value) as one text file a mesh in folders mesh_id=.., in order. The number of tasks is given, as by the
-    few bytes of many small files the engine would leave their opening and closing to a few tasks; and each task moves its own
-    files to their place, which the driver would do one by one. Nothing may read the folder before this returns."""
-    spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = rows.repartition(parts, "mesh_id").sortWithinPartitions("mesh_id", order)
-    dealt.select("mesh_id", "value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("mesh_id").text(out)
+    few bytes of many small files the engine would leave their opening and closing to a few tasks; and each task puts its own
+    files in their place, which the driver would do one by one. Nothing may read the folder before this returns.
 
+    A folder on all machines' file system is written by workers, and the files are returned as (mesh_id, path); in any other
+    store Spark writes, and None is returned: what reads then lists the folder."""
+    return _put(rows.repartition(tasks(rows.sparkSession), "mesh_id"), order, out)
 
-def write_mesh(nodes: DataFrame | None, elements: DataFrame | None, fibers: DataFrame | None, out: str) -> None:
-    """Text files under out/pts, out/elem and out/lon, one a mesh in folders mesh_id=..: a count (for fibres the number
-    of vectors, 2), then rows with six decimals; of what is None no files. A mesh's rows are one task's work."""
 
-    def put(rows: DataFrame, order: str, line: Column, head: Column, name: str) -> None:
-        body = rows.select(rows["mesh_id"], F.col(order).cast("long").alias("__at"), line.alias("value"))
-        top = rows.groupBy("mesh_id").agg(head.alias("value")).select("mesh_id", F.lit(-1).cast("long").alias("__at"), "value")
-        by_mesh(body.unionByName(top), "__at", f"{out}/{name}")
+def _put(dealt: DataFrame, order: str, out: str) -> DataFrame | None:
+    """by_mesh() of rows that lie together by mesh."""
+    rows, root = dealt.sortWithinPartitions("mesh_id", order).select("mesh_id", "value"), local_path(dealt.sparkSession, out)
+    if root is not None:
+        return write_files(rows, root)
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("mesh_id").text(out)
+    return None
 
-    n = F.count("*").cast("string")
+
+def _fixed(c: str) -> Column:
+    """A number with six decimals, zero without a sign; by decimals, in a third of format_string's time, which writes what they don't hold."""
+    return F.coalesce(F.col(c).try_cast("decimal(18,6)").cast("string"), F.format_string("%.6f", c))
+
+
+def write_mesh(nodes: DataFrame | None, elements: DataFrame | None, fibers: DataFrame | None, out: str, together: bool = False) -> dict[str, DataFrame | None]:
+    """Text files under out/pts, out/elem and out/lon, one a mesh in folders mesh_id=..: a count (for fibres the number
+    of vectors, 2), then rows with six decimals; of what is None no files. A mesh's rows are one task's work. Returns what
+    by_mesh() does for each of the three. With together, rows stay in the partitions in which they are, if each mesh lies in one."""
+
+    def put(rows: DataFrame, order: str, line: Column, head: Column | None, name: str) -> DataFrame | None:
+        # a window wants each mesh in one partition: the engine shuffles what is not, whether that was said or not
+        w = Window.partitionBy("mesh_id").orderBy(order)
+        rows = rows if together else rows.repartition(tasks(rows.sparkSession), "mesh_id")
+        n = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("string")
+        rows = rows.withColumns({"__at": F.row_number().over(w), "__head": n if head is None else head})
+        value = F.when(F.col("__at") == 1, F.concat("__head", F.lit("\n"), line)).otherwise(line)
+        return _put(rows.select("mesh_id", order, value.alias("value")), order, f"{out}/{name}")
+
+    listed = {}
     if nodes is not None:
-        put(nodes, "node_id", F.format_string("%.6f %.6f %.6f", "x", "y", "z"), n, "pts")
+        listed["pts"] = put(nodes, "node_id", F.concat_ws(" ", *map(_fixed, "xyz")), None, "pts")
     if elements is not None:
-        put(elements, "elem_id", F.format_string("Tt %d %d %d %d %d", "n0", "n1", "n2", "n3", "tag"), n, "elem")
+        whole = [F.coalesce(F.col(c).cast("long").cast("string"), F.lit("null")) for c in ("n0", "n1", "n2", "n3", "tag")]
+        listed["elem"] = put(elements, "elem_id", F.concat_ws(" ", F.lit("Tt"), *whole), None, "elem")
     if fibers is not None:
-        put(fibers, "row", F.format_string("%.6f %.6f %.6f %.6f %.6f %.6f", "fx", "fy", "fz", "sx", "sy", "sz"), F.lit("2"), "lon")
+        listed["lon"] = put(fibers, "row", F.concat_ws(" ", *map(_fixed, ("fx", "fy", "fz", "sx", "sy", "sz"))), F.lit("2"), "lon")
+    return listed
 
 
 def write_doe(df: DataFrame, twin_id: str, doe_id: str, out: str) -> None:
