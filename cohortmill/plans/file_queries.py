@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortmill.operators import logs
 from cohortmill.plans.base import query
-from cohortmill.session import dropped, shared_dir, written
+from cohortmill.session import shared_dir, written
 from cohortmill.sources import files
-from cohortmill.sources.meshfiles import remove_files
 from cohortmill.streaming import watch
 
 
@@ -27,13 +26,6 @@ def _meshes(t, *kinds: str) -> tuple[str, dict]:
     return out, files.write_mesh(*[x if k in kinds else None for k, x in (("pts", t.v_node), ("elem", t.v_elem), ("lon", fibres))], out, together=True)
 
 
-def _removed(t, out: str, made: DataFrame | None) -> None:
-    """Files that no later step reads: first those of a mesh each, by all tasks, then the folder."""
-    if made is not None:
-        remove_files(made)
-    dropped(t.spark, out)
-
-
 @query("SELECT CAST(mesh_id AS VARCHAR) AS mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY node_id) - 1 AS node_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM v_node")
 def s01_read_mesh_nodes(t):
     """Nodes are numbered anew by their line, as the format holds no numbers."""
@@ -52,7 +44,6 @@ def s03_read_fibers(t):
     """Every element has its fibre; rows of a mesh without a file have the stand-in."""
     out, made = _meshes(t, "lon")
     f, _ = written(files.read_fibers(t.spark, out + "/lon", listed=made["lon"]), "fibres")  # each file is opened once
-    _removed(t, out, made["lon"])
     own = f.select("mesh_id", "row")
     return files.owned(own.unionByName(t.supplier.select(F.lit("none").alias("mesh_id"), F.col("s_suppkey").cast("long").alias("row"))), f)
 
@@ -60,15 +51,13 @@ def s03_read_fibers(t):
 @query("""SELECT 'pts' AS kind, CAST(mesh_id AS VARCHAR) AS mesh_id, count(*) AS n, round(sum(x + 2 * y + 3 * z), 2) AS mix FROM v_node GROUP BY 2
 UNION ALL SELECT 'elem', CAST(mesh_id AS VARCHAR), count(*), CAST(sum(n0 + 2 * n1 + 3 * n2 + 4 * n3) AS DOUBLE) FROM v_elem GROUP BY 2 UNION ALL SELECT 'lon', CAST(mesh_id AS VARCHAR), count(*), CAST(sum(elem_id % 7 - 2 * (elem_id % 7) + 3) AS DOUBLE) FROM v_elem GROUP BY 2""")
 def s11_write_mesh(t):
-    """All three kinds of file, each read back and then removed, so that the disk holds one kind at a time."""
-    xyz, n, f = F.col("x") + 2 * F.col("y") + 3 * F.col("z"), F.col("n0") + 2 * F.col("n1") + 3 * F.col("n2") + 4 * F.col("n3"), F.col("fx") + 2 * F.col("fy") + 3 * F.col("fz")
-    totals = []
-    for kind, read, mix in (("pts", files.read_mesh_nodes, xyz), ("elem", files.read_mesh_elements, n), ("lon", files.read_fibers, f)):
-        out, made = _meshes(t, kind)
-        rows = read(t.spark, f"{out}/{kind}", listed=made[kind])
-        totals.append(written(rows.groupBy(F.lit(kind).alias("kind"), "mesh_id").agg(F.count("*").alias("n"), F.round(F.sum(mix).cast("double"), 2).alias("mix")), "totals")[0])
-        _removed(t, out, made[kind])
-    return totals[0].unionByName(totals[1]).unionByName(totals[2])
+    """All three kinds of file, each read back."""
+    out, made = _meshes(t, "pts", "elem", "lon")
+    total = lambda df, kind, mix: df.groupBy(F.lit(kind).alias("kind"), "mesh_id").agg(F.count("*").alias("n"), F.round(F.sum(mix).cast("double"), 2).alias("mix"))
+    n = total(files.read_mesh_nodes(t.spark, out + "/pts", made["pts"]), "pts", F.col("x") + 2 * F.col("y") + 3 * F.col("z"))
+    e = total(files.read_mesh_elements(t.spark, out + "/elem", made["elem"]), "elem", F.col("n0") + 2 * F.col("n1") + 3 * F.col("n2") + 4 * F.col("n3"))
+    f = total(files.read_fibers(t.spark, out + "/lon", listed=made["lon"]), "lon", F.col("fx") + 2 * F.col("fy") + 3 * F.col("fz"))
+    return n.unionByName(e).unionByName(f)
 
 
 @query("WITH n AS (SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY node_id) - 1 AS node_id FROM v_node) SELECT CAST(mesh_id AS VARCHAR) AS mesh_id, node_id, CASE WHEN node_id < 50 THEN node_id / 4.0 ELSE -1.0 END AS t_act FROM n")

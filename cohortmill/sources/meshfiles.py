@@ -6,7 +6,6 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -112,19 +111,3 @@ def contents(listed: DataFrame) -> DataFrame:
     importable(spark)
     rows = listed.select("mesh_id", "path").repartition(tasks(spark), "mesh_id").mapInArrow(_contents, "mesh_id string, value binary")
     return rows.select("mesh_id", F.col("value").cast("string").alias("value"))
-
-
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            with suppress(FileNotFoundError):  # a task that is run again
-                os.remove(path)
-            with suppress(OSError):  # a folder that holds another file stays
-                os.rmdir(os.path.dirname(path))
-    yield from ()
-
-
-def remove_files(listed: DataFrame) -> None:
-    """Delete the files that write_files() lists, and folders that hold nothing else, by all tasks: one by one the driver is slower at it than they are at writing."""
-    paths = listed.select("path").repartition(tasks(listed.sparkSession), "path")
-    paths.mapInArrow(_remove, "path string").write.format("noop").mode("overwrite").save()
